@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_orc
+from . import near_dup, packing, sharding, token_orc
 from .storage import new_path
 
 
@@ -37,10 +37,16 @@ def op6_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
     "op6_differencing_windows": op6_differencing_windows,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
