@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, sharding, token_orc
+from . import decontaminate, near_dup, packing, sharding, token_orc
 from .storage import new_path
 
 
@@ -42,11 +42,18 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op9_positional_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    hits = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=10)
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
     "op6_differencing_windows": op6_differencing_windows,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_positional_hits": op9_positional_hits,
 }
 
 ORACLE_SQL: dict[str, str] = {}
