@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, sharding, token_orc
+from . import decontaminate, media, near_dup, packing, sharding, token_orc
 from .storage import new_path
 
 
@@ -48,11 +48,21 @@ def op9_positional_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    path = new_path(spark, "media")
+    stored = media.store_as_tiff(_table(spark, sf_dir, "documents"))
+    stored.write.option("compression", "none").parquet(path)  # the images are compressed already
+    paged = media.tiff_pages(spark.read.schema(media.STORED).parquet(path))
+    return media.page_features(paged).drop("page", "error")
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
     "op6_differencing_windows": op6_differencing_windows,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_tiff_media": op8_tiff_media,
     "op9_positional_hits": op9_positional_hits,
 }
 
