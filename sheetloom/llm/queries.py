@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, near_dup, packing, sharding, token_orc
+from . import decontaminate, media, near_dup, packing, sharding, token_orc, warc
 from .storage import new_path
 
 
@@ -57,9 +57,17 @@ def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.page_features(paged).drop("page", "error")
 
 
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    path = new_path(spark, "warc")
+    warc.write_records(_table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
+    "op4_warc_chunks": op4_warc_chunks,
     "op6_differencing_windows": op6_differencing_windows,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_tiff_media": op8_tiff_media,
