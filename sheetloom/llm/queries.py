@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, near_dup, packing, sharding, token_orc, warc
+from . import decontaminate, media, near_dup, packing, quality, sharding, token_orc, warc
 from .storage import new_path
 
 
@@ -64,10 +64,17 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
     "op4_warc_chunks": op4_warc_chunks,
+    "op5_compression_quality": op5_compression_quality,
     "op6_differencing_windows": op6_differencing_windows,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_tiff_media": op8_tiff_media,
