@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, near_dup, packing, quality, sharding, token_orc, warc
+from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, sharding, token_orc, warc
 from .storage import new_path
 
 
@@ -70,15 +70,53 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over the whole table: every document is put under two tokenizer versions; those labelled toxic are deleted; those labelled bad are counted anew. The second batch is sent twice."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    store = rollup.RollupStore(spark, new_path(spark, "rollup"))
+    counted = F.explode(F.array(
+        F.struct(F.lit("words-1").alias("tokenizer"), rollup.spaced_words("text").alias("n_tokens")),
+        F.struct(F.lit("bytes-1").alias("tokenizer"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_tokens")),
+    ))
+    keep = ["doc_id", "source", "lang"]
+    store.commit(1, docs.select(*keep, counted.alias("c")).select(*keep, "c.*", F.lit("put").alias("op")))
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi")
+    gone = toxic.select(*keep, F.explode(F.array(F.lit("words-1"), F.lit("bytes-1"))).alias("tokenizer"), F.lit(None).cast("long").alias("n_tokens"), F.lit("delete").alias("op"))
+    store.commit(2, gone)
+    store.commit(2, gone)
+    bad = docs.join(labels.where("quality = 0 AND toxic = 0"), "doc_id", "left_semi")
+    store.commit(3, bad.select(*keep, F.lit("words-1").alias("tokenizer"), rollup.plain_words("text").alias("n_tokens"), F.lit("put").alias("op")))
+    return store.totals().select("source", "lang", "tokenizer", "docs", "tokens")
+
+
+def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("statements")
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
+    "op3_token_rollup": op3_token_rollup,
     "op4_warc_chunks": op4_warc_chunks,
     "op5_compression_quality": op5_compression_quality,
     "op6_differencing_windows": op6_differencing_windows,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_tiff_media": op8_tiff_media,
     "op9_positional_hits": op9_positional_hits,
+    "op10_license_sentences": op10_license_sentences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_token_rollup": r"""
+WITH live AS (
+  SELECT source, lang, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0) AS bad
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+counted AS (
+  SELECT source, lang, 'words-1' AS tokenizer,
+         len(regexp_extract_all(coalesce(text, ''), CASE WHEN bad THEN '[A-Za-z0-9]+' ELSE '[^\x20\x09-\x0D]+' END)) AS n
+  FROM live
+  UNION ALL SELECT source, lang, 'bytes-1', octet_length(encode(coalesce(text, ''))) FROM live)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+FROM counted GROUP BY source, lang, tokenizer""",
+    "op10_license_sentences": licenses.license_sql(),
+}
