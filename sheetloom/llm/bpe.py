@@ -12,8 +12,8 @@ import os
 import re
 from array import array
 
-#: Stretches, and words in them, that a worker remembers (about 250 bytes each). Beyond it, stretches are put together again per batch: slower, never different.
-REMEMBERED = 500_000
+#: Stretches, and words in them, that a worker remembers (about 250 bytes each). Beyond it, a stretch is put together each time: slower, never different.
+REMEMBERED = 700_000
 #: Characters of the longest stretch that is remembered.
 LONG = 64
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -29,6 +29,46 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Stretches(dict):
+    """Ids of stretches; what isn't there is put together when it is asked for.
+
+    A key is a stretch without the space before it. A text's first stretch, which has none, ends with a
+    space instead: no other key holds one.
+    """
+
+    def __init__(self, tokenizer: object):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.parts: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
+
+    def __missing__(self, stretch: str) -> bytes:
+        if stretch.endswith(" "):
+            m = _WORD.match(stretch)
+            head, tail = (m[0], stretch[m.end() : -1]) if m else ("", stretch[:-1])
+        else:
+            m = _WORD.match(stretch)
+            head, tail = (" " + m[0], stretch[m.end() :]) if m else ("", " " + stretch)
+        parts = self.parts
+        ids = parts.get(head)
+        if ids is None:
+            ids = self._keep(head, self.tokenizer.model.tokenize(head.encode().decode("latin-1").translate(self.letters)))
+        if tail:
+            more = parts.get(tail)
+            if more is None:
+                more = self._keep(tail, None)
+            ids += more
+        if len(self) < REMEMBERED and len(stretch) <= LONG:
+            self[stretch] = ids
+        return ids
+
+    def _keep(self, part: str, pieces: list | None) -> bytes:
+        ids = array("I", [p.id for p in pieces] if pieces is not None else self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if len(self.parts) < REMEMBERED * 2 // 3 and len(part) <= LONG:
+            self.parts[part] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,63 +76,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word that is one piece of the pattern, from the library's model."""
-        pieces = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return array("I", [p.id for p in pieces]).tobytes()
-
-    def _stretches(self, stretches: list[str]) -> dict[str, bytes]:
-        words = self.words
-        halves = []
-        for s in stretches:
-            body, at = (s[:-1], 0) if s.endswith(" ") else (" " + s, 1)
-            m = _WORD.match(body, at)
-            at = m.end() if m else 0
-            halves.append((s, body[:at], body[at:]))
-        new = {h for _, h, _ in halves}.difference(words)
-        heads = {h: self._word(h) if h else b"" for h in new}
-        new = list({t for _, _, t in halves}.difference(words))
-        tails = dict(zip(new, self._encode(new), strict=True))
-        room = REMEMBERED - len(words)
-        if len(heads) + len(tails) <= room:
-            words.update(heads)
-            words.update(tails)
-        return {s: (words[h] if h in words else heads[h]) + (words[t] if t in words else tails[t]) for s, h, t in halves}
+        self.known = _Stretches(self.tokenizer)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each whole text and then ``end``, as little-endian unsigned 32-bit integers. Null: as empty."""
         last = array("I", [end]).tobytes()
-        cut: list[list[str] | None] = []
-        whole: dict[str, bytes] = {}
-        seen: set[str] = set()
+        look, out = self.known.__getitem__, []
         for text in texts:
-            if not text or _ODD_SPACE.search(text):
-                if text:
-                    whole[text] = b""
-                cut.append(None)
-                continue
-            parts = text.split(" ")
-            parts[0] += " "  # no stretch holds a space, so this tells a text's first from the same one after a space
-            cut.append(parts)
-            seen.update(parts)
-        found = self._stretches(list(seen.difference(self.known)))
-        whole = dict(zip(whole, self._encode(list(whole)), strict=True))
-        keep = len(self.known) + len(found) <= REMEMBERED
-        if keep:
-            self.known.update(found)
-        look = (self.known if keep else {s: self.known[s] for s in seen.difference(found)} | found).__getitem__
-        out = [(b"".join(map(look, parts)) if parts is not None else whole[text] if text else b"") + last for text, parts in zip(texts, cut, strict=True)]
-        if keep:
-            for s in found:
-                if len(s) > LONG:
-                    del self.known[s]
+            if not text:
+                out.append(last)
+            elif _ODD_SPACE.search(text):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + last)
+            else:
+                parts = text.split(" ")
+                parts[0] += " "
+                parts = list(map(look, parts))
+                parts.append(last)
+                out.append(b"".join(parts))
         return out
 
 
