@@ -158,3 +158,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more. Nothing is shuffled; a null text is scored as empty."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            yield batch.filter(pa.array(scorer.scores([t.as_py() or b"" for t in texts]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

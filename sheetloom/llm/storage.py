@@ -36,3 +36,8 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't among ``dropped``'s; rows with a null doc_id stay. The ids are written first, so that their true size decides how they are joined."""
+    return docs.join(materialize(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
