@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, by identifier.
+# Sentences of public licence texts and notices, by identifier. None holds a sentence's end inside.
 SENTENCES = {
     "mit-notice": "Released under the MIT License.",
     "mit-notice-2": "Licensed under the MIT License.",
@@ -30,9 +30,13 @@ SENTENCES = {
     "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl2-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "lgpl-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "gpl-free": "This program is free software:",
+    "gpl3-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "version-2-later": "either version 2 of the License, or (at your option) any later version.",
+    "lgpl-free": "This library is free software;",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "version-2.1-later": "either version 2.1 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -43,7 +47,7 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
@@ -58,12 +62,12 @@ RULES = [
     ("MIT", ["mit-grant", "mit-keep"]),
     ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", ["apache-grant", "apache-comply"]),
-    ("GPL-3.0-or-later", ["gpl3-later", "gpl-hope", "gpl-implied", "gpl-details"]),
-    ("GPL-3.0-or-later", ["gpl3-later"]),
-    ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-implied", "gpl-details"]),
-    ("GPL-2.0-or-later", ["gpl2-later"]),
-    ("LGPL-2.1-or-later", ["lgpl-later", "lgpl-hope", "gpl-implied", "lgpl-details"]),
-    ("LGPL-2.1-or-later", ["lgpl-later"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-later", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-later"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms", "version-2-later", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms", "version-2-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "version-2.1-later", "lgpl-hope", "gpl-implied", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "version-2.1-later"]),
     ("BSD-3-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-allow", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
