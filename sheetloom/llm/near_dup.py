@@ -159,7 +159,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     set that equals its own, if other rows hold one, else its component_id is null and it is kept.
     """
     sig = materialize(signatures(docs, words, bands, rows), "signatures")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
     reps = materialize(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
     one = sig.join(reps.withColumnRenamed("rep", "doc_id"), ["set_hash", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_bytes", F.explode("keys").alias("bucket"))
     one = materialize(one, "memberships")
@@ -170,12 +169,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     stats = stats.where("n > 1").groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket"), F.max("size").alias("size"))
     stats = materialize(stats.select("bucket", "n", _blocks("n", "size").alias("blocks")), "buckets")
     members = materialize(one.join(stats, "bucket").select("bucket", "rep", "n_bytes", "blocks", F.pmod(mark, "blocks").cast("int").alias("block")), "members")
+    # The texts that will be compared, written once. Always by shuffle: the ids grow with the corpus.
+    wanted = members.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull()).hint("merge").join(wanted, "rep", "left_semi")
+    texts = materialize(texts, "texts")
 
     # The block of pivots meets every block; a small bucket is one block.
     pairs = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = members.select("bucket", "rep", F.explode(pairs).alias("pair"), (F.col("block") == 0).alias("left"))
     first = first.withColumn("within", F.col("pair") == 0).withColumn("label", F.lit(None).cast("long"))
-    links = materialize(_verify(first.join(texts, "rep"), words, percent), "links")
+    links = materialize(_verify(first.hint("merge").join(texts, "rep"), words, percent), "links")
     roots = materialize(components(links), "roots")
 
     large = members.where("blocks > 1")
@@ -210,4 +213,4 @@ def _beyond_pivots(large: DataFrame, roots: DataFrame, texts: DataFrame, words:
     rows = dealt.select("bucket", "rep", "label", "rests", "block", "in_main", span.alias("span"), F.explode(pairs).alias("pair"))
     i, j = F.floor(F.col("pair") / F.col("span")), F.pmod("pair", "span")
     rows = rows.select("bucket", "rep", "label", "pair", (~F.col("in_main") & (F.col("block") == i)).alias("left"), (i == j).alias("within"))
-    return materialize(_verify(rows.join(texts, "rep"), words, percent), "links")
+    return materialize(_verify(rows.hint("merge").join(texts, "rep"), words, percent), "links")
