@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import split_list
+from .text import split_list, strip_slashes, trim_spaces
 
 PREFIX_B = "/groq"  # fixed value: where vendor b is mounted
 # The paths that may be asked of each vendor.
@@ -47,3 +47,17 @@ def request_url(kind: Column, base: Column, path: Column, secret: Column, auth:
         F.when(own & ~in_query, "Authorization").when(~own & has, "X-App-Token").alias("header"),
         F.when(own & ~in_query, F.concat(F.lit("Bearer "), F.coalesce(secret, F.lit("")))).when(~own & has, secret).alias("value"),
     )
+
+
+def credential_chain(own_key: Column, custom_url: Column, custom_token: Column, shared_url: Column, shared_token: Column, vendor: str = "a", direct: str = "") -> Column:
+    """Array of struct(kind, base, secret) to try, best first: an own key, a custom proxy, the shared one; those that are null or '' are left out."""
+    prefix = PREFIX_B if vendor == "b" else ""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    one = lambda kind, there, base, secret: F.when(there, F.struct(F.lit(kind).alias("kind"), base.alias("base"), secret.alias("secret")))
+    key, url = trim_spaces(own_key), strip_slashes(custom_url)
+    chain = F.array(
+        one("own", has(key), F.lit(direct), key),
+        one("custom", url != "", F.concat(url, F.lit(prefix)), trim_spaces(F.coalesce(custom_token, F.lit("")))),
+        one("shared", has(shared_url), F.concat(shared_url, F.lit(prefix)), shared_token),
+    )
+    return F.array_compact(chain)

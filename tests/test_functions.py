@@ -109,3 +109,9 @@ def test_urls(one):
     call = lambda k, secret, auth="query": tuple(one(urls.request_url(s(k), s("h"), s("/m"), s(secret), auth)))
     assert call("own", "a b") == ("h/m?key=a+b", None, None) and call("own", "k", "bearer") == ("h/m", "Authorization", "Bearer k")
     assert call("shared", "t") == ("h/m", "X-App-Token", "t") and call("shared", "") == ("h/m", None, None)
+
+
+def test_credentials(one):
+    chain = lambda *a, **k: [tuple(c) for c in one(urls.credential_chain(*map(s, a), **k))]
+    assert chain(" k ", "http://c/ ", "t", "http://s", "u", vendor="b", direct="http://d") == [("own", "http://d", "k"), ("custom", "http://c/groq", "t"), ("shared", "http://s/groq", "u")]
+    assert chain(None, "", None, "http://s", None) == [("shared", "http://s", None)] and chain("", None, None, "", None) == []
