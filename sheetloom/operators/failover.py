@@ -37,3 +37,10 @@ def resolve(log: DataFrame, chain: list[str], pos: str = "pos", ok: str = "ok",
     outcome = F.when(won, "success").when(F.col("_fatal").isNotNull(), "fatal").otherwise("exhausted")
     final = F.when(won, None).when(F.col("_fatal").isNotNull(), F.col("_fatal_error")).otherwise(F.col("_kept"))
     return told.select(*chain, outcome.alias("outcome"), stop.alias("stopped_at"), F.coalesce(stop, F.col("_n")).cast("long").alias("attempts"), final.alias("error"))
+
+
+def gate_retries(log: DataFrame, chain: list[str], pos: str = "pos", emitted: str = "emitted", retry: str = "retryable") -> DataFrame:
+    """T4: the log with ``retryable`` false from the first attempt on that has emitted anything: what was shown can't be taken back."""
+    so_far = Window.partitionBy(*chain).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.max(F.coalesce(F.col(emitted), F.lit(False))).over(so_far)
+    return log.withColumn(retry, F.coalesce(F.col(retry), F.lit(False)) & ~shown)

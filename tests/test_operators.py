@@ -153,3 +153,19 @@ def test_responses_and_history(spark, tmp_path):
     (tmp_path / "in/b.png").write_bytes(bytes.fromhex("89504e470d0a1a0a0000000d49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"))
     found = files.read_picked(spark, str(tmp_path / "in"))
     assert sorted((r.kind, r.s and tuple(r.s)) for r in found.select("kind", files.png_size().alias("s")).collect()) == [("image", (640, 480)), ("pdf", None)]
+
+
+def test_gate(spark):
+    rows = spark.createDataFrame([("x", 1, False, True), ("x", 2, True, True), ("x", 3, False, True), ("y", 1, None, True), ("y", 2, None, None)], "c string, pos int, emitted boolean, retryable boolean")
+    assert {(r.c, r.pos): r.retryable for r in failover.gate_retries(rows, ["c"]).collect()} == {("x", 1): True, ("x", 2): False, ("x", 3): False, ("y", 1): True, ("y", 2): False}
+
+
+def test_providers(spark):
+    from sheetloom.sources.providers import provider
+
+    assert provider("b").id == "b" and provider("zz").id == provider(None).id == "a"
+    body = json.dumps({"choices": [{"message": {"content": "<think>x</think>" + json.dumps(demo.REPORT)}}]})
+    row = provider("b").analyze(spark.createDataFrame([(body,)], "body string")).first()
+    assert row.parsed and row.report.sheet.title == "Bench supply"
+    chunks = spark.createDataFrame([("s", 1, "data: " + json.dumps({"candidates": [{"content": {"parts": [{"text": "hi"}]}}]}))], "stream_id string, seq int, chunk string")
+    assert provider("a").chat(chunks).first().text == "hi"
