@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained, on good and on bad labelled texts. A text is compressed with each,
 block by block, so that the dictionaries count alike in short and long texts. The difference of the two sizes over the
-text's size, with the better-known size's own ratio, is mapped to a probability by a logistic curve that is
-fitted to other labelled texts, weighted to the labels' true shares.
+text's size is mapped to a probability by a logistic curve that is fitted to other labelled texts, weighted to
+the labels' true shares. The curve also sees the text's size and its ratio with the good dictionary and with none: they tell
+a text that repeats itself from one that repeats what the dictionaries hold, and how far a short text's difference can be trusted.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ class Model:
     weights: list[float]
     centre: list[float]
     scale: list[float]
+    low: list[float]
+    high: list[float]
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -62,32 +65,37 @@ class Scorer:
             known.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
-        self.good, self.bad = compressor(model.good), compressor(model.bad)
+        self.good, self.bad, self.none = compressor(model.good), compressor(model.bad), compressor(b"")
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each whole text: normalised size difference (bad less good), and the logarithm of the size with the good dictionary over the text's."""
-        out = np.empty((len(texts), 2))
-        good, bad = self.good.compress, self.bad.compress
+        """For each whole text: normalised size difference (bad less good), logarithms of the ratios with the good dictionary and with none, and of the size."""
+        out = np.empty((len(texts), 4))
+        good, bad, none = self.good.compress, self.bad.compress, self.none.compress
         for i, text in enumerate(texts):
-            with_good = with_bad = 0
+            with_good = with_bad = with_none = 0
             for b in blocks(text):
                 with_good += len(good(b))
                 with_bad += len(bad(b))
-            out[i] = (with_bad - with_good) / (len(text) + _FLOOR), np.log(with_good / (len(text) + _FLOOR))
+                with_none += len(none(b))
+            size = len(text) + _FLOOR
+            out[i] = (with_bad - with_good) / size, np.log(with_good / size), np.log(with_none / size), np.log(size)
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return _curve(self.features(texts), self.model)
+        """Probabilities. Features beyond those that the curve was fitted to count as the nearest of these."""
+        m = self.model
+        x = np.clip(self.features(texts), m.low, m.high)
+        z = (_terms(x) - m.centre) / m.scale @ np.array(m.weights)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
-    d, r = x.T
-    return np.stack((d, r, d * d, d * r, r * r, np.ones(len(d))), axis=1)
+    """The features, their squares and products, and 1."""
+    k = x.shape[1]
+    return np.column_stack([x, *(x[:, i] * x[:, j] for i in range(k) for j in range(i, k)), np.ones(len(x))])
 
 
-def _curve(x: np.ndarray, model: Model) -> np.ndarray:
-    z = (np.clip(_terms(x), -50, 50) - model.centre) / model.scale @ np.array(model.weights)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+N_TERMS = 15
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -124,23 +132,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     curve = [[t for t, q, c in rows if q == k and c] for k in (0, 1)]
     counts = [sum(n for (_, q), n in shares.items() if q == k) for k in (0, 1)]
     prior = (counts[1] + 1) / (sum(counts) + 2)
-    flat = Model(b"", b"", [0.0, 0.0, 0.0, 0.0, 0.0, float(np.log(prior / (1 - prior)))], [0.0] * 6, [1.0] * 6)
+    flat = Model(b"", b"", [0.0] * (N_TERMS - 1) + [float(np.log(prior / (1 - prior)))], [0.0] * N_TERMS, [1.0] * N_TERMS, [-50.0] * 4, [50.0] * 4)
     if not all(teach) or not all(curve):
         return flat
-    model = Model(_dictionary(teach[1]), _dictionary(teach[0]), flat.weights, flat.centre, flat.scale)
-    x = _terms(model.scorer().features(curve[0] + curve[1]))
+    good, bad = _dictionary(teach[1]), _dictionary(teach[0])
+    seen = Model(good, bad, flat.weights, flat.centre, flat.scale, flat.low, flat.high).scorer().features(curve[0] + curve[1])
+    x = _terms(seen)
     y = np.array([0.0] * len(curve[0]) + [1.0] * len(curve[1]))
     weight = np.where(y == 1, counts[1] / len(curve[1]), counts[0] / len(curve[0]))
     weight *= len(y) / weight.sum()
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     centre[-1], scale[-1] = 0, 1
     x = (x - centre) / scale
-    w, ridge = np.zeros(6), np.array([0.1] * 5 + [1e-6])
-    for _ in range(60):
+    w, ridge = np.zeros(N_TERMS), np.array([0.1] * (N_TERMS - 1) + [1e-6])
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge) + 1e-9 * np.eye(6), x.T @ (weight * (y - p)) - ridge * w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge) + 1e-9 * np.eye(N_TERMS), x.T @ (weight * (y - p)) - ridge * w)
         w += step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
-    return Model(model.good, model.bad, w.tolist(), centre.tolist(), scale.tolist())
+    return Model(good, bad, w.tolist(), centre.tolist(), scale.tolist(), seen.min(axis=0).tolist(), seen.max(axis=0).tolist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
