@@ -28,16 +28,23 @@ def percent_used(used: Column, cap: Column) -> Column:
     return F.when(cap <= 0, F.lit(0).cast("long")).otherwise(F.least(F.lit(100).cast("long"), F.floor(used * 100 / cap + 0.5).cast("long")))
 
 
-def admit(requests: DataFrame, who: str, ts: str, order: list[str], cap: int = DAILY_CAP) -> DataFrame:
+def admit(requests: DataFrame, who: str, ts: str, order: list[str], cap: int = DAILY_CAP, salts: int = 1) -> DataFrame:
     """Every request with day, allowed (fewer than ``cap`` of the caller's day came before), used and remaining after it, and percent.
 
-    Refused requests don't count. ``order`` breaks ties of ``ts``. One shuffle by caller and day: no caller's history
-    is in one task, only a day of it.
+    Refused requests don't count. ``order`` breaks ties of ``ts``. One shuffle by caller and day. If a caller may have a large share
+    of all requests in a day, ``salts`` cuts its day into as many parts: what isn't among a part's first ``cap`` is
+    refused, and only the others, at most ``cap * salts`` a day, are counted together. The result is the same.
     """
-    day = Window.partitionBy(who, "day").orderBy(ts, *order)
-    seen = requests.withColumn("day", utc_day(F.col(ts))).withColumn("_n", F.row_number().over(day).cast("long"))
-    used = F.least(F.col("_n"), F.lit(cap).cast("long"))
-    return seen.withColumn("allowed", F.col("_n") <= cap).withColumn("used", used).withColumn("remaining", cap - used).withColumn("percent", percent_used(used, F.lit(cap))).drop("_n")
+    seen = requests.withColumn("day", utc_day(F.col(ts)))
+    whole = [F.col(who), F.col("day")]
+    if salts > 1:
+        seen = seen.withColumn("_salt", F.pmod(F.xxhash64(ts, *order), F.lit(salts)))
+        seen = seen.withColumn("_n", F.row_number().over(Window.partitionBy(*whole, "_salt").orderBy(ts, *order)))
+        whole.append(F.when(F.col("_n") > cap, F.col("_salt")))  # the refused stay apart
+    place = F.row_number().over(Window.partitionBy(*whole).orderBy(ts, *order)).cast("long")
+    seen = seen.withColumn("_place", F.when(F.col("_n") > cap, cap + 1).otherwise(place) if salts > 1 else place)
+    used = F.least(F.col("_place"), F.lit(cap).cast("long"))
+    return seen.withColumn("allowed", F.col("_place") <= cap).withColumn("used", used).withColumn("remaining", cap - used).withColumn("percent", percent_used(used, F.lit(cap))).drop("_n", "_salt", "_place")
 
 
 def daily_usage(requests: DataFrame, who: str, ts: str, cap: int = DAILY_CAP) -> DataFrame:

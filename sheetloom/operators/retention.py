@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ENTRIES = 25  # fixed value
@@ -17,18 +17,33 @@ def newest(entries: DataFrame, at: str, tie: list[str], n: int = MOST_ENTRIES, w
     return rows.where(F.col("_n") <= n).drop("_n")
 
 
-def byte_budget(entries: DataFrame, within: list[str], at: str, tie: list[str], base: str, extra: str, budget: int) -> DataFrame:
+def byte_budget(entries: DataFrame, within: list[str], at: str, tie: list[str], base: str, extra: str, budget: int, slices: Column | None = None) -> DataFrame:
     """Entries with keep_entry and keep_extra, as if the oldest extras and then the oldest entries were shed until all fits.
 
-    ``base`` and ``extra`` are sizes in bytes (null: 0). Partitioned by ``within``; one window pass.
+    ``base`` and ``extra`` are sizes in bytes (null: 0). A history is one window partition. Where one may hold a large share
+    of all entries, ``slices``, an expression that never falls as ``at`` rises, cuts it: the slices' sums, combined
+    before their shuffle, give each slice what is newer than it, and windows stay within a slice. ``at`` is not null then.
     """
-    b, x = F.coalesce(base, F.lit(0)), F.coalesce(extra, F.lit(0))
-    from_newest = Window.partitionBy(*within).orderBy(F.col(at).desc_nulls_last(), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    everything = F.sum(b).over(Window.partitionBy(*within))
-    fits = everything <= budget
-    kept = fits & (everything + F.sum(x).over(from_newest) <= budget) & (x > 0)
-    stays = fits | (F.sum(b).over(from_newest) <= budget)
-    return entries.withColumn("keep_entry", stays).withColumn("keep_extra", kept)
+    rows = entries.withColumn("_b", F.coalesce(base, F.lit(0)).cast("long")).withColumn("_x", F.coalesce(extra, F.lit(0)).cast("long"))
+    key = list(within)
+    if slices is None:
+        rows = rows.withColumn("_all", F.sum("_b").over(Window.partitionBy(*key))).withColumn("_newer_b", F.lit(0)).withColumn("_newer_x", F.lit(0))
+    else:
+        rows = rows.withColumn("_slice", slices)
+        newer = Window.partitionBy(*key).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*key, "_slice").agg(F.sum("_b").alias("_sb"), F.sum("_x").alias("_sx"))
+        before = lambda c: F.coalesce(F.sum(c).over(newer), F.lit(0))
+        sums = sums.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("_slice").alias("_k"), F.sum("_sb").over(Window.partitionBy(*key)).alias("_all"), before("_sb").alias("_newer_b"), before("_sx").alias("_newer_x"))
+        same = F.col("_slice").eqNullSafe(F.col("_k"))
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        rows = rows.join(sums, same)
+        key.append("_slice")
+    from_newest = Window.partitionBy(*key).orderBy(F.col(at).desc_nulls_last(), *tie).rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.col("_all") <= budget
+    rows = rows.withColumn("_cb", F.col("_newer_b") + F.sum("_b").over(from_newest)).withColumn("_cx", F.col("_newer_x") + F.sum("_x").over(from_newest))
+    kept = fits & (F.col("_all") + F.col("_cx") <= budget) & (F.col("_x") > 0)
+    return rows.select(*entries.columns, (fits | (F.col("_cb") <= budget)).alias("keep_entry"), kept.alias("keep_extra"))
 
 
 def replace_value(entries: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:

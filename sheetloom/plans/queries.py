@@ -14,6 +14,8 @@ from ..operators import failover, graph, keyreport, lookups, quota, ranking, ret
 from ..streaming import sse
 
 NOW = "2024-01-30 12:00:00"
+#: A caller or source may hold a third of all rows: a day is counted in so many parts, a history summed in slices of so many ids.
+SALTS, SLICE = 16, 100_000
 PRIORITIES = ["3-MEDIUM", "1-URGENT", "5-LOW", "2-HIGH"]
 
 
@@ -23,7 +25,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    seen = quota.admit(events, "user_id", "ts", ["event_id"], cap=3)
+    seen = quota.admit(events, "user_id", "ts", ["event_id"], cap=3, salts=SALTS)
     return seen.select("event_id", "user_id", F.col("day").cast("string").alias("day"), "allowed", "used", "remaining", "percent")
 
 
@@ -88,7 +90,7 @@ def newest_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_budget_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.lit(150).alias("base"))
-    return retention.byte_budget(docs, ["source"], "doc_id", [], "base", "n_chars", 60_000).select("doc_id", "keep_entry", "keep_extra")
+    return retention.byte_budget(docs, ["source"], "doc_id", [], "base", "n_chars", 60_000, slices=F.floor(F.col("doc_id") / SLICE)).select("doc_id", "keep_entry", "keep_extra")
 
 
 def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

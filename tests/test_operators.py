@@ -55,6 +55,9 @@ def test_quota(spark):
     frame = spark.createDataFrame(rows, "id int, who string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r.id: (r.allowed, r.used, r.remaining, r.percent) for r in quota.admit(frame, "who", "ts", ["id"], cap=3).collect()}
     assert got == {0: (True, 1, 2, 33), 1: (True, 2, 1, 67), 2: (True, 3, 0, 100), 3: (False, 3, 0, 100), 9: (True, 1, 2, 33), 10: (True, 1, 2, 33)}
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("who"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 37 % 200_000).alias("ts"))
+    one, parts = (quota.admit(rows, "who", "ts", ["id"], cap=7, salts=k) for k in (1, 5))
+    assert one.columns == parts.columns and one.exceptAll(parts).count() == 0 and parts.count() == 3000
     used = {(r.who, str(r.day)): (r.used, r.refused) for r in quota.daily_usage(frame, "who", "ts", 3).collect()}
     assert used[("u", "2024-01-01")] == (3, 1)
     day = F.lit("2024-02-28").cast("date")
@@ -88,6 +91,8 @@ def test_byte_budget(spark):
     frame = spark.createDataFrame(rows, "g int, at int, base int, extra int")
     got = {(r.g, r.at): (r.keep_entry, r.keep_extra) for r in retention.byte_budget(frame, ["g"], "at", [], "base", "extra", 40).collect()}
     assert got == want
+    cut = retention.byte_budget(frame, ["g"], "at", [], "base", "extra", 40, slices=F.floor(F.col("at") / 3))
+    assert {(r.g, r.at): (r.keep_entry, r.keep_extra) for r in cut.collect()} == want
 
 
 def test_retention(spark):
