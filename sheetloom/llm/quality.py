@@ -22,7 +22,7 @@ DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 #: The bounded sample for fitting: labelled rows for each class and each of the two parts (dictionaries, curve), and bytes used of each.
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 14
 #: Folds are the remainders of crc32(doc_id as text) by 4.
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _FLOOR = 32  # bytes added to a text's size, so that very short ones don't blow up the ratios
