@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, sharding, token_orc, warc
-from .storage import new_path
+from .storage import materialize, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,19 +73,19 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over the whole table: every document is put under two tokenizer versions; those labelled toxic are deleted; those labelled bad are counted anew. The second batch is sent twice."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    counts = docs.select("doc_id", "source", "lang", rollup.spaced_words("text").alias("words"), size.alias("bytes"), rollup.plain_words("text").alias("plain"))
+    counts = materialize(counts, "counts")  # texts are read once and never shuffled
     store = rollup.RollupStore(spark, new_path(spark, "rollup"))
-    counted = F.explode(F.array(
-        F.struct(F.lit("words-1").alias("tokenizer"), rollup.spaced_words("text").alias("n_tokens")),
-        F.struct(F.lit("bytes-1").alias("tokenizer"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_tokens")),
-    ))
     keep = ["doc_id", "source", "lang"]
-    store.commit(1, docs.select(*keep, counted.alias("c")).select(*keep, "c.*", F.lit("put").alias("op")))
-    toxic = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi")
+    both = F.explode(F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("words").alias("n_tokens")), F.struct(F.lit("bytes-1").alias("tokenizer"), F.col("bytes").alias("n_tokens"))))
+    store.commit(1, counts.select(*keep, both.alias("c")).select(*keep, "c.*", F.lit("put").alias("op")))
+    toxic = counts.join(labels.where("toxic = 1"), "doc_id", "left_semi")
     gone = toxic.select(*keep, F.explode(F.array(F.lit("words-1"), F.lit("bytes-1"))).alias("tokenizer"), F.lit(None).cast("long").alias("n_tokens"), F.lit("delete").alias("op"))
     store.commit(2, gone)
     store.commit(2, gone)
-    bad = docs.join(labels.where("quality = 0 AND toxic = 0"), "doc_id", "left_semi")
-    store.commit(3, bad.select(*keep, F.lit("words-1").alias("tokenizer"), rollup.plain_words("text").alias("n_tokens"), F.lit("put").alias("op")))
+    bad = counts.join(labels.where("quality = 0 AND toxic = 0"), "doc_id", "left_semi")
+    store.commit(3, bad.select(*keep, F.lit("words-1").alias("tokenizer"), F.col("plain").alias("n_tokens"), F.lit("put").alias("op")))
     return store.totals().select("source", "lang", "tokenizer", "docs", "tokens")
 
 
