@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 BLOCK = 2048
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
-#: The bounded sample for fitting: labelled rows for each class and each of the two parts (dictionaries, curve), and bytes used of each.
+#: The bounded sample for fitting: labelled rows for each class and each of the two parts (dictionaries, curve). Their texts are used whole.
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 1 << 14
+#: Bytes of a class's texts that the driver gathers for its dictionary: beyond them fewer rows are taken, never parts of texts.
+TEACH_BYTES = 32 << 20
 #: Folds are the remainders of crc32(doc_id as text) by 4.
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
 _FLOOR = 32  # bytes added to a text's size, so that very short ones don't blow up the ratios
@@ -96,27 +99,55 @@ def _terms(x: np.ndarray) -> np.ndarray:
 
 
 N_TERMS = 15
+NUMBERS = ["quality", "difference", "with_good", "with_none", "size"]
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; where there is too little to train on, the texts' own bytes."""
+    """A trained dictionary; where there is too little to train on, all the texts' own bytes."""
     import zstandard
 
     parts = [b for t in texts for b in blocks(t) if b]
     if sum(map(len, parts)) < 8 * DICTIONARY_BYTES:
-        return b"".join(parts)[-DICTIONARY_BYTES:]
+        return b"".join(parts)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # samples too alike to train on
-        return b"".join(parts)[-DICTIONARY_BYTES:]
+    except zstandard.ZstdError:  # samples too alike to train on: their different blocks, spread over all texts if they are many
+        parts = list(dict.fromkeys(parts))
+        return b"".join(parts[:: -(-sum(map(len, parts)) // (8 * DICTIONARY_BYTES))])
+
+
+def _teaching(rows: DataFrame) -> list[bytes]:
+    """Whole texts of the documents of least hash, until they have TEACH_BYTES bytes; one document at least."""
+    sizes = rows.groupBy("doc_id", F.xxhash64("doc_id").alias("hash")).agg(F.sum(F.octet_length("text")).alias("n")).orderBy("hash", "doc_id").toArrow()
+    until = np.cumsum(sizes.column("n").to_numpy())
+    taken = sizes.column("doc_id").slice(0, max(1, int(np.searchsorted(until, TEACH_BYTES, side="right"))))
+    if len(taken) < len(sizes):
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(pa.table({"doc_id": taken}))), "doc_id", "left_semi")
+    return rows.select("doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).column("text").to_pylist()
+
+
+def _curve(rows: DataFrame, model: Model) -> np.ndarray:
+    """The label and the features of each row's whole text, computed where the rows lie; in an order that depends on nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            found = scorer.features([t.as_py() for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T.copy())], NUMBERS)
+
+    told = rows.select(F.col("quality").cast("double").alias("quality"), "text").mapInArrow(run, ", ".join(f"{c} double" for c in NUMBERS)).toArrow()
+    told = told.sort_by([(c, "ascending") for c in NUMBERS])
+    return np.column_stack([told.column(c).to_numpy() for c in NUMBERS])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows outside the held-out fold: those of the curve's fold for the curve, the others for the dictionaries.
 
-    Of each class and part at most SAMPLE_ROWS rows, those of the least hash, and at most SAMPLE_BYTES bytes of
-    each text are gathered; class shares are counted over all labels. Labels other than 0 and 1, and rows with a null
-    doc_id or text, teach nothing. If a class has no rows in a part, the score is the share of good labels (0.5 without labels).
+    Of each class and part at most SAMPLE_ROWS labels, those of the least hash, are used, with the whole texts of their
+    documents, which are written once. The driver gathers the dictionaries' texts, in order of the hash until a class has
+    TEACH_BYTES bytes (one document at least), and the curve's features, which executors compute. Class shares are counted
+    over all labels. Labels other than 0 and 1, and rows with a null doc_id or text, teach nothing. If a class has no rows
+    in a part, the score is the share of good labels (0.5 without labels).
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"), fold(F.col("doc_id")).alias("fold")).where(F.col("fold") != HELD_OUT)
     shares = {(r[0], r[1]): r[2] for r in known.groupBy((F.col("fold") == CURVE).alias("curve"), "quality").count().collect()}
@@ -125,21 +156,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for curve in (False, True):
             part = known.where((F.col("quality") == quality) & ((F.col("fold") == CURVE) == curve)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
             chosen = part if chosen is None else chosen.unionByName(part)
-    text = F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES)
-    sample = docs.where("text IS NOT NULL").select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", (F.col("fold") == CURVE).alias("curve")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    rows = list(zip(*(sample.column(c).to_pylist() for c in ("text", "quality", "curve")), strict=True))
-    teach = [[t for t, q, c in rows if q == k and not c] for k in (0, 1)]
-    curve = [[t for t, q, c in rows if q == k and c] for k in (0, 1)]
+    chosen = chosen.select("doc_id", "quality", (F.col("fold") == CURVE).alias("curve"))
+    sample = materialize(docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
+    teach = [_teaching(sample.where(~F.col("curve") & (F.col("quality") == k))) for k in (0, 1)]
     counts = [sum(n for (_, q), n in shares.items() if q == k) for k in (0, 1)]
     prior = (counts[1] + 1) / (sum(counts) + 2)
     flat = Model(b"", b"", [0.0] * (N_TERMS - 1) + [float(np.log(prior / (1 - prior)))], [0.0] * N_TERMS, [1.0] * N_TERMS, [-50.0] * 4, [50.0] * 4)
-    if not all(teach) or not all(curve):
+    if not all(teach):
         return flat
     good, bad = _dictionary(teach[1]), _dictionary(teach[0])
-    seen = Model(good, bad, flat.weights, flat.centre, flat.scale, flat.low, flat.high).scorer().features(curve[0] + curve[1])
+    told = _curve(sample.where("curve"), Model(good, bad, flat.weights, flat.centre, flat.scale, flat.low, flat.high))
+    y, seen = told[:, 0], told[:, 1:]
+    if not 0 < y.sum() < len(y):
+        return flat
     x = _terms(seen)
-    y = np.array([0.0] * len(curve[0]) + [1.0] * len(curve[1]))
-    weight = np.where(y == 1, counts[1] / len(curve[1]), counts[0] / len(curve[0]))
+    weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (len(y) - y.sum()))
     weight *= len(y) / weight.sum()
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     centre[-1], scale[-1] = 0, 1

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -40,3 +41,29 @@ def test_odd_rows(spark, odd_docs, no_docs, sf_dir):
     none = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(odd_docs, none).collect()} == {0.5}
     assert quality.fit(no_docs, labels).good == b""
+
+
+def late(n, seed):
+    """Texts of 40 KB: all begin alike for 17 KB, and bad ones differ after that."""
+    dice = random.Random(seed)
+    text = lambda letters, size: "".join(" " + "".join(dice.choice(letters) for _ in range(5)) for _ in range(size // 6))
+    labels = [(i, i % 2, 0) for i in range(n)]
+    return [(i, text("abcd", 17_000) + text("abcd" if q else "uvwx", 23_000)) for i, q, _ in labels], labels
+
+
+def test_texts_teach_whole(spark):
+    rows, labels = late(80, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert np.exp(model.high[3]) > 39_000
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).where("held_out").collect()}
+    assert min(s for i, s in scores.items() if i % 2) > 0.7 > max(s for i, s in scores.items() if not i % 2)
+
+
+def test_fewer_rows_rather_than_prefixes(spark, monkeypatch):
+    rows, labels = late(40, 6)
+    monkeypatch.setattr(quality, "TEACH_BYTES", 90_000)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for learnt, k in ((model.bad, 0), (model.good, 1)):
+        whole = [t.encode() for i, t in rows if i % 2 == k and t.encode() in learnt]
+        assert len(whole) == 2 and len(learnt) == sum(map(len, whole))
