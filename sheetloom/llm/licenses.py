@@ -1,8 +1,8 @@
 """Licence recognition by sentences: known sentences become identifiers, ordered rules match runs of identifiers.
 
 A text is cut into sentences, and into lines, each normalised to lower-case words. A sentence that is known is
-replaced by its identifier, any other by a gap. Rules apply in their order to what earlier rules left; a
-rule matches a run of identifiers without gaps. All of it is column expressions.
+replaced by its identifier, a mere list number by '#', any other by a gap. Rules apply in their order to what earlier rules left; a
+rule matches a run of identifiers without gaps, list numbers left out. All of it is column expressions.
 """
 
 from __future__ import annotations
@@ -91,6 +91,8 @@ SENTENCE_END = r"[.!?:;]+([\t\n\f\r ]|\z)|\n[\t\r ]*\n"
 LINE_END = r"[\r\n]+"
 OTHER = "[^a-z0-9]+"
 ITEM = r"^ ?[0-9] "
+#: A list number whose full stop ended the sentence: it counts as a sentence, but is no gap between its neighbours.
+ITEM_ONLY = "^[0-9]{1,2}$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,18 +108,18 @@ def _form(sentence: Column) -> Column:
 
 
 def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Array of the identifiers of the text's non-empty sentences, '-' for those that aren't known."""
+    """Array of the identifiers of the text's non-empty sentences, '#' for those that are a list number, '-' for others that aren't known."""
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (normalise(s), k)])
     lengths = [len(normalise(s)) for s in sentences.values()]
     parts = F.split(F.regexp_replace(text, end, "\x01"), "\x01")
     forms = F.filter(F.transform(parts, _form), lambda s: s != "")
     fits = lambda s: F.length(s).between(min(lengths), max(lengths))
-    return F.transform(forms, lambda s: F.when(fits(s), F.coalesce(F.try_element_at(known, s), F.lit("-"))).otherwise(F.lit("-")))
+    return F.transform(forms, lambda s: F.when(fits(s), F.coalesce(F.try_element_at(known, s), F.lit("-"))).when((F.length(s) <= 2) & s.rlike(ITEM_ONLY), F.lit("#")).otherwise(F.lit("-")))
 
 
 def matched(found: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
-    """The run of identifiers as text, with what the rules matched replaced by [licence]."""
-    start = F.array_join(F.transform(found, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
+    """The run of identifiers without list numbers as text, with what the rules matched replaced by [licence]."""
+    start = F.array_join(F.transform(F.filter(found, lambda i: i != "#"), lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     return reduce(lambda s, rule: F.replace(s, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit(f"[{rule[0]}]")), rules, start)
 
 
@@ -131,7 +133,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = docs.select("doc_id", identifiers(text, SENTENCE_END, sentences).alias("by_sentence"), identifiers(text, LINE_END, sentences).alias("by_line"))
-    known = lambda c: F.size(F.filter(c, lambda i: i != "-"))
+    known = lambda c: F.size(F.filter(c, lambda i: ~i.isin("-", "#")))
     stated = lambda c: F.regexp_extract_all(matched(F.col(c), rules), F.lit(r"\[([^\]]+)\]"), F.lit(1))
     told = ids.select("doc_id", F.size("by_sentence").cast("long").alias("n_sentences"), F.greatest(known("by_sentence"), known("by_line")).cast("long").alias("n_known"), F.concat(stated("by_sentence"), stated("by_line")).alias("statements"))
     names = F.array_sort(F.array_distinct("statements"))
@@ -139,7 +141,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
 
 
 def license_sql(table: str = "documents") -> str:
-    """DuckDB SQL for doc_id, n_sentences, n_known, n_licenses and licenses of :func:`license_scan`."""
+    """DuckDB SQL for doc_id, n_sentences, n_known, n_licenses and licenses of :func:`license_scan`, but for numbered clauses on several lines: here a list number is a gap."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "map([" + ", ".join(quote(normalise(s)) for s in SENTENCES.values()) + "], [" + ", ".join(map(quote, SENTENCES)) + "])"
 

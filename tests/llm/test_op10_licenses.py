@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from sheetloom.llm import licenses, queries
@@ -46,3 +48,13 @@ def test_sentences_are_single(spark):
     rows = spark.createDataFrame(list(licenses.SENTENCES.items()), "k string, s string").select("k", licenses.identifiers(F.col("s"), licenses.SENTENCE_END).alias("i")).collect()
     assert all(r.i == [r.k] for r in rows)
     assert {i for _, run in licenses.RULES for i in run} <= set(licenses.SENTENCES)
+
+
+def test_wrapped_numbered_clauses(spark):
+    s = licenses.SENTENCES
+    wrap = lambda n, k: textwrap.fill(f"{n}. {s[k]}", 79, subsequent_indent="   ")
+    bsd = [textwrap.fill(s["bsd-allow"], 79), wrap(1, "bsd-source"), wrap(2, "bsd-binary")]
+    bsd3 = [*bsd, wrap(3, "bsd-names")]
+    comment = "/*\n" + "".join(f" * {line}\n" for line in "\n".join(bsd3).split("\n")) + " */"
+    other = [bsd[0], bsd[1], "2. Something else.", wrap(3, "bsd-binary")]
+    assert found(spark, "\n".join(bsd), "\n\n".join(bsd3), "\r\n".join(bsd3), comment, "\n".join(other)) == ["BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause", ""]
