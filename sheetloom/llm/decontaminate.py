@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .positional_index import Segment, build_index, search
-from .storage import new_path
+from .positional_index import MOST_TERMS, SCHEMA, Segment, build_index, search
+from .storage import materialize, new_path
 from .words import LETTERS, word_hashes
 
-#: Bytes of benchmark texts that may be gathered: the stated query set, which goes to every task (there, about 40 bytes for each byte of text).
+#: Bytes of benchmark items that are gathered at a time: a block of the stated query set, which goes to every task (there, about 40 bytes for each byte of text).
 MOST_QUERY_BYTES = 8 << 20
-HITS = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+SPANS = "spans array<struct<start:long,end:long>>"
+HITS = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, " + SPANS
+#: What a block finds in a document, which is told by its segment and its place in it.
+PART = "segment long, at long, items array<string>, " + SPANS
 
 
 @dataclass
@@ -32,14 +38,8 @@ class Windows:
 def windows(items: DataFrame, words: int = 10) -> Windows:
     """All runs of ``words`` words of each item (columns item_id and text); an item with fewer words, but some, is one window.
 
-    A null text has none; a null item_id counts as the empty string. Gathers the items' texts on the driver
-    after a check of their size: a benchmark is a stated query set of bounded size, not part of the corpus.
+    A null text has none; a null item_id counts as the empty string. Gathers the items' texts on the driver.
     """
-    from pyspark.sql import functions as F
-
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MOST_QUERY_BYTES:
-        raise ValueError(f"the query set has {size} bytes of text; at most {MOST_QUERY_BYTES} can go to every task. Search it in parts.")
     table = items.select(F.col("item_id").cast("string").alias("item_id"), "text").toArrow()
     texts = table.column("text").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.array([], pa.string())
@@ -52,53 +52,158 @@ def windows(items: DataFrame, words: int = 10) -> Windows:
     return Windows([list(w) for w in found], [sorted(s) for s in found.values()])
 
 
+def blocks(items: DataFrame) -> list[DataFrame]:
+    """The items in blocks of at most MOST_QUERY_BYTES bytes; a larger item is a block of its own. A small query set is one block as it is."""
+    table = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0))
+    if (table.agg(F.sum(size)).first()[0] or 0) <= MOST_QUERY_BYTES:
+        return [table]
+    most = MOST_QUERY_BYTES
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = []
+            for n in batch.column(2).to_pylist():
+                if held and held + n > most:
+                    block, held = block + 1, 0
+                held += n
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], ["item_id", "text", "size", "block"])
+
+    rows = table.where("text IS NOT NULL").select("item_id", "text", size.cast("long").alias("size"))
+    numbered = materialize(rows.mapInArrow(number, "item_id string, text string, size long, block long"), "items")
+    joined: list[list[int]] = []
+    for block, n in numbered.groupBy("block").agg(F.sum("size")).orderBy("block").collect():
+        if joined and joined[-1][2] + n <= most:
+            joined[-1][1:] = block, joined[-1][2] + n
+        else:
+            joined.append([block, block, n])
+    return [numbered.where(F.col("block").between(a, b)).select("item_id", "text") for a, b, _ in joined]
+
+
+def vocabulary(items: Iterable[DataFrame]) -> np.ndarray | None:
+    """The sorted hashes of all the items' words; None if they are more than an index is restricted to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = np.unique(word_hashes(batch.column(0).cast(pa.string()), LETTERS)[0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashed)], ["term"])
+
+    found = np.zeros(0, dtype=np.int64)
+    for block in items:
+        own = block.select("text").mapInArrow(run, "term long").distinct().limit(MOST_TERMS + 1).toArrow().column("term")
+        found = np.union1d(found, own.to_numpy())
+        if len(found) > MOST_TERMS:
+            return None
+    return found
+
+
+def _merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that overlap or touch made one."""
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate(([True], begins[1:] > ends[:-1]))
+    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(begins) - 1]))
+    return begins[new], ends[last]
+
+
+def _search(segment: Segment, queries: Windows) -> tuple[dict[int, set[str]], dict[int, list[dict[str, int]]]]:
+    """The items and the merged spans found in each of the segment's documents that has any."""
+    covered: list[tuple[np.ndarray, int]] = []
+    owners: dict[int, set[str]] = {}
+    have = segment.lists
+    for terms, items_of in zip(queries.terms, queries.items, strict=True):
+        if any(t not in have for t in terms):
+            continue
+        places = segment.phrase(terms)
+        if len(places):
+            covered.append((places, len(terms)))
+            for d in np.unique(segment.documents(places)).tolist():
+                owners.setdefault(d, set()).update(items_of)
+    rows = {d: [] for d in owners}
+    if covered:
+        begins, ends = _merged(np.concatenate([p for p, _ in covered]), np.concatenate([p + k for p, k in covered]))
+        for d, a, b in zip(segment.documents(begins).tolist(), begins.tolist(), ends.tolist(), strict=True):
+            at = int(segment.starts[d])
+            rows[d].append({"start": a - at, "end": b - at})
+    return owners, rows
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _told(doc_ids: list[int | None], words: list[int], found: list[list[str]], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+    """Rows of HITS, from sorted items and merged spans."""
+    hits = [sum(s["end"] - s["start"] for s in own) for own in spans]
+    digest = [hashlib.sha256(",".join(f).encode()).hexdigest() for f in found]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(), _SPANS]
+    values = [doc_ids, words, hits, [len(f) for f in found], found, digest, [h > 0 for h in hits], spans]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFrame:
     """Every row of ``docs`` (columns doc_id and text are used, others ignored) with the words that lie in occurrences of the items' windows.
 
     Returns doc_id, n_words, n_hit, n_items, items (sorted), items_sha256 (of the comma-joined items),
     contaminated, and spans: the hit runs of words, as word numbers from 0, end excluded. A null or empty
     text has no words and no hits; null and repeated doc_ids each keep their row; no documents or no
-    items give no hits.
+    items give no hits. A query set of more than one block is searched block by block over one index, and
+    what the blocks find is merged by document row.
     """
     spark = docs.sparkSession
-    stated = windows(items, words)
-    vocabulary = stated.vocabulary()
     path = new_path(spark, "positions")
-    build_index(docs, path, vocabulary)
+    parts = blocks(items)
+    if len(parts) > 1:
+        build_index(docs, path, vocabulary(parts))
+        return _merge(docs, path, parts, words)
+    stated = windows(parts[0], words)
+    terms = stated.vocabulary()
+    build_index(docs, path, terms)
     sent = spark.sparkContext.broadcast(stated)
 
     def query(segment: Segment) -> pa.RecordBatch:
-        queries = sent.value
+        owners, rows = _search(segment, sent.value)
         n = len(segment.doc_ids)
-        covered: list[tuple[np.ndarray, int]] = []
-        owners: dict[int, set[str]] = {}
-        have = segment.lists
-        for terms, items_of in zip(queries.terms, queries.items, strict=True):
-            if any(t not in have for t in terms):
-                continue
-            places = segment.phrase(terms)
-            if len(places):
-                covered.append((places, len(terms)))
-                for d in np.unique(segment.documents(places)).tolist():
-                    owners.setdefault(d, set()).update(items_of)
-        rows = {d: [] for d in owners}
-        if covered:  # merge the occurrences' runs
-            begins = np.concatenate([p for p, _ in covered])
-            ends = np.concatenate([p + k for p, k in covered])
-            order = np.argsort(begins, kind="stable")
-            begins, ends = begins[order], np.maximum.accumulate(ends[order])
-            new = np.concatenate(([True], begins[1:] > ends[:-1]))
-            last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(begins) - 1]))
-            begins, ends = begins[new], ends[last]
-            for d, a, b in zip(segment.documents(begins).tolist(), begins.tolist(), ends.tolist(), strict=True):
-                at = int(segment.starts[d])
-                rows[d].append({"start": a - at, "end": b - at})
-        found = [sorted(owners.get(d, ())) for d in range(n)]
-        spans = [rows.get(d, []) for d in range(n)]
-        hits = [sum(s["end"] - s["start"] for s in own) for own in spans]
-        digest = [hashlib.sha256(",".join(f).encode()).hexdigest() for f in found]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        values = [segment.doc_ids, segment.words.tolist(), hits, [len(f) for f in found], found, digest, [h > 0 for h in hits], spans]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"])
-
-    return search(spark, path, vocabulary, query, HITS)
+        return _told(segment.doc_ids, segment.words.tolist(), [sorted(owners.get(d, ())) for d in range(n)], [rows.get(d, []) for d in range(n)])
+
+    return search(spark, path, terms, query, HITS)
+
+
+def _merge(docs: DataFrame, path: str, parts: list[DataFrame], words: int) -> DataFrame:
+    """Search the index for each block, one after another, and put together what they find in a document row."""
+    spark = docs.sparkSession
+    found = new_path(spark, "hits")
+    for part in parts:
+        _search_block(path, found, part, words)
+    hits = spark.read.schema(PART).parquet(found).groupBy("segment", "at").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = spark.read.schema(SCHEMA).parquet(path).where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("at", "doc"))
+    rows = rows.select("segment", F.col("at").cast("long").alias("at"), F.col("doc.doc_ids").alias("doc_id"), F.col("doc.doc_words").alias("n_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts, items, spans = (batch.column(i).to_pylist() for i in range(4))
+            merged = []
+            for own in spans:
+                runs = _merged(np.array([s["start"] for s in own]), np.array([s["end"] for s in own])) if own else ((), ())
+                merged.append([{"start": int(a), "end": int(b)} for a, b in zip(*runs, strict=True)])
+            yield _told(ids, counts, [sorted(set(f or ())) for f in items], merged)
+
+    return rows.join(hits, ["segment", "at"], "left").select("doc_id", "n_words", "items", "spans").mapInArrow(run, HITS)
+
+
+def _search_block(path: str, found: str, part: DataFrame, words: int) -> None:
+    """Append rows of PART for the documents in which a block's windows occur."""
+    spark = part.sparkSession
+    stated = windows(part, words)
+    sent = spark.sparkContext.broadcast(stated)
+
+    def query(segment: Segment) -> pa.RecordBatch:
+        owners, rows = _search(segment, sent.value)
+        hit = sorted(owners)
+        values = [[segment.number] * len(hit), hit, [sorted(owners[d]) for d in hit], [rows[d] for d in hit]]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), _SPANS]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["segment", "at", "items", "spans"])
+
+    search(spark, path, stated.vocabulary(), query, PART).write.mode("append").option("compression", "zstd").parquet(found)
+    sent.destroy()

@@ -110,6 +110,7 @@ class Segment:
     words: np.ndarray
     starts: np.ndarray
     lists: dict[int, np.ndarray] = field(default_factory=dict)
+    number: int = -1
 
     def phrase(self, terms: list[int]) -> np.ndarray:
         """Ascending numbers at which the terms stand one after another."""
@@ -150,7 +151,7 @@ def _in(values: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def search(spark: SparkSession, path: str, terms: np.ndarray, query: Callable[[Segment], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``query`` to every segment of the index, with the lists of ``terms`` (signed hashes) at hand. Rows of ``schema``."""
+    """Apply ``query`` to every segment of the index, with the lists of ``terms`` (signed hashes) at hand. Rows of ``schema``. The index can be searched as often as wanted."""
     index = spark.read.schema(SCHEMA).parquet(path)
     if len(terms) <= MOST_TERMS:
         stated = spark.createDataFrame(pa.table({"term": pa.array(np.unique(terms), pa.int64())}))
@@ -165,7 +166,7 @@ def search(spark: SparkSession, path: str, terms: np.ndarray, query: Callable[[S
                     if segment is not None:
                         yield query(segment)
                     words = np.array(columns[5][i].as_py(), dtype=np.int64)
-                    segment, here = Segment(columns[4][i].as_py(), words, np.concatenate(([0], np.cumsum(words + GAP)[:-1]))), number
+                    segment, here = Segment(columns[4][i].as_py(), words, np.concatenate(([0], np.cumsum(words + GAP)[:-1])), number=number), number
                 else:
                     segment.lists[term] = _unpacked(columns[3][i].as_py())
         if segment is not None:

@@ -100,3 +100,20 @@ def test_proximity(spark):
         assert len(rows) == want
     with pytest.raises(ValueError):
         positional_index.Segment([], np.zeros(0), np.zeros(0)).near([1], 1 << 16)
+
+
+def test_a_large_query_set_is_searched_in_blocks(spark, monkeypatch, odd_docs, odd_rows):
+    monkeypatch.setattr(positional_index, "SEGMENT_WORDS", 50)
+    dice = random.Random(11)
+    text = lambda n: " ".join(dice.choice("aa b Cc d9 é".split()) for _ in range(n))
+    docs = [(i % 30 if i % 7 else None, text(dice.randint(0, 40))) for i in range(80)] + [(1, None)]
+    items = [(i, text(dice.randint(0, 30))) for i in range(40)] + [(None, "aa b Cc"), (5, None), (3, "b b b b"), (8, text(3000))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    whole = decontaminate.contamination(*frames, words=4).collect()
+    monkeypatch.setattr(decontaminate, "MOST_QUERY_BYTES", 300)
+    assert len(decontaminate.blocks(frames[1])) > 3
+    rows = decontaminate.contamination(*frames, words=4).collect()
+    same(rows, brute(docs, items, 4))
+    assert sorted(map(repr, rows)) == sorted(map(repr, whole))
+    bench = [(1, "two three four five six seven eight nine ten eleven"), (2, "one"), (5, "w3 x3 w4 x4 w5 x5 w6 x6 w7 x7 w8 x8" + " y" * 300)]
+    same(decontaminate.contamination(odd_docs, spark.createDataFrame(bench, "item_id long, text string")).collect(), brute([(r[0], r[1]) for r in odd_rows], bench, 10))
