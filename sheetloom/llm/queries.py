@@ -6,20 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, sharding, token_orc, warc
-from .storage import materialize, new_path
+from .storage import materialize, new_path, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Rows per Arrow batch, so that a batch of long texts stays small in a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-
-
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     path = new_path(spark, "tokens")
     token_orc.write_tokens(_table(spark, sf_dir, "documents"), path)
     tokens = token_orc.read_tokens(spark, path)
@@ -32,40 +27,42 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_differencing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+    small_batches(spark)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80).drop("text_mark", "first")
 
 
 def op9_positional_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     hits = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=10)
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     path = new_path(spark, "media")
     stored = media.store_as_tiff(_table(spark, sf_dir, "documents"))
     stored.write.option("compression", "none").parquet(path)  # the images are compressed already
     paged = media.tiff_pages(spark.read.schema(media.STORED).parquet(path))
-    return media.page_features(paged).drop("page", "error")
+    told = media.page_features(paged)
+    sound = F.when(F.col("error").isNull(), F.col("feature")).otherwise(F.raise_error("error"))  # what was just stored must come back
+    return told.withColumn("feature", sound).drop("page", "error")
 
 
 def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     path = new_path(spark, "warc")
     warc.write_records(_table(spark, sf_dir, "pages"), path, min_bytes=0)
     return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
+    small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
 
@@ -107,16 +104,20 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Rows that repeat a doc_id are one document: the one with the greatest count, then source, then language. Rows without doc_id count each.
     "op3_token_rollup": r"""
 WITH live AS (
-  SELECT source, lang, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0) AS bad
-  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+  SELECT source, lang, text, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0 AND doc_id IS NOT NULL), FALSE) AS bad
+  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
 counted AS (
-  SELECT source, lang, 'words-1' AS tokenizer,
+  SELECT doc_id, source, lang, 'words-1' AS tokenizer,
          len(regexp_extract_all(coalesce(text, ''), CASE WHEN bad THEN '[A-Za-z0-9]+' ELSE '[^\x20\x09-\x0D]+' END)) AS n
   FROM live
-  UNION ALL SELECT source, lang, 'bytes-1', octet_length(encode(coalesce(text, ''))) FROM live)
+  UNION ALL SELECT doc_id, source, lang, 'bytes-1', octet_length(encode(coalesce(text, ''))) FROM live),
+one AS (
+  SELECT * FROM counted
+  QUALIFY doc_id IS NULL OR row_number() OVER (PARTITION BY doc_id, tokenizer ORDER BY n DESC, coalesce(source, '') DESC, coalesce(lang, '') DESC) = 1)
 SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens
-FROM counted GROUP BY source, lang, tokenizer""",
+FROM one GROUP BY source, lang, tokenizer""",
     "op10_license_sentences": licenses.license_sql(),
 }

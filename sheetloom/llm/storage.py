@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset, a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local master does without it, in a folder of our own: executors elsewhere wouldn't see that."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sheetloom-")
@@ -38,6 +41,19 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Rows per Arrow batch, so that a batch of long texts stays small in a worker's memory. Plans are made lazily, so this stays set; a session that sets its own number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(rows))
+
+
+def text_mark() -> Column:
+    """A 64-bit hash of the column ``text``, which tells rows that repeat a doc_id apart; null for null."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+
+
 def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``dropped``'s; rows with a null doc_id stay. The ids are written first, so that their true size decides how they are joined."""
-    return docs.join(materialize(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for those whose (doc_id, text_mark) is among ``dropped``'s; nulls equal nulls. The keys are written first, so that their true size decides how they are joined."""
+    keys = materialize(dropped.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct(), name)
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & text_mark().eqNullSafe(F.col("_mark")), "left_anti")
