@@ -3,7 +3,8 @@
 A byte-level BPE encodes the pieces that its pattern cuts a text into one by one. A space that a
 non-space follows always begins a new piece, and no piece reaches past it, so the text between two such
 spaces encodes alike wherever it stands. Those stretches are encoded once per worker and looked up after
-that; texts with any other run of spaces go to the library whole. The result is the library's.
+that; texts with any other run of spaces, or with the name of an added token, go to the library whole. The
+result is the library's with its default flags: the name of an added token in a text gives that token's id.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from array import array
 REMEMBERED = 700_000
 #: Characters of the longest stretch that is remembered.
 LONG = 64
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+_ODD_SPACE = r" (?:\s|\Z)"
 #: A run of letters at a stretch's start, with what is neither letter nor digit after it: one piece of the pattern.
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}(?=\W|\Z)")
 _LOADED: dict[str, Encoder] = {}
@@ -75,7 +76,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        names = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = re.compile("|".join([_ODD_SPACE, *map(re.escape, names)]))
         self.known = _Stretches(self.tokenizer)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
@@ -85,7 +87,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(last)
-            elif _ODD_SPACE.search(text):
+            elif self.odd.search(text):
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + last)
             else:
                 parts = text.split(" ")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, encoder
+from .storage import text_mark
 
 SCHEMA = "part int, doc_id long, n_tokens long, part_start long, ids array<int>"
 #: Files whose totals may be broadcast (16 bytes each); with more, the totals are joined by shuffle.
@@ -33,8 +34,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str |
     """Encode every row's whole text (columns doc_id and text are used, others ignored) and write ORC files at ``path``.
 
     Each document's ids end with ``end_id``; a null or empty text has that id alone. Rows are in ascending
-    (doc_id, text) order over the files, null ids first; repeated ids each keep their row. No rows give a
-    table without rows. A task that runs again writes the same rows.
+    doc_id order over the files, null ids first; repeated ids each keep their row, in the order of a hash of the text and
+    then of the text. Ranges are cut by doc_id, that hash and a random number, so neither a frequent id nor a frequent row fills a
+    file. No rows give a table without rows.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -54,7 +56,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str |
                     ["part", "doc_id", "n_tokens", "part_start", "ids"],
                 )
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spread = docs.select("doc_id", "text", F.coalesce(text_mark(), F.lit(0)).alias("mark"), F.rand(5).alias("spread"))
+    ordered = spread.repartitionByRange("doc_id", "mark", "spread").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(row_index_stride), "orc.create.index": "true"}
     ordered.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
 
