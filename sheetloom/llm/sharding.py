@@ -10,9 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 ROUNDS = 6
 #: First walk steps that every row out of range may take; the few rows that need more walk on, as far as the domain's excess.
 NEAR_WALK = 32
+#: Buckets that are numbered apart, at least.
+LEAST_BUCKETS = 64
+#: Numbers of a repeated key that are spread out at a time.
+RUN = 10_000
 
 
 def _sides(n: Column) -> tuple[Column, Column]:
@@ -65,25 +71,34 @@ def unpermute(position: Column, n: Column, seed: int = 0) -> Column:
     return _walk(position, n, seed, True)
 
 
-def number_rows(df: DataFrame, key: list[str], buckets: int = 4096, number: str = "row_number", total: str = "n_rows") -> DataFrame:
-    """Dense row numbers 0..N-1 that depend on the rows' keys alone, not on how they are partitioned.
+def number_rows(df: DataFrame, key: list[str], rows_per_bucket: int = 50_000, number: str = "row_number", total: str = "n_rows") -> DataFrame:
+    """The key columns of every row of ``df`` with dense row numbers 0..N-1 that depend on the keys alone, not on how rows are partitioned.
 
-    Rows are ordered by hash bucket of the first key column, then by all key columns. Buckets are counted
-    first (from the first key column only), so that each bucket numbers its own rows from a known offset.
-    The offsets are at most ``buckets`` rows whatever the input, which bounds the broadcast. Rows equal in
-    every key column are interchangeable; null keys sort first within their bucket. No rows: no rows.
+    Rows equal in every key column are interchangeable: they are counted first, numbered as one with the numbers they need, and
+    spread out again in runs of RUN numbers, so a key that many rows repeat is no burden to any task. Distinct keys are ordered by hash bucket
+    and then by key; the number of buckets follows from N. Buckets' sums give each its offset; whether the
+    offsets (16 bytes for ``rows_per_bucket`` rows) are broadcast is left to Spark, which knows their
+    written size. Nulls are keys like others. No rows: no rows.
     """
-    bucket = F.pmod(F.xxhash64(key[0]), F.lit(buckets)).cast("int")
-    counts = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_count"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"), F.sum("_count").over(everything).alias(total))
-    within = Window.partitionBy("_bucket").orderBy(*key)
-    numbered = df.withColumn("_bucket", bucket).withColumn("_rank", F.row_number().over(within).cast("long"))
-    return numbered.join(F.broadcast(offsets), "_bucket").withColumn(number, F.col("_offset") + F.col("_rank") - 1).drop("_bucket", "_rank", "_offset")
-
-
-def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20240229, buckets: int = 4096) -> DataFrame:
+    distinct = materialize(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), "keys")
+    rows, keys = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = max(LEAST_BUCKETS, -(-keys // rows_per_bucket))
+    dealt = distinct.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets).cast("long")))
+    sums = dealt.groupBy("_bucket").agg(F.sum("_n").alias("_sum"))
+    before = lambda *by: Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(sums.select("_bucket", F.coalesce(F.sum("_sum").over(before("_bucket")), F.lit(0)).alias("_offset")), "offsets")
+    within = Window.partitionBy("_bucket").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    begun = dealt.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, "_bucket").withColumn("_at", F.col("_at") + F.col("_offset"))
+    last = F.col("_at") + F.col("_n")
+    single = begun.where("_n = 1").select(*key, F.col("_at").alias(number))
+    runs = begun.where("_n > 1").select(*key, last.alias("_last"), F.explode(F.sequence("_at", last - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    if not distinct.where(F.col("_n") > RUN).isEmpty():
+        runs = runs.repartition(*key, "_from")
+    several = runs.select(*key, F.explode(F.sequence("_from", F.least(F.col("_from") + RUN, "_last") - 1)).alias(number))
+    return single.unionByName(several).withColumn(total, F.lit(rows).cast("long"))
+
+
+def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20240229, rows_per_bucket: int = 50_000) -> DataFrame:
     """Every row of ``docs`` (columns doc_id and text are used, others ignored) in one of ``shards`` shards.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, row_number, n_rows, shard, slot. Law:
@@ -97,7 +112,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20240229, buckets:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    numbered = number_rows(lean, ["doc_id", "text_crc32", "size"], buckets)
+    numbered = number_rows(lean, ["doc_id", "text_crc32", "size"], rows_per_bucket)
     position = permute(F.col("row_number"), F.col("n_rows"), seed)
     placed = numbered.withColumn("_position", position)
     return placed.select(

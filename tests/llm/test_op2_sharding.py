@@ -43,7 +43,7 @@ def test_query(spark, sf_dir):
 
 def test_reproducible_over_partitions_and_computable(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    get = lambda d: {r.doc_id: (r.shard, r.slot, r.row_number) for r in sharding.shard_rows(d, buckets=32).collect()}
+    get = lambda d: {r.doc_id: (r.shard, r.slot, r.row_number) for r in sharding.shard_rows(d, rows_per_bucket=3).collect()}
     first = get(docs)
     assert first == get(docs.repartition(7)) == get(docs.orderBy(F.desc("doc_id")))
     n = F.lit(len(first)).cast("long")
@@ -59,5 +59,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert sharding.shard_rows(no_docs).count() == 0
 
 
+def test_repeated_rows_are_spread_and_counted(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(5, "hot")] * 100 + [(None, None)] * 40 + [(i, f"t{i}") for i in range(60)] + [(i, "again") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = sharding.shard_rows(docs, shards=8, rows_per_bucket=10).collect()
+    assert sorted(r.row_number for r in placed) == list(range(260)) and {r.n_rows for r in placed} == {260}
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in placed) == want
+    lawful(placed, 8)
+
+
 def test_no_python_in_the_plan(odd_docs):
     assert "Python" not in sharding.shard_rows(odd_docs)._jdf.queryExecution().executedPlan().toString()
