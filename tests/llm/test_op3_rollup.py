@@ -37,6 +37,9 @@ def test_random_batches_against_a_dictionary(spark):
         changes = spark.createDataFrame(rows, CHANGES)
         assert store.commit(batch, changes)
         assert not store.commit(batch, changes)  # sent twice: nothing changes
+        if batch == 2:
+            store.compact()
+            store.compact()
         docs, tokens = Counter(), Counter()
         for (_, t), (s, lang, n) in live.items():
             docs[s, lang, t] += 1
@@ -66,3 +69,26 @@ def test_odd_rows(spark):
     assert totals(store) == {(None, None, "v"): (2, 5), (None, "en", "v"): (1, 0), ("a", "en", "v"): (1, 9)}
     store.commit(2, spark.createDataFrame([], CHANGES))
     assert len(totals(store)) == 3
+
+
+def test_repeated_documents_against_sql(spark, tmp_path):
+    rows = [(1, "a b c", "en", "s"), (1, "a", "de", "t"), (2, "x y!", "en", "s"), (2, "x y!", "en", "s"), (3, "bad one, two", "en", "s"), (3, "bad, b, c", "en", "u"), (4, "toxic", "en", "s"), (4, "more", "en", "s"), (None, "n n", None, None), (None, "n n", None, None), (5, None, "en", "s")]
+    labels = [(3, 0, 0), (4, 1, 1), (9, 0, 1), (None, 0, 0), (None, 1, 1), (3, 0, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op3_token_rollup"]).fetchall()
+    got = list(map(tuple, queries.op3_token_rollup(spark, str(tmp_path)).collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_later_commits_read_nothing_before_the_snapshot(spark):
+    store = rollup.RollupStore(spark, new_path(spark, "r"), parts=4)
+    store.commit(1, spark.createDataFrame([(i, "v", "s", "en", i, "put", "") for i in range(20)], CHANGES))
+    store.commit(2, spark.createDataFrame([(3, "v", "s", "en", None, "delete", "")], CHANGES))
+    store.compact()
+    assert store._ledger().count() == 19 and not any("/ledger/" in f for f in store._ledger().inputFiles())
+    store.commit(3, spark.createDataFrame([(3, "v", "t", "en", 5, "put", ""), (4, "v", "s", "en", 7, "put", "")], CHANGES))
+    assert totals(store) == {("s", "en", "v"): (19, sum(range(20)) - 3 + 3), ("t", "en", "v"): (1, 5)}
