@@ -25,7 +25,7 @@ SCHEMA = "record long, chunk long, last boolean, bytes binary, digest binary"
 RECORDS = "record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, intact boolean"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _IDS = uuid.uuid5(uuid.NAMESPACE_URL, "urn:sheetloom:warc")
-_HEAD_LIMIT = 1 << 20
+_PIECE = 1 << 14
 _END = b"\r\n\r\n"
 
 
@@ -129,17 +129,17 @@ class Reader:
         self.after = b""
 
     def _headers(self, data: memoryview) -> tuple[dict[str, str] | None, memoryview]:
-        before = len(self.held)
-        self.held += data[:_HEAD_LIMIT]
-        end = self.held.find(_END, max(0, before - 3))
-        if end < 0:
-            if len(self.held) > _HEAD_LIMIT:
-                raise ValueError("a WARC header of over a megabyte")
-            return None, data[:0]
-        lines = self.held[:end].decode().split("\r\n")
-        self.held = bytearray()
-        found = {"": lines[0]} | {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        return found, data[end + 4 - before :]
+        """The headers once their end has come, and what follows it. Only a header is held, of whatever length."""
+        for at in range(0, len(data), _PIECE):
+            before = len(self.held)
+            self.held += data[at : at + _PIECE]
+            end = self.held.find(_END, max(0, before - 3))
+            if end >= 0:
+                lines = self.held[:end].decode().split("\r\n")
+                self.held = bytearray()
+                found = {"": lines[0]} | {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                return found, data[at + end + 4 - before :]
+        return None, data[:0]
 
     def feed(self, data: bytes) -> None:
         rest = memoryview(data)

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetloom.llm import queries, warc
@@ -48,6 +49,29 @@ def test_odd_rows_in_small_chunks(spark):
     assert warc.read_records(spark, path).count() == 0
 
 
+def test_headers_of_any_length(spark):
+    pages = spark.createDataFrame([(1, "u" * 3_000_000, "k" * 500, 1, "s", 2), (2, "v" * 1_500_000, "m" * 3_000_000, 1, "s", 2)], SCHEMA)
+    path = new_path(spark, "w")
+    warc.write_records(pages, path)
+    rows = {r.page_id: r for r in warc.read_records(spark, path).collect()}
+    assert {i: (r.payload_bytes, r.intact, len(r.target_uri)) for i, r in rows.items()} == {1: (500, True, 3_000_000), 2: (3_000_000, True, 1_500_000)}
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_half_the_pages_repeat_others(spark, threshold):
+    """Both ways of joining the first copies: by shuffle and by broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = [(i, f"http://x/{i}", f"page {i % 150} " + "<p>text</p>" * (i % 150)) for i in range(300)] + [(1000 + i, "u", "hot page") for i in range(150)]
+        path = new_path(spark, "w")
+        warc.write_records(spark.createDataFrame([(*r, 1, "s", 2) for r in rows], SCHEMA).repartition(4), path)
+        records = warc.read_records(spark, path).collect()
+        check([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records], [(a, c) for a, _, c in rows])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_damage_is_seen(spark):
     pages = spark.createDataFrame([(1, "u", "k" * 500, 1, "s", 2), (2, "u", "m" * 500, 1, "s", 2)], SCHEMA).coalesce(1)
     path, hurt = new_path(spark, "w"), new_path(spark, "w")
