@@ -12,9 +12,9 @@ and no row leaves the task that read it: packing shuffles nothing.
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,41 +24,47 @@ from .bpe import default_vocabulary, encoder
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequences of one task lie in a range of their own of this many ids.
 TASK_IDS = 1 << 36
+#: Rows of a batch that a task hands on.
+ROWS_AT_ONCE = 8192
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Spread items over ``k`` windows by multiway differencing: indices by window. Ties go by item order, so equal input gives equal output."""
+    """Spread items over ``k`` windows by multiway differencing: indices by window. Ties go by item order, so equal input gives equal output.
+
+    A partial partition lists its windows that hold anything as (sum, first item, last item), fullest first; an item's successor in its
+    window is linked. So an item starts as one entry, two partitions that fit side by side are merely put
+    together, and memory grows with the items, not with items times windows.
+    """
     n = len(sizes)
     if n <= k:
         return [[i] for i in range(n)] + [[] for _ in range(k - n)]
-    follow = np.full(n, -1, dtype=np.int64)
-    order = sorted(range(n), key=lambda i: (-sizes[i], i))
-    heap, count = [], 0
-    for i in order:
-        sums = np.zeros(k, dtype=np.int64)
-        ends = np.full((2, k), -1, dtype=np.int64)  # first and last item of each window; the others follow the first
-        sums[0], ends[:, 0] = sizes[i], i
-        heap.append((-sizes[i], count, sums, ends))
-        count += 1
-    heapq.heapify(heap)
+    follow = [-1] * n
+    heap = [(-sizes[i], turn, [(sizes[i], i, i)]) for turn, i in enumerate(sorted(range(n), key=lambda i: (-sizes[i], i)))]
+    turn = n  # the list is in ascending order, which is a heap
+    fullest = lambda w: -w[0]
     while len(heap) > 1:
-        _, _, a, ends_a = heapq.heappop(heap)
-        _, _, b, ends_b = heapq.heappop(heap)
-        b, ends_b = b[::-1], ends_b[:, ::-1]  # both are in descending order of their sums
-        both = (ends_a[1] >= 0) & (ends_b[0] >= 0)
-        follow[ends_a[1][both]] = ends_b[0][both]
-        ends = np.stack((np.where(ends_a[0] >= 0, ends_a[0], ends_b[0]), np.where(ends_b[1] >= 0, ends_b[1], ends_a[1])))
-        sums = a + b
-        down = np.argsort(-sums, kind="stable")
-        sums, ends = sums[down], ends[:, down]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), count, sums - sums[-1], ends))
-        count += 1
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
+        spare = k - len(a)
+        both, alone = a, b[:spare]  # fullest onto emptiest: the first windows of b go to empty ones
+        for more, first, last in b[spare:]:
+            less, head, tail = a.pop()
+            follow[tail] = first
+            alone.append((less + more, head, last))
+        if len(alone) == 1:
+            insort(both, alone[0], key=fullest)
+        else:
+            both = sorted(a + alone, key=fullest)
+        heapq.heappush(heap, (-(both[0][0] - (both[-1][0] if len(both) == k else 0)), turn, both))
+        turn += 1
     out = []
-    for i in heap[0][3][0].tolist():
+    for _, i, _ in heap[0][2]:
         window = []
         while i >= 0:
             window.append(i)
-            i = int(follow[i])
+            i = follow[i]
         out.append(window)
     return out
 
@@ -80,6 +86,12 @@ def cut(n: int, window: int, piece: int) -> tuple[int, list[int]]:
     return full, [rest * (j + 1) // parts - rest * j // parts for j in range(parts)]
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
 def pack(docs: DataFrame, window: int = 2048, piece: int = 512, block_windows: int = 192, end_id: int = 1, vocabulary: str | None = None, docs_at_once: int = 512) -> DataFrame:
     """Cut and pack every row's whole text (columns doc_id and text are used, others ignored).
 
@@ -100,7 +112,7 @@ def pack(docs: DataFrame, window: int = 2048, piece: int = 512, block_windows: i
         held: list[tuple[int | None, bytes]] = []
         tokens = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal following, held, tokens
             rows: list[tuple] = []
             pieces: list[tuple[int, int, int]] = []  # document, start, length
@@ -122,10 +134,12 @@ def pack(docs: DataFrame, window: int = 2048, piece: int = 512, block_windows: i
                     rows.append((doc_id, at, size, ids[at * 4 : (at + size) * 4], len(ids) // 4, following, offset))
                     offset += size
                 following += 1
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
             held, tokens = [], 0
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, docs_at_once):
@@ -134,8 +148,8 @@ def pack(docs: DataFrame, window: int = 2048, piece: int = 512, block_windows: i
                     held.append((doc_id, ids))
                     tokens += len(ids) // 4
                     if tokens >= target:
-                        yield flush()
+                        yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
