@@ -29,7 +29,7 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Rows (node, root) for every node with a link: root is the least node reachable. Links with a null end or to the node itself are ignored; no links give no rows."""
+    """Rows (node, root) for every node (of any type that has an order) with a link: root is the least node reachable. Links with a null end or to the node itself are ignored; no links give no rows."""
     edges = materialize(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"

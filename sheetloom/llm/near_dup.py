@@ -1,14 +1,17 @@
 """Near-duplicate documents: fast similarity sketches, banding, and verification on full shingle sets.
 
-1. One pass over the texts gives each document's set size, set digest and band keys. Equal sets are one
-   set from there on, so any number of copies costs one sketch's worth of work.
+1. One pass over the texts gives each row's set size, set digest and band keys. Equal sets are one
+   set from there on, so any number of copies costs one sketch's worth of work. Sets, not ids, are linked.
 2. Sets that share a band key form a bucket. Buckets with the same members are verified once.
 3. A bucket's members are dealt into blocks of bounded size. In a small bucket all pairs are compared on
    full sets, but for those that links found so far connect. In a larger one, all blocks are compared with
-   one block of pivots first, which takes rows in proportion to the bucket; components are formed; and then only members
-   outside the bucket's largest component are compared with the rest. Every pair that shares a band key is thus either
+   one block of pivots first, which takes rows in proportion to the bucket, and components are formed.
+4. Large buckets that are not one component then are searched by their sets' rarest shingles: two sets of similarity t
+   have at least a share t of either in common, so among the first (1 - t) of each, in any one order of all shingles, there
+   is a common one. Rarest first, that splits boilerplate into small groups; only sets of different
+   components in such a group are compared. Every pair that shares a band key is thus either
    verified or already connected: no bucket is capped. What leaves a task is a spanning forest of its links.
-4. Links are joined to components by star contraction.
+5. Links are joined to components by star contraction.
 
 A pair with similarity s shares a band key with probability 1 - (1 - s**rows)**bands: 1 - 3e-6 at 0.8 with
 32 bands of 5 rows, and more above.
@@ -27,37 +30,32 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import band_keys, sketches
-from .storage import materialize
+from .storage import materialize, text_mark, without
 from .words import shingle_sets
 
 #: Bounds of a block: documents, and bytes of their texts.
 BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
-_LINKS = "a long, b long"
+#: The shingles by whose counts a rarest-first order is made: those in a thousandth of the sets, and of these the most frequent. Others come first, by hash. The order changes the work, never the links.
+FREQUENT_SHARE, MOST_FREQUENT = 1000, 500_000
+_LINKS = "a binary, b binary"
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits; null without shingles), n_bytes of the text, keys (empty without shingles)."""
+    """doc_id, text_mark, n_shingles, set_hash (128 bits; null without shingles), n_bytes of the text, keys (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                sets = shingle_sets(some.column(1), words)
+                sets = shingle_sets(some.column(2), words)
                 keys = band_keys(sketches(sets, bands * rows), bands, rows)
                 some_keys = [k if len(s) else None for k, s in zip(keys, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        some.column(2),
-                        pa.array(some_keys, pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "n_shingles", "set_hash", "n_bytes", "keys"],
-                )
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                hashes = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], sizes, hashes, some.column(3), pa.array(some_keys, pa.list_(pa.int64()))], ["doc_id", "text_mark", "n_shingles", "set_hash", "n_bytes", "keys"])
 
-    lean = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return lean.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, n_bytes long, keys array<long>")
+    lean = docs.select("doc_id", text_mark().alias("text_mark"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return lean.mapInArrow(run, "doc_id long, text_mark long, n_shingles long, set_hash binary, n_bytes long, keys array<long>")
 
 
 class _Forest:
@@ -75,7 +73,7 @@ class _Forest:
         return i != j
 
 
-def linked(sets: list[np.ndarray], left: list[bool], within: bool, percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], left: list[bool], within: bool, percent: int, known: list | None = None) -> list[tuple[int, int]]:
     """Links that span the components of some sets: i and j are linked if 100 * intersection >= percent * union.
 
     Compares the sets of the left side with all others, or all with all if ``within``; pairs that are
@@ -85,7 +83,7 @@ def linked(sets: list[np.ndarray], left: list[bool], within: bool, percent: int,
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     forest, out = _Forest(n), []
     if known is not None:
-        first: dict[int, int] = {}
+        first: dict[object, int] = {}
         for i, label in enumerate(known):
             forest.join(i, first.setdefault(label, i))
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -112,36 +110,40 @@ def linked(sets: list[np.ndarray], left: list[bool], within: bool, percent: int,
     return out
 
 
+def _pairs(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
 def _verify(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """members: rep, text, bucket, pair, left, within, label (null: unknown). Links (a, b) found by comparing the members of each (bucket, pair)."""
+    """members: node, text, bucket, pair, left, within, label (null: unknown). Links (a, b) found by comparing the members of each (bucket, pair)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, bool, bool, int | None]] = []
+        held: list[tuple[bytes, np.ndarray, bool, bool, bytes | None]] = []
         group = None
 
-        def close() -> list[tuple[int, int]]:
+        def close() -> list[tuple[bytes, bytes]]:
             if len(held) < 2:
                 return []
-            reps, sets, left, within, labels = zip(*held, strict=True)
+            nodes, sets, left, within, labels = zip(*held, strict=True)
             links = linked(list(sets), list(left), within[0], percent, list(labels) if labels[0] is not None else None)
-            return [(min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in links]
+            return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in links]
 
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[bytes, bytes]] = []
             sets = shingle_sets(batch.column(1), words)
             others = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)]
-            for own, rep, bucket, pair, left, within, label in zip(sets, *others, strict=True):
+            for own, node, bucket, pair, left, within, label in zip(sets, *others, strict=True):
                 if (bucket, pair) != group:
                     found += close()
                     held, group = [], (bucket, pair)
                 if len(own):
-                    held.append((rep, own, left, within, label))
+                    held.append((node, own, left, within, label))
             if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                yield _pairs(found)
         if last := close():
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in last], pa.int64()), "b": pa.array([b for _, b in last], pa.int64())})
+            yield _pairs(last)
 
-    grouped = members.select("rep", "text", "bucket", "pair", "left", "within", F.col("label").cast("long").alias("label"))
+    grouped = members.select("node", "text", "bucket", "pair", "left", "within", "label")
     return grouped.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(run, _LINKS)
 
 
@@ -149,36 +151,45 @@ def _blocks(rows: str, size: str) -> Column:
     return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
+def _buckets(one: DataFrame, aside: list[Column] | None = None) -> DataFrame:
+    """bucket, n and blocks of the buckets of (bucket, node, n_bytes) with more members than one; of those with the same members only one."""
+    mark = F.xxhash64("node")
+    told = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"), F.bit_xor(mark).alias("mark"), F.min(mark).alias("low"), F.max(mark).alias("high"), *(aside or []))
+    told = told.where("n > 1" if not aside else "n > 1 AND mixed")
+    told = told.groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket"), F.max("size").alias("size"))
+    return told.select("bucket", "n", _blocks("n", "size").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """Every row of ``docs`` (columns doc_id and text are used, others ignored) with its near-duplicate component.
 
-    Returns doc_id, n_shingles (distinct shingles of ``words`` words), component_id (the least doc_id
-    reachable over links of ``percent`` or more, itself included) and kept (doc_id = component_id). A text
-    with fewer words is one shingle of them all. A null text or one without words links with nothing. Rows
-    that repeat a doc_id count as one document. A row with a null doc_id belongs to the component of the
-    set that equals its own, if other rows hold one, else its component_id is null and it is kept.
+    Returns doc_id, text_mark (a hash of the text), n_shingles (distinct shingles of ``words`` words), component_id (the least doc_id
+    reachable over links of ``percent`` or more, itself included), kept (doc_id = component_id), and first: whether the
+    row has the least (doc_id, text_mark) of its component, nulls last. A text with fewer words is one shingle of them all. A null
+    text or one without words links with nothing. Each row is a document of its own: rows that repeat a doc_id
+    with different texts are in the components of their texts, and aren't linked through the id. Rows that repeat
+    doc_id and text get the same result each. A component without any doc_id has a null component_id, and its rows are kept.
     """
     sig = materialize(signatures(docs, words, bands, rows), "signatures")
-    reps = materialize(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
-    one = sig.join(reps.withColumnRenamed("rep", "doc_id"), ["set_hash", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_bytes", F.explode("keys").alias("bucket"))
-    one = materialize(one, "memberships")
-    mark = F.xxhash64("rep")
-    stats = one.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"), F.bit_xor(mark).alias("mark"), F.min("rep").alias("low"), F.max("rep").alias("high")
-    )
-    stats = stats.where("n > 1").groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket"), F.max("size").alias("size"))
-    stats = materialize(stats.select("bucket", "n", _blocks("n", "size").alias("blocks")), "buckets")
-    members = materialize(one.join(stats, "bucket").select("bucket", "rep", "n_bytes", "blocks", F.pmod(mark, "blocks").cast("int").alias("block")), "members")
-    # The texts that will be compared, written once. Always by shuffle: the ids grow with the corpus.
-    wanted = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull()).hint("merge").join(wanted, "rep", "left_semi")
+    row = [F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark"]
+    sets = sig.where("n_shingles > 0").groupBy(F.col("set_hash").alias("node")).agg(F.min(F.struct(*row, "n_bytes", "keys")).alias("r"))
+    sets = materialize(sets.select("node", "r.doc_id", "r.text_mark", "r.n_bytes", "r.keys"), "sets")
+    one = sets.select("node", "n_bytes", F.explode("keys").alias("bucket"))
+    buckets = materialize(_buckets(one), "buckets")
+    members = materialize(one.join(buckets, "bucket").select("bucket", "node", "n_bytes", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "members")
+    # The texts that will be compared, written once. Always by shuffle: their number grows with the corpus.
+    wanted = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_mark")
+    texts = docs.select("doc_id", text_mark().alias("_mark"), "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("text_mark")))
+    texts = texts.select("node", "text")
+    if not sig.groupBy("doc_id", "text_mark").count().where("count > 1").isEmpty():  # rows that repeat both would be compared again and again
+        texts = texts.dropDuplicates(["node"])
     texts = materialize(texts, "texts")
 
     # The block of pivots meets every block; a small bucket is one block.
     pairs = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = members.select("bucket", "rep", F.explode(pairs).alias("pair"), (F.col("block") == 0).alias("left"))
-    first = first.withColumn("within", F.col("pair") == 0).withColumn("label", F.lit(None).cast("long"))
-    links = materialize(_verify(first.hint("merge").join(texts, "rep"), words, percent), "links")
+    first = members.select("bucket", "node", F.explode(pairs.cast("array<long>")).alias("pair"), (F.col("block") == 0).alias("left"))
+    first = first.withColumn("within", F.col("pair") == 0).withColumn("label", F.lit(None).cast("binary"))
+    links = materialize(_verify(first.hint("merge").join(texts, "node"), words, percent), "links")
     roots = materialize(components(links), "roots")
 
     large = members.where("blocks > 1")
@@ -186,31 +197,91 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         links = links.unionByName(_beyond_pivots(large, roots, texts, words, percent))
         roots = materialize(components(links), "roots")
 
-    own = sig.select("doc_id", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(F.col("doc_id") == component, component.isNull())).alias("kept"))
+    told = sets.select("node", *row).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = told.groupBy("root").agg(F.min(F.struct("last", "doc_id", "text_mark")).alias("r"))
+    told = materialize(told.select("node", "root").join(least, "root").select(F.col("node").alias("set_hash"), F.col("r.doc_id").alias("_id"), F.col("r.text_mark").alias("_mark")), "components")
+    own = sig.select("doc_id", "text_mark", "n_shingles", "set_hash").join(told, "set_hash", "left")
+    component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return own.select("doc_id", "text_mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), (F.col("set_hash").isNull() | (kept & F.col("text_mark").eqNullSafe(F.col("_mark")))).alias("first"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate component, with all columns of ``docs``: the one with the least doc_id, then the least hash of its text, nulls last.
+
+    Of rows that repeat both, the one with the least other columns stays. Rows without words stay, but for such repetitions of a doc_id and text.
+    """
+    found = materialize(near_duplicates(docs, words, percent).select("doc_id", "text_mark", "first"), "found")
+    left = without(docs, found.where("NOT first"), "copies")
+    again = found.where("first").groupBy("doc_id", "text_mark").count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return left
+    key = [F.col("doc_id").alias("_a"), F.col("text_mark").alias("_b")]
+    many = left.join(materialize(again, "repeated").select(*key), F.col("doc_id").eqNullSafe(F.col("_a")) & text_mark().eqNullSafe(F.col("_b")), "left_semi")
+    alone = many.groupBy("doc_id", text_mark().alias("_mark")).agg(F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in docs.columns])).alias("r"))
+    return without(left, again, "repeated").unionByName(alone.select(*[F.col(f"r.{c}.{c}").alias(c) for c in docs.columns]))
+
+
+def _shingles(sets: DataFrame, words: int, percent: int | None = None, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(node, element) for the shingles of the sets (node, text): all, or with ``percent`` only those that come first in an order from the rarest on, as many as that similarity needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = shingle_sets(some.column(1), words)
+                if percent is not None:
+                    known, counts = order
+                    for i, own in enumerate(found):
+                        n = len(own)
+                        keep = n + (-percent * n // 100) + 1 if n else 0
+                        place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                        often = np.where(known[place] == own, counts[place], 0) if len(known) else np.zeros(n, dtype=np.int64)
+                        found[i] = own[np.lexsort((own, often))[:keep]]
+                nodes = some.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(found).view(np.int64))], ["node", "element"])
+
+    return sets.select("node", "text").mapInArrow(run, "node binary, element long")
 
 
 def _beyond_pivots(large: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links in buckets of several blocks between members that aren't connected yet: all but the largest component against everything."""
-    labelled = materialize(large.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_bytes", F.coalesce("root", "rep").alias("label")), "labelled")
+    """Links in buckets of several blocks between members that aren't connected yet, found by the shingles that come first in an order from the rarest on."""
+    labelled = large.join(roots, "node", "left").select("bucket", "node", "n_bytes", F.coalesce("root", "node").alias("label"))
+    labelled = materialize(labelled, "labelled")
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    nodes = materialize(labelled.join(split, "bucket", "left_semi").select("node", "n_bytes", "label").distinct(), "split")
+    n = nodes.count()
+    if not n:
+        return large.sparkSession.createDataFrame([], _LINKS)
+    sets = materialize(nodes.hint("merge").join(texts, "node"), "sets")
+    often = _shingles(sets, words).groupBy("element").count().where(F.col("count") >= max(2, n // FREQUENT_SHARE)).orderBy(F.desc("count"), "element").limit(MOST_FREQUENT).toArrow()
+    known = often.column("element").to_numpy().view(np.uint64)
+    by_hash = np.argsort(known)
+    firsts = _shingles(sets, words, percent, (known[by_hash], often.column("count").to_numpy()[by_hash]))
+    one = materialize(firsts.select("node", F.col("element").alias("bucket")).join(nodes, "node"), "firsts")
+    groups = _buckets(one, [(F.min(F.xxhash64("label")) != F.max(F.xxhash64("label"))).alias("mixed")])
+    return _between_components(one.join(materialize(groups.select("bucket"), "groups"), "bucket"), sets, words, percent)
+
+
+def _between_components(labelled: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links in groups (bucket, node, n_bytes, label) between members of different labels: all but the largest component against everything, in blocks."""
+    labelled = materialize(labelled, "labelled")
     parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"))
-    parts = materialize(parts, "parts")
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", F.negate("label").alias("label"), "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("all_size"))
-    main = main.select("bucket", F.negate("m.label").alias("main"), F.col("m.n").alias("main_n"), F.col("m.size").alias("main_size"), (F.col("all") - F.col("m.n")).alias("rest_n"), (F.col("all_size") - F.col("m.size")).alias("rest_size"))
+    main = materialize(parts, "parts").groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("all_size"))
+    main = main.select("bucket", F.col("m.label").alias("main"), F.col("m.n").alias("main_n"), F.col("m.size").alias("main_size"), (F.col("all") - F.col("m.n")).alias("rest_n"), (F.col("all_size") - F.col("m.size")).alias("rest_size"))
     main = main.where("rest_n > 0").withColumn("rests", _blocks("rest_n", "rest_size")).withColumn("mains", _blocks("main_n", "main_size"))
     main = materialize(main.select("bucket", "main", "rests", "mains"), "plan")
     dealt = labelled.join(main, "bucket").withColumn("in_main", F.col("label") == F.col("main"))
-    mark = F.xxhash64("rep", F.lit(2))
-    block = F.when(F.col("in_main"), F.pmod(mark, "mains")).otherwise(F.pmod(mark, "rests")).cast("int")
+    mark = F.xxhash64("node", F.lit(2))
+    block = F.when(F.col("in_main"), F.pmod(mark, "mains")).otherwise(F.pmod(mark, "rests")).cast("long")
     dealt = dealt.withColumn("block", block)
     # Pairs: (rest i, rest j) with i <= j, and (rest i, main j); named "i.j" by rest i, j counted on from the rests.
-    span = F.col("rests") + F.col("mains")
-    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.least(i, "block") * span + F.greatest(i, "block"))
-    with_mains = F.transform(F.sequence(F.col("rests"), span - 1), lambda j: F.col("block") * span + j)
+    span = (F.col("rests") + F.col("mains")).cast("long")
+    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.least(i.cast("long"), "block") * span + F.greatest(i.cast("long"), "block"))
+    with_mains = F.transform(F.sequence(F.col("rests").cast("long"), span - 1), lambda j: F.col("block") * span + j)
     from_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: i * span + F.col("rests") + F.col("block"))
     pairs = F.when(F.col("in_main"), from_main).otherwise(F.concat(with_rests, with_mains))
-    rows = dealt.select("bucket", "rep", "label", "rests", "block", "in_main", span.alias("span"), F.explode(pairs).alias("pair"))
+    rows = dealt.select("bucket", "node", "label", "rests", "block", "in_main", span.alias("span"), F.explode(pairs).alias("pair"))
     i, j = F.floor(F.col("pair") / F.col("span")), F.pmod("pair", "span")
-    rows = rows.select("bucket", "rep", "label", "pair", (~F.col("in_main") & (F.col("block") == i)).alias("left"), (i == j).alias("within"))
-    return materialize(_verify(rows.hint("merge").join(texts, "rep"), words, percent), "links")
+    rows = rows.select("bucket", "node", "label", "pair", (~F.col("in_main") & (F.col("block") == i)).alias("left"), (i == j).alias("within"))
+    return materialize(_verify(rows.hint("merge").join(texts.select("node", "text"), "node"), words, percent), "links")

@@ -69,6 +69,39 @@ def test_large_groups_in_small_blocks(spark, monkeypatch, block):
     assert got == brute(docs, 2)
 
 
+@pytest.mark.parametrize("share", [3, 1000])
+def test_boilerplate_in_large_buckets(spark, monkeypatch, share):
+    """Texts that have 60 % in common meet in buckets by their common words, but only near copies are linked; few pairs of them are compared."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_dup, "FREQUENT_SHARE", share)
+    dice = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(60))
+    own = lambda n: " ".join(f"o{dice.random()}" for _ in range(n))
+    texts = [f"{common} {own(25)}" for _ in range(120)]
+    texts += [t + " x y" for t in texts[:30]] + [t + " z" for t in texts[10:40]] + ["short one here", "short one here too"]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame, words=2, bands=40, rows=2).collect()}
+    assert got == brute(docs, 2)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b, b2 = ("one two three four five six seven eight nine ten " + x for x in ("a b c d e f g h", "k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 0", "k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 0 also"))
+    rows = [(3, a), (7, a), (7, b), (9, b)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
+    got = near_dup.near_duplicates(frame, words=5).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept, r.first) for r in got) == Counter([(3, 3, True, True), (7, 3, False, False), (7, 7, True, True), (9, 7, False, False)])
+    assert sorted((r.doc_id, r.text) for r in near_dup.one_of_each(frame).collect()) == [(3, a), (7, b)]
+    # Ties: two near texts under one id, whole rows that repeat, rows without an id.
+    rows = [(7, b, 4), (7, b2, 3), (7, b, 2), (9, b2, 1), (None, a, 1), (None, a, 1), (None, None, 5), (None, None, 5), (4, "", 1), (4, "", 0), (5, "", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = near_dup.near_duplicates(frame, words=5).collect()
+    assert all(r.component_id == 7 and r.kept == (r.doc_id == 7) for r in got if r.n_shingles > 10 and r.doc_id)
+    kept = sorted(map(tuple, near_dup.one_of_each(frame).collect()), key=repr)
+    assert len(kept) == 5 and {k for k in kept if k[0] != 7} == {(None, a, 1), (None, None, 5), (4, "", 0), (5, "", 1)}
+    assert [k for k in kept if k[0] == 7] in ([(7, b, 2)], [(7, b2, 3)])
+
+
 def test_linked_is_exact():
     dice = np.random.default_rng(2)
     for _ in range(30):
