@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positional_index import MOST_TERMS, SCHEMA, Segment, build_index, search
+from .positional_index import MOST_TERMS, SCHEMA, Segment, build_index, frequencies, search
 from .storage import materialize, new_path
 from .words import LETTERS, word_hashes
 
 #: Bytes of benchmark items that are gathered at a time: a block of the stated query set, which goes to every task (there, about 40 bytes for each byte of text).
 MOST_QUERY_BYTES = 8 << 20
 SPANS = "spans array<struct<start:long,end:long>>"
-HITS = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, " + SPANS
+HITS = "doc_id long, text_mark long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, " + SPANS
 #: What a block finds in a document, which is told by its segment and its place in it.
 PART = "segment long, at long, items array<string>, " + SPANS
 
@@ -30,6 +30,14 @@ class Windows:
 
     terms: list[list[int]]
     items: list[list[str]]
+    by_rarest: dict[int, list[int]] = field(default_factory=dict)
+
+    def key(self, counts: dict[int, int]) -> Windows:
+        """The windows by the term of each that is rarest in the corpus: a segment without it needn't try them."""
+        found: dict[int, list[int]] = {}
+        for i, w in enumerate(self.terms):
+            found.setdefault(min(w, key=lambda t: (counts.get(t, 0), t)), []).append(i)
+        return replace(self, by_rarest=found)
 
     def vocabulary(self) -> np.ndarray:
         return np.unique(np.array([t for w in self.terms for t in w], dtype=np.int64))
@@ -113,7 +121,9 @@ def _search(segment: Segment, queries: Windows) -> tuple[dict[int, set[str]], di
     covered: list[tuple[np.ndarray, int]] = []
     owners: dict[int, set[str]] = {}
     have = segment.lists
-    for terms, items_of in zip(queries.terms, queries.items, strict=True):
+    rarest = queries.by_rarest
+    for i in (i for t in (have if len(have) < len(rarest) else rarest) if t in have and t in rarest for i in rarest[t]):
+        terms, items_of = queries.terms[i], queries.items[i]
         if any(t not in have for t in terms):
             continue
         places = segment.phrase(terms)
@@ -133,19 +143,19 @@ def _search(segment: Segment, queries: Windows) -> tuple[dict[int, set[str]], di
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _told(doc_ids: list[int | None], words: list[int], found: list[list[str]], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+def _told(doc_ids: list[int | None], marks: list[int | None], words: list[int], found: list[list[str]], spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
     """Rows of HITS, from sorted items and merged spans."""
     hits = [sum(s["end"] - s["start"] for s in own) for own in spans]
     digest = [hashlib.sha256(",".join(f).encode()).hexdigest() for f in found]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(), _SPANS]
-    values = [doc_ids, words, hits, [len(f) for f in found], found, digest, [h > 0 for h in hits], spans]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(), _SPANS]
+    values = [doc_ids, marks, words, hits, [len(f) for f in found], found, digest, [h > 0 for h in hits], spans]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "text_mark", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFrame:
     """Every row of ``docs`` (columns doc_id and text are used, others ignored) with the words that lie in occurrences of the items' windows.
 
-    Returns doc_id, n_words, n_hit, n_items, items (sorted), items_sha256 (of the comma-joined items),
+    Returns doc_id, text_mark (a hash of the text), n_words, n_hit, n_items, items (sorted), items_sha256 (of the comma-joined items),
     contaminated, and spans: the hit runs of words, as word numbers from 0, end excluded. A null or empty
     text has no words and no hits; null and repeated doc_ids each keep their row; no documents or no
     items give no hits. A query set of more than one block is searched block by block over one index, and
@@ -160,12 +170,12 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFra
     stated = windows(parts[0], words)
     terms = stated.vocabulary()
     build_index(docs, path, terms)
-    sent = spark.sparkContext.broadcast(stated)
+    sent = spark.sparkContext.broadcast(stated.key(frequencies(spark, path, terms)))
 
     def query(segment: Segment) -> pa.RecordBatch:
         owners, rows = _search(segment, sent.value)
         n = len(segment.doc_ids)
-        return _told(segment.doc_ids, segment.words.tolist(), [sorted(owners.get(d, ())) for d in range(n)], [rows.get(d, []) for d in range(n)])
+        return _told(segment.doc_ids, segment.marks, segment.words.tolist(), [sorted(owners.get(d, ())) for d in range(n)], [rows.get(d, []) for d in range(n)])
 
     return search(spark, path, terms, query, HITS)
 
@@ -177,26 +187,26 @@ def _merge(docs: DataFrame, path: str, parts: list[DataFrame], words: int) -> Da
     for part in parts:
         _search_block(path, found, part, words)
     hits = spark.read.schema(PART).parquet(found).groupBy("segment", "at").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    rows = spark.read.schema(SCHEMA).parquet(path).where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("at", "doc"))
-    rows = rows.select("segment", F.col("at").cast("long").alias("at"), F.col("doc.doc_ids").alias("doc_id"), F.col("doc.doc_words").alias("n_words"))
+    rows = spark.read.schema(SCHEMA).parquet(path).where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words", "doc_marks")).alias("at", "doc"))
+    rows = rows.select("segment", F.col("at").cast("long").alias("at"), F.col("doc.doc_ids").alias("doc_id"), F.col("doc.doc_marks").alias("text_mark"), F.col("doc.doc_words").alias("n_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, items, spans = (batch.column(i).to_pylist() for i in range(4))
+            ids, marks, counts, items, spans = (c.to_pylist() for c in batch.columns)
             merged = []
             for own in spans:
                 runs = _merged(np.array([s["start"] for s in own]), np.array([s["end"] for s in own])) if own else ((), ())
                 merged.append([{"start": int(a), "end": int(b)} for a, b in zip(*runs, strict=True)])
-            yield _told(ids, counts, [sorted(set(f or ())) for f in items], merged)
+            yield _told(ids, marks, counts, [sorted(set(f or ())) for f in items], merged)
 
-    return rows.join(hits, ["segment", "at"], "left").select("doc_id", "n_words", "items", "spans").mapInArrow(run, HITS)
+    return rows.join(hits, ["segment", "at"], "left").select("doc_id", "text_mark", "n_words", "items", "spans").mapInArrow(run, HITS)
 
 
 def _search_block(path: str, found: str, part: DataFrame, words: int) -> None:
     """Append rows of PART for the documents in which a block's windows occur."""
     spark = part.sparkSession
     stated = windows(part, words)
-    sent = spark.sparkContext.broadcast(stated)
+    sent = spark.sparkContext.broadcast(stated.key(frequencies(spark, path, stated.vocabulary())))
 
     def query(segment: Segment) -> pa.RecordBatch:
         owners, rows = _search(segment, sent.value)
@@ -207,3 +217,38 @@ def _search_block(path: str, found: str, part: DataFrame, words: int) -> None:
 
     search(spark, path, stated.vocabulary(), query, PART).write.mode("append").option("compression", "zstd").parquet(found)
     sent.destroy()
+
+
+PROXIMITY = "doc_id long, text_mark long, item_id string, positions array<long>"
+
+
+def proximity(docs: DataFrame, items: DataFrame, reach: int = 20) -> DataFrame:
+    """Documents (columns doc_id and text) that hold all distinct words of an item (item_id and text) near the one of them that is rarest in the corpus.
+
+    Returns doc_id, text_mark, item_id and positions: the word numbers, from 0, of that rarest word's occurrences that have each other
+    word of the item at most ``reach`` words away. Items without words, and null texts, match nothing; null item_ids count as
+    the empty string; repeated items give their rows each. Items are searched in blocks, as phrases are.
+    """
+    spark = docs.sparkSession
+    path, found = new_path(spark, "positions"), new_path(spark, "near")
+    parts = blocks(items)
+    build_index(docs, path, vocabulary(parts))
+    for part in parts:
+        stated = windows(part, words=1 << 30)  # each item is one window of all its words
+        sent = spark.sparkContext.broadcast(stated.key(frequencies(spark, path, stated.vocabulary())))
+
+        def query(segment: Segment, sent: Broadcast = sent) -> pa.RecordBatch:
+            queries, rows = sent.value, []
+            for t, i in ((t, i) for t in queries.by_rarest if t in segment.lists for i in queries.by_rarest[t]):
+                places = segment.near(queries.terms[i], reach, anchor=t)
+                owners = segment.documents(places)
+                for d in np.unique(owners).tolist():
+                    at = (places[owners == d] - segment.starts[d]).tolist()
+                    rows += [(segment.doc_ids[d], segment.marks[d], item, at) for item in queries.items[i]]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+            values = zip(*rows, strict=True) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "text_mark", "item_id", "positions"])
+
+        search(spark, path, stated.vocabulary(), query, PROXIMITY).write.mode("append").option("compression", "zstd").parquet(found)
+        sent.destroy()
+    return spark.read.schema(PROXIMITY).parquet(found)

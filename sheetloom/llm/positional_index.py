@@ -19,18 +19,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import text_mark
 from .words import LETTERS, slices, word_hashes
 
 #: Words of a segment. Its lists take 4 bytes a word in storage and 8 in memory.
 SEGMENT_WORDS = 3_000_000
 #: Documents of a segment.
 SEGMENT_DOCS = 50_000
+#: Segments that a search task takes, about, one after another.
+SEGMENTS_AT_ONCE = 8
 #: Numbers between the last word of a document and the first of the next: more than any phrase has, else phrases are refused.
 GAP = 1 << 16
 #: Terms of a query set that are sent to every task (8 bytes each); a larger vocabulary isn't restricted, all terms are indexed.
 MOST_TERMS = 2_000_000
-#: A segment's directory: a row without term that lists its documents and where each begins.
-SCHEMA = "segment long, term long, n long, positions binary, doc_ids array<long>, doc_words array<long>"
+#: A segment's directory: a row without term that lists its documents, their words, and hashes of their texts.
+SCHEMA = "segment long, term long, n long, positions binary, doc_ids array<long>, doc_words array<long>, doc_marks array<long>"
 
 
 def build_index(docs: DataFrame, path: str, terms: np.ndarray | None = None) -> None:
@@ -48,12 +51,13 @@ def build_index(docs: DataFrame, path: str, terms: np.ndarray | None = None) ->
         segment = (task.partitionId() if task else 0) << 32
         ids: list[int | None] = []
         counts: list[int] = []
+        marks: list[int | None] = []
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         words = at = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal segment, ids, counts, kept, words, at
-            yield _rows(segment, [None], [len(ids)], [None], [ids], [counts])
+            nonlocal segment, ids, counts, marks, kept, words, at
+            yield _rows(segment, [None], [len(ids)], [None], [ids], [counts], [marks])
             found = np.concatenate([t for t, _ in kept]) if kept else np.zeros(0, dtype=np.uint64)
             where = np.concatenate([p for _, p in kept]) if kept else np.zeros(0, dtype=np.int64)
             order = np.argsort(found.view(np.int64), kind="stable")
@@ -62,8 +66,8 @@ def build_index(docs: DataFrame, path: str, terms: np.ndarray | None = None) ->
             for a in range(0, len(cuts) - 1, 2000):
                 some = cuts[a : a + 2001].tolist()
                 spans = list(zip(some[:-1], some[1:], strict=True))
-                yield _rows(segment, [int(found[i]) for i, _ in spans], [j - i for i, j in spans], [_packed(where[i:j]) for i, j in spans], [None] * len(spans), [None] * len(spans))
-            segment, ids, counts, kept, words, at = segment + 1, [], [], [], 0, 0
+                yield _rows(segment, [int(found[i]) for i, _ in spans], [j - i for i, j in spans], [_packed(where[i:j]) for i, j in spans], *[[None] * len(spans)] * 3)
+            segment, ids, counts, marks, kept, words, at = segment + 1, [], [], [], [], 0, 0
 
         for batch in batches:
             for a, b in slices(batch.column(1)):
@@ -78,13 +82,14 @@ def build_index(docs: DataFrame, path: str, terms: np.ndarray | None = None) ->
                 kept.append((hashed, places))
                 ids += batch.column(0).slice(a, b - a).to_pylist()
                 counts += lengths.tolist()
+                marks += batch.column(2).slice(a, b - a).to_pylist()
                 at, words = int(starts[-1]), words + int(lengths.sum())
                 if words >= SEGMENT_WORDS or len(ids) >= SEGMENT_DOCS or at >= 1 << 31:
                     yield from flush()
         if ids:
             yield from flush()
 
-    docs.select("doc_id", "text").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", "text", text_mark().alias("text_mark")).mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _packed(places: np.ndarray) -> bytes:
@@ -96,10 +101,10 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, dtype="<u4"), dtype=np.int64)
 
 
-def _rows(segment: int, terms: list, n: list, positions: list, ids: list, counts: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["segment", "term", "n", "positions", "doc_ids", "doc_words"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[segment] * len(terms), terms, n, positions, ids, counts], kinds, strict=True)], names)
+def _rows(segment: int, terms: list, n: list, positions: list, ids: list, counts: list, marks: list) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+    names = ["segment", "term", "n", "positions", "doc_ids", "doc_words", "doc_marks"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[segment] * len(terms), terms, n, positions, ids, counts, marks], kinds, strict=True)], names)
 
 
 @dataclass
@@ -111,6 +116,7 @@ class Segment:
     starts: np.ndarray
     lists: dict[int, np.ndarray] = field(default_factory=dict)
     number: int = -1
+    marks: list[int | None] = field(default_factory=list)
 
     def phrase(self, terms: list[int]) -> np.ndarray:
         """Ascending numbers at which the terms stand one after another."""
@@ -127,11 +133,11 @@ class Segment:
                 break
         return found if found is not None else np.zeros(0, dtype=np.int64)
 
-    def near(self, terms: list[int], reach: int) -> np.ndarray:
-        """Ascending numbers of the rarest term's occurrences that have each other term at most ``reach`` (under 65536) words away, in the same document."""
+    def near(self, terms: list[int], reach: int, anchor: int | None = None) -> np.ndarray:
+        """Ascending numbers of the occurrences of ``anchor`` (one of the terms; else the rarest in the segment) that have each other term at most ``reach`` (under 65536) words away, in the same document."""
         if reach >= GAP:
             raise ValueError(f"a reach is less than {GAP} words")
-        rare = sorted(set(terms), key=lambda t: (len(self.lists.get(t, ())), t))
+        rare = sorted(set(terms), key=lambda t: (t != anchor, len(self.lists.get(t, ())), t))
         if not rare or any(t not in self.lists for t in rare):
             return np.zeros(0, dtype=np.int64)
         found = self.lists[rare[0]]
@@ -150,6 +156,16 @@ def _in(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     return places[at] == values
 
 
+def frequencies(spark: SparkSession, path: str, terms: np.ndarray) -> dict[int, int]:
+    """How often each of the stated ``terms`` stands in the indexed texts; terms that don't are left out. At most MOST_TERMS of them, else none are counted."""
+    if len(terms) > MOST_TERMS:
+        return {}
+    index = spark.read.schema(SCHEMA).parquet(path).where("term IS NOT NULL")
+    stated = spark.createDataFrame(pa.table({"term": pa.array(np.unique(terms), pa.int64())}))
+    found = index.join(F.broadcast(stated), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
+
+
 def search(spark: SparkSession, path: str, terms: np.ndarray, query: Callable[[Segment], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``query`` to every segment of the index, with the lists of ``terms`` (signed hashes) at hand. Rows of ``schema``. The index can be searched as often as wanted."""
     index = spark.read.schema(SCHEMA).parquet(path)
@@ -160,17 +176,19 @@ def search(spark: SparkSession, path: str, terms: np.ndarray, query: Callable[[S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, here = None, None
         for batch in batches:
-            columns = [batch.column(i) for i in range(6)]
+            columns = batch.columns
             for i, (number, term) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)):
                 if number != here:
                     if segment is not None:
                         yield query(segment)
                     words = np.array(columns[5][i].as_py(), dtype=np.int64)
-                    segment, here = Segment(columns[4][i].as_py(), words, np.concatenate(([0], np.cumsum(words + GAP)[:-1])), number=number), number
+                    segment, here = Segment(columns[4][i].as_py(), words, np.concatenate(([0], np.cumsum(words + GAP)[:-1])), number=number, marks=columns[6][i].as_py()), number
                 else:
                     segment.lists[term] = _unpacked(columns[3][i].as_py())
         if segment is not None:
             yield query(segment)
 
-    # a segment's directory, whose term is null, comes first
-    return index.repartition("segment").sortWithinPartitions(F.col("segment"), F.col("term").asc_nulls_first()).mapInArrow(run, schema)
+    # As many partitions as segments need, so that a task's share doesn't grow with the corpus; a segment's directory, whose term is null, comes first.
+    segments = spark.read.schema(SCHEMA).parquet(path).where("term IS NULL").count()
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-segments // SEGMENTS_AT_ONCE))
+    return index.repartition(width, "segment").sortWithinPartitions(F.col("segment"), F.col("term").asc_nulls_first()).mapInArrow(run, schema)

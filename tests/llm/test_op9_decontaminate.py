@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,6 +103,31 @@ def test_proximity(spark):
         positional_index.Segment([], np.zeros(0), np.zeros(0)).near([1], 1 << 16)
 
 
+@pytest.mark.parametrize("most", [8 << 20, 12])
+def test_proximity_matches_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(positional_index, "SEGMENT_WORDS", 200)
+    monkeypatch.setattr(decontaminate, "MOST_QUERY_BYTES", most)
+    dice = random.Random(8)
+    docs = [(i % 25, " ".join(dice.choice("abcdefgh" * 3 + "yz") for _ in range(dice.randint(0, 40)))) for i in range(40)] + [(None, "y a z"), (1, None), (2, "")]
+    items = [("p", "z a c"), ("q", "Y, h"), ("q", "y h"), ("r", "absent a"), ("s", ""), ("t", None), (None, "z"), ("u", "b b")]
+    counts = Counter(w for _, t in docs for w in words(t))
+    want = Counter()
+    for doc_id, text in docs:
+        said = words(text)
+        for item, query in items:
+            terms = set(words(query))
+            if terms and all(counts[t] for t in terms):
+                anchors = [t for t in terms if counts[t] == min(counts[u] for u in terms)]
+                assert len(anchors) == 1
+                at = tuple(i for i, w in enumerate(said) if w == anchors[0] and terms <= set(said[max(0, i - 4) : i + 5]))
+                if at:
+                    want[doc_id, item or "", at] += 1
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    rows = decontaminate.proximity(*frames, reach=4).collect()
+    got = Counter((r.doc_id, r.item_id, tuple(r.positions)) for r in rows)
+    assert set(got) == set(want) and len(want) > 5
+
+
 def test_a_large_query_set_is_searched_in_blocks(spark, monkeypatch, odd_docs, odd_rows):
     monkeypatch.setattr(positional_index, "SEGMENT_WORDS", 50)
     dice = random.Random(11)
