@@ -10,37 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import decontaminate, near_dup, packing, quality
-from sheetloom.llm.storage import materialize, without
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+from sheetloom.llm.storage import materialize, small_batches, without
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, fitted on the labelled ones, gives 0.7 or more."""
-    _small_batches(spark)
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model, threshold=0.7)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its runs of five words: the one with the least doc_id. Rows without doc_id stay."""
-    _small_batches(spark)
-    found = near_dup.near_duplicates(docs, words=5, percent=80)
-    return without(docs, found.where(~F.col("kept")), "copies")
+    """One row of each group that shares 80 % of its runs of five words: the one with the least doc_id. Rows are told apart by doc_id and text, so a repeated doc_id drops no other text."""
+    small_batches(spark)
+    return near_dup.one_of_each(docs, words=5, percent=80)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words of a benchmark item. Rows without doc_id stay."""
-    _small_batches(spark)
+    """Documents that hold no window of ten words of a benchmark item; of rows that repeat a doc_id only those that hold one go."""
+    small_batches(spark)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=10)
     return without(docs, found.where("contaminated"), "contaminated")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the documents in sequences of at most 2048, a row per piece."""
-    _small_batches(spark)
+    small_batches(spark)
     pieces = packing.pack(docs, window=2048)
     return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
