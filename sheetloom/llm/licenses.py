@@ -1,12 +1,14 @@
 """Licence recognition by sentences: known sentences become identifiers, ordered rules match runs of identifiers.
 
-A text is cut into sentences, and into lines, each normalised to lower-case words. A sentence that is known is
+A text is cut into sentences, and into lines, each normalised to lower-case words. A sentence of the table is
 replaced by its identifier, a mere list number by '#', any other by a gap. Rules apply in their order to what earlier rules left; a
 rule matches a run of identifiers without gaps, list numbers left out. All of it is column expressions.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from functools import reduce
 
@@ -54,9 +56,83 @@ SENTENCES = {
     "cc-by-nd-notice": "Licensed under CC BY-ND 4.0.",
     "cc-by-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "apache-copy-https": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "gpl3-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+    "gpl2-only": "version 2.",
+    "gpl2-only-license": "version 2 of the License.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "gpl-received-if-not": "If not, see <https://www.gnu.org/licenses/>.",
+    "gpl-received-if-not-http": "If not, see <http://www.gnu.org/licenses/>.",
+    "if-not-write": "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "agpl-later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "agpl-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "lgpl3-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this library;",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-liable": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;",
+    "bsd-loss": "LOSS OF USE, DATA, OR PROFITS;",
+    "bsd-theory": "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "isc-liable": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-origin": "The origin of this software must not be misrepresented;",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-short": "Licensed under CC0 1.0.",
+    "cc-by-nc-sa-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 # Rules in the order in which they apply. Longer runs come before their parts.
 RULES = [
+    ("BSD-4-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-advertising"]),
+    ("BSD-3-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liable", "bsd-loss", "bsd-theory"]),
+    ("BSD-2-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liable", "bsd-loss", "bsd-theory"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-liable"]),
+    ("0BSD", ["0bsd-grant", "isc-as-is", "isc-liable"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("MPL-2.0", ["mpl-notice", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-notice", "mpl-copy-https"]),
+    ("Zlib", ["zlib-as-is", "zlib-liable", "zlib-grant", "zlib-origin"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("CC0-1.0", ["cc0-notice"]),
+    ("CC0-1.0", ["cc0-short"]),
+    ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy-https", "apache-as-is", "apache-see"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl-later", "gpl-hope", "gpl-implied", "agpl-details"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl-later"]),
+    ("AGPL-3.0-only", ["agpl-notice"]),
+    ("GPL-3.0-only", ["gpl-free", "gpl3-only-terms"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-later", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received", "gpl-received-if-not"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-later", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received", "gpl-received-if-not-http"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms", "version-2-later", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received", "if-not-write"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-terms", "gpl2-only"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-terms", "gpl2-only-license"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "version-2.1-later", "lgpl-hope", "gpl-implied", "lgpl-details", "lgpl-received", "if-not-write"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-notice"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-notice"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-long"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-long"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-long"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-long"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-long"]),
     ("MIT", ["mit-grant", "mit-keep", "mit-as-is", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-keep", "mit-as-is"]),
     ("MIT", ["mit-grant", "mit-keep"]),
@@ -72,6 +148,7 @@ RULES = [
     ("BSD-2-Clause", ["bsd-allow", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
+    ("Unlicense", ["unlicense", "unlicense-anyone"]),
     ("Unlicense", ["unlicense"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-notice-2"]),
@@ -107,20 +184,41 @@ def _form(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(words, ITEM, " "))
 
 
+def rules_from_texts(texts: dict[str, str]) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Sentences and rules for whole licence texts, by licence: a rule is a text's run of sentences; longer runs come first. A table of any size is made this way, from a parameter."""
+    sentences: dict[str, str] = {}
+    rules = []
+    for licence, text in texts.items():
+        run = []
+        for part in re.split(SENTENCE_END.replace(r"\z", r"\Z").replace("(", "(?:"), text):
+            form = normalise(part)
+            if form and not re.fullmatch(ITEM_ONLY, form):
+                key = hashlib.md5(form.encode()).hexdigest()[:12]
+                sentences[key] = part
+                run.append(key)
+        rules.append((licence, run))
+    return sentences, sorted((r for r in rules if r[1]), key=lambda r: (-len(r[1]), r[0]))
+
+
 def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Array of the identifiers of the text's non-empty sentences, '#' for those that are a list number, '-' for others that aren't known."""
-    known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (normalise(s), k)])
-    lengths = [len(normalise(s)) for s in sentences.values()]
+    """Array of the identifiers of the text's non-empty sentences, '#' for those that are a list number, '-' for others that aren't known.
+
+    Membership is one look into a hash set; only known sentences are looked up in the table, which is one literal.
+    """
+    forms = {normalise(s): k for k, s in sentences.items()}
+    known = F.from_json(F.lit(json.dumps(forms)), "map<string,string>")
+    lengths = [len(f) for f in forms] or [0]
     parts = F.split(F.regexp_replace(text, end, "\x01"), "\x01")
-    forms = F.filter(F.transform(parts, _form), lambda s: s != "")
-    fits = lambda s: F.length(s).between(min(lengths), max(lengths))
-    return F.transform(forms, lambda s: F.when(fits(s), F.coalesce(F.try_element_at(known, s), F.lit("-"))).when((F.length(s) <= 2) & s.rlike(ITEM_ONLY), F.lit("#")).otherwise(F.lit("-")))
+    found = F.filter(F.transform(parts, _form), lambda s: s != "")
+    is_known = lambda s: F.length(s).between(min(lengths), max(lengths)) & s.isin(list(forms))
+    return F.transform(found, lambda s: F.when(is_known(s), F.try_element_at(known, s)).when((F.length(s) <= 2) & s.rlike(ITEM_ONLY), F.lit("#")).otherwise(F.lit("-")))
 
 
 def matched(found: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
-    """The run of identifiers without list numbers as text, with what the rules matched replaced by [licence]."""
+    """The run of identifiers without list numbers as text, with what the rules matched replaced by [licence]; '' if no sentence is known."""
     start = F.array_join(F.transform(F.filter(found, lambda i: i != "#"), lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
-    return reduce(lambda s, rule: F.replace(s, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit(f"[{rule[0]}]")), rules, start)
+    run = reduce(lambda s, rule: F.replace(s, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit(f"[{rule[0]}]")), rules, start)
+    return F.when(F.exists(found, lambda i: ~i.isin("#", "-")), run).otherwise("")
 
 
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -129,7 +227,8 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     Returns doc_id, n_sentences, n_known (known sentences, or known lines if they are more), n_licenses, licenses (distinct,
     in byte order, comma-joined; '' for none) and statements (what rules matched by sentence and then
     by line, in text order). A null or empty text has no sentences; null and repeated doc_ids each
-    keep their row; no rows give none.
+    keep their row; no rows give none. ``sentences`` and ``rules`` may be the few hundred of this module, or any
+    others, such as those of :func:`rules_from_texts`.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = docs.select("doc_id", identifiers(text, SENTENCE_END, sentences).alias("by_sentence"), identifiers(text, LINE_END, sentences).alias("by_line"))
@@ -141,17 +240,17 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
 
 
 def license_sql(table: str = "documents") -> str:
-    """DuckDB SQL for doc_id, n_sentences, n_known, n_licenses and licenses of :func:`license_scan`, but for numbered clauses on several lines: here a list number is a gap."""
+    """DuckDB SQL for doc_id, n_sentences, n_known, n_licenses and licenses of :func:`license_scan`."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "map([" + ", ".join(quote(normalise(s)) for s in SENTENCES.values()) + "], [" + ", ".join(map(quote, SENTENCES)) + "])"
 
     def ids(end: str) -> str:
         parts = f"string_split(regexp_replace(coalesce(text, ''), {quote(end)}, chr(1), 'g'), chr(1))"
         form = f"trim(regexp_replace(regexp_replace(translate(s, {quote(UPPER)}, {quote(LOWER)}), {quote(OTHER)}, ' ', 'g'), {quote(ITEM)}, ' '))"
-        return f"[coalesce(known[f], '-') for f in [{form} for s in {parts}] if f <> '']"
+        return f"[coalesce(known[f], CASE WHEN regexp_matches(f, {quote(ITEM_ONLY)}) THEN '#' ELSE '-' END) for f in [{form} for s in {parts}] if f <> '']"
 
     def stated(c: str) -> str:
-        runs = reduce(lambda s, rule: f"replace({s}, {quote(''.join(f'<{i}>' for i in rule[1]))}, {quote(f'[{rule[0]}]')})", RULES, f"array_to_string(['<' || i || '>' for i in {c}], '')")
+        runs = reduce(lambda s, rule: f"replace({s}, {quote(''.join(f'<{i}>' for i in rule[1]))}, {quote(f'[{rule[0]}]')})", RULES, f"array_to_string(['<' || i || '>' for i in {c} if i <> '#'], '')")
         return f"regexp_extract_all({runs}, '\\[([^\\]]+)\\]', 1)"
 
     return f"""
@@ -162,6 +261,6 @@ told AS (
          list_sort(list_distinct(list_concat({stated("by_sentence")}, {stated("by_line")}))) AS names
   FROM ids)
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences,
-       CAST(greatest(len(list_filter(by_sentence, lambda i: i <> '-')), len(list_filter(by_line, lambda i: i <> '-'))) AS BIGINT) AS n_known,
+       CAST(greatest(len(list_filter(by_sentence, lambda i: i NOT IN ('-', '#'))), len(list_filter(by_line, lambda i: i NOT IN ('-', '#')))) AS BIGINT) AS n_known,
        CAST(len(names) AS BIGINT) AS n_licenses, array_to_string(names, ',') AS licenses
 FROM told"""

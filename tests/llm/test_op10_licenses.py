@@ -1,6 +1,10 @@
+import os
+import random
+import re
 import textwrap
 
 import duckdb
+import pytest
 
 from sheetloom.llm import licenses, queries
 
@@ -58,3 +62,72 @@ def test_wrapped_numbered_clauses(spark):
     comment = "/*\n" + "".join(f" * {line}\n" for line in "\n".join(bsd3).split("\n")) + " */"
     other = [bsd[0], bsd[1], "2. Something else.", wrap(3, "bsd-binary")]
     assert found(spark, "\n".join(bsd), "\n\n".join(bsd3), "\r\n".join(bsd3), comment, "\n".join(other)) == ["BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause", ""]
+
+
+def scan(text, sentences, rules):
+    """What a text states, step by step over its sentences and its lines."""
+    form = lambda p: re.sub("^ ?[0-9] ", " ", re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), p))).strip()
+    known = {form(s): k for k, s in sentences.items()}
+    counts, names, n = [], set(), None
+    for end in (r"[.!?:;]+(?:[\t\n\f\r ]|\Z)|\n[\t\r ]*\n", r"[\r\n]+"):
+        forms = [f for f in map(form, re.split(end, text or "")) if f]
+        n = len(forms) if n is None else n
+        ids = [known.get(f, "-") for f in forms if f in known or not re.fullmatch("[0-9]{1,2}", f)]
+        counts.append(sum(i != "-" for i in ids))
+        for licence, run in rules:
+            at = 0
+            while at + len(run) <= len(ids):
+                if ids[at : at + len(run)] == run:
+                    ids[at : at + len(run)] = [("done", licence)]
+                    names.add(licence)
+                at += 1
+    return n, max(counts), len(names), ",".join(sorted(names))
+
+
+def test_against_brute_force_and_sql(spark, odd_rows):
+    dice = random.Random(6)
+    known = list(licenses.SENTENCES.values())
+    runs = [[licenses.SENTENCES[i] for i in run] for _, run in licenses.RULES]
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(dice.randint(0, 4)):
+            run = list(dice.choice(runs)) if dice.random() < 0.7 else [dice.choice(known), "Other words here."]
+            if dice.random() < 0.3:
+                run.pop(dice.randrange(len(run)))
+            if dice.random() < 0.3:
+                run = [f"{i + 1}. {s}" for i, s in enumerate(run)]
+            parts.append(dice.choice([" ", "\n", "\n\n", " \r\n"]).join(run))
+        texts.append(textwrap.fill(" ".join(parts), 70) if dice.random() < 0.3 else "\n".join(parts))
+    texts += [r[1] for r in odd_rows]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: scan(t, licenses.SENTENCES, licenses.RULES) for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.n_sentences, r.n_known, r.n_licenses, r.licenses) for r in licenses.license_scan(frame).collect()}
+    assert got == want and len({w[3] for w in want.values()}) > 25
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    assert {r[0]: r[1:] for r in con.sql(licenses.license_sql()).fetchall()} == want
+
+
+def test_a_table_made_of_whole_texts(spark):
+    s = licenses.SENTENCES
+    texts = {"X-1": " ".join(s[k] for k in ("bsd-allow", "bsd-source", "bsd-binary")), "X-2": "First of its own kind. 1. Second rule;\n\n2. third: " + s["mit-keep"]}
+    sentences, rules = licenses.rules_from_texts(texts)
+    rows = licenses.license_scan(spark.createDataFrame([(1, "Intro. " + texts["X-2"]), (2, texts["X-1"].upper()), (3, texts["X-2"].replace("third", "fourth"))], "doc_id long, text string"), sentences, rules).collect()
+    assert {r.doc_id: r.licenses for r in rows} == {1: "X-2", 2: "X-1", 3: ""}
+
+
+FOLDER = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{FOLDER}/Apache-2.0"), reason="no licence texts on this machine")
+def test_whole_licences_of_a_folder(spark):
+    names = [n for n in os.listdir(FOLDER) if not os.path.islink(f"{FOLDER}/{n}")]
+    texts = {n: open(f"{FOLDER}/{n}", encoding="utf-8", errors="replace").read() for n in names}
+    sentences, rules = licenses.rules_from_texts(texts)
+    assert len(sentences) > 500
+    docs = [(i, "Copyright (c) 2020 Someone.\n\n" + textwrap.indent(texts[n], " * ") + "\n\nint main(void);\n") for i, n in enumerate(names)] + [(len(names), texts[names[0]].replace(" the ", " a ", 1))]
+    rows = licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), sentences, rules).collect()
+    found_in = {r.doc_id: r.licenses.split(",") for r in rows}
+    assert all(n in found_in[i] for i, n in enumerate(names))
+    assert names[0] not in found_in[len(names)]
