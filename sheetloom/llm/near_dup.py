@@ -20,6 +20,7 @@ A pair with similarity s shares a band key with probability 1 - (1 - s**rows)**b
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,10 +39,17 @@ BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
 #: The shingles by whose counts a rarest-first order is made: those in a thousandth of the sets, and of these the most frequent. Others come first, by hash. The order changes the work, never the links.
 FREQUENT_SHARE, MOST_FREQUENT = 1000, 500_000
 _LINKS = "a binary, b binary"
+_SIGN = 1 << 63
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_mark, n_shingles, set_hash (128 bits; null without shingles), n_bytes of the text, keys (null without shingles)."""
+    """doc_id, text_mark, n_shingles, set_hash (128 bits), node, n_bytes of the text, keys; the hash, node and keys are null without shingles.
+
+    ``node`` names the row such that nodes are ordered as (doc_id, text_mark), nulls last.
+    """
+
+    def name(doc_id: int | None, mark: int, digest: bytes) -> bytes:
+        return struct.pack(">BQQ8s", doc_id is None, (doc_id or 0) + _SIGN, mark + _SIGN, digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,11 +59,15 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(sketches(sets, bands * rows), bands, rows)
                 some_keys = [k if len(s) else None for k, s in zip(keys, sets, strict=True)]
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                hashes = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*some.columns[:2], sizes, hashes, some.column(3), pa.array(some_keys, pa.list_(pa.int64()))], ["doc_id", "text_mark", "n_shingles", "set_hash", "n_bytes", "keys"])
+                hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                nodes = [name(i, m, h) if h else None for i, m, h in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), hashes, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:2], sizes, pa.array(hashes, pa.binary()), pa.array(nodes, pa.binary()), some.column(3), pa.array(some_keys, pa.list_(pa.int64()))],
+                    ["doc_id", "text_mark", "n_shingles", "set_hash", "node", "n_bytes", "keys"],
+                )
 
     lean = docs.select("doc_id", text_mark().alias("text_mark"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return lean.mapInArrow(run, "doc_id long, text_mark long, n_shingles long, set_hash binary, n_bytes long, keys array<long>")
+    return lean.mapInArrow(run, "doc_id long, text_mark long, n_shingles long, set_hash binary, node binary, n_bytes long, keys array<long>")
 
 
 class _Forest:
@@ -171,9 +183,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     doc_id and text get the same result each. A component without any doc_id has a null component_id, and its rows are kept.
     """
     sig = materialize(signatures(docs, words, bands, rows), "signatures")
-    row = [F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark"]
-    sets = sig.where("n_shingles > 0").groupBy(F.col("set_hash").alias("node")).agg(F.min(F.struct(*row, "n_bytes", "keys")).alias("r"))
-    sets = materialize(sets.select("node", "r.doc_id", "r.text_mark", "r.n_bytes", "r.keys"), "sets")
+    sets = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("node", "doc_id", "text_mark", "n_bytes", "keys")).alias("r")).select("set_hash", "r.*")
+    sets = materialize(sets, "sets")
     one = sets.select("node", "n_bytes", F.explode("keys").alias("bucket"))
     buckets = materialize(_buckets(one), "buckets")
     members = materialize(one.join(buckets, "bucket").select("bucket", "node", "n_bytes", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "members")
@@ -197,13 +208,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         links = links.unionByName(_beyond_pivots(large, roots, texts, words, percent))
         roots = materialize(components(links), "roots")
 
-    told = sets.select("node", *row).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = told.groupBy("root").agg(F.min(F.struct("last", "doc_id", "text_mark")).alias("r"))
-    told = materialize(told.select("node", "root").join(least, "root").select(F.col("node").alias("set_hash"), F.col("r.doc_id").alias("_id"), F.col("r.text_mark").alias("_mark")), "components")
-    own = sig.select("doc_id", "text_mark", "n_shingles", "set_hash").join(told, "set_hash", "left")
-    component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("_id"))
-    kept = F.col("doc_id").eqNullSafe(component)
-    return own.select("doc_id", "text_mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), (F.col("set_hash").isNull() | (kept & F.col("text_mark").eqNullSafe(F.col("_mark")))).alias("first"))
+    told = sets.select("set_hash", "node").join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
+    own = sig.select("doc_id", "text_mark", "n_shingles", "set_hash", "node").join(materialize(told, "components"), "set_hash", "left")
+    number = F.conv(F.hex(F.substring("root", 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(_SIGN)).cast("decimal(20,0)")
+    least = F.when(F.hex(F.substring("root", 1, 1)) == "00", number.cast("long"))
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(least)
+    first = F.col("root").isNull() | (F.col("node") == F.col("root"))
+    return own.select("doc_id", "text_mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -223,13 +234,13 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def _shingles(sets: DataFrame, words: int, percent: int | None = None, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(node, element) for the shingles of the sets (node, text): all, or with ``percent`` only those that come first in an order from the rarest on, as many as that similarity needs."""
+    """(node, n_bytes, label, element) for the shingles of the sets (node, n_bytes, label, text): all, or with ``percent`` only those that come first in an order from the rarest on, as many as that similarity needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = shingle_sets(some.column(1), words)
+                found = shingle_sets(some.column(3), words)
                 if percent is not None:
                     known, counts = order
                     for i, own in enumerate(found):
@@ -238,40 +249,48 @@ def _shingles(sets: DataFrame, words: int, percent: int | None = None, order: tu
                         place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                         often = np.where(known[place] == own, counts[place], 0) if len(known) else np.zeros(n, dtype=np.int64)
                         found[i] = own[np.lexsort((own, often))[:keep]]
-                nodes = some.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(found).view(np.int64))], ["node", "element"])
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in some.columns[:3]), pa.array(np.concatenate(found).view(np.int64))], ["node", "n_bytes", "label", "element"])
 
-    return sets.select("node", "text").mapInArrow(run, "node binary, element long")
+    return sets.select("node", "n_bytes", "label", "text").mapInArrow(run, "node binary, n_bytes long, label binary, element long")
 
 
 def _beyond_pivots(large: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links in buckets of several blocks between members that aren't connected yet, found by the shingles that come first in an order from the rarest on."""
-    labelled = large.join(roots, "node", "left").select("bucket", "node", "n_bytes", F.coalesce("root", "node").alias("label"))
-    labelled = materialize(labelled, "labelled")
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    nodes = materialize(labelled.join(split, "bucket", "left_semi").select("node", "n_bytes", "label").distinct(), "split")
-    n = nodes.count()
-    if not n:
-        return large.sparkSession.createDataFrame([], _LINKS)
+    """Links in buckets of several blocks between members that aren't connected yet.
+
+    Where those outside a bucket's largest component fit a block, they are compared with the whole bucket, which takes rows in proportion to it.
+    The others are found by the shingles that come first in an order from the rarest on.
+    """
+    labelled = materialize(large.join(roots, "node", "left").select("bucket", "node", "n_bytes", F.coalesce("root", "node").alias("label")), "labelled")
+    plan = _plan(labelled)
+    links = _between_components(labelled, plan.where("rests = 1"), texts, words, percent)
+    many = plan.where("rests > 1")
+    if many.isEmpty():
+        return links
+    nodes = materialize(labelled.join(many.select("bucket"), "bucket", "left_semi").select("node", "n_bytes", "label").distinct(), "split")
     sets = materialize(nodes.hint("merge").join(texts, "node"), "sets")
-    often = _shingles(sets, words).groupBy("element").count().where(F.col("count") >= max(2, n // FREQUENT_SHARE)).orderBy(F.desc("count"), "element").limit(MOST_FREQUENT).toArrow()
+    often = _shingles(sets, words).groupBy("element").count().where(F.col("count") >= max(2, nodes.count() // FREQUENT_SHARE)).orderBy(F.desc("count"), "element").limit(MOST_FREQUENT).toArrow()
     known = often.column("element").to_numpy().view(np.uint64)
     by_hash = np.argsort(known)
-    firsts = _shingles(sets, words, percent, (known[by_hash], often.column("count").to_numpy()[by_hash]))
-    one = materialize(firsts.select("node", F.col("element").alias("bucket")).join(nodes, "node"), "firsts")
-    groups = _buckets(one, [(F.min(F.xxhash64("label")) != F.max(F.xxhash64("label"))).alias("mixed")])
-    return _between_components(one.join(materialize(groups.select("bucket"), "groups"), "bucket"), sets, words, percent)
+    firsts = _shingles(sets, words, percent, (known[by_hash], often.column("count").to_numpy()[by_hash])).withColumnRenamed("element", "bucket")
+    firsts = materialize(firsts, "firsts")
+    groups = _buckets(firsts, [(F.min(F.xxhash64("label")) != F.max(F.xxhash64("label"))).alias("mixed")])
+    firsts = materialize(firsts.join(materialize(groups.select("bucket"), "groups"), "bucket", "left_semi"), "mixed")
+    return links.unionByName(_between_components(firsts, _plan(firsts), sets, words, percent))
 
 
-def _between_components(labelled: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links in groups (bucket, node, n_bytes, label) between members of different labels: all but the largest component against everything, in blocks."""
-    labelled = materialize(labelled, "labelled")
+def _plan(labelled: DataFrame) -> DataFrame:
+    """bucket, main (the label of its largest component), and the blocks that this and the rest take, for the buckets of (bucket, node, n_bytes, label) that are more than one component."""
     parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"))
     main = materialize(parts, "parts").groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("all_size"))
     main = main.select("bucket", F.col("m.label").alias("main"), F.col("m.n").alias("main_n"), F.col("m.size").alias("main_size"), (F.col("all") - F.col("m.n")).alias("rest_n"), (F.col("all_size") - F.col("m.size")).alias("rest_size"))
     main = main.where("rest_n > 0").withColumn("rests", _blocks("rest_n", "rest_size")).withColumn("mains", _blocks("main_n", "main_size"))
-    main = materialize(main.select("bucket", "main", "rests", "mains"), "plan")
-    dealt = labelled.join(main, "bucket").withColumn("in_main", F.col("label") == F.col("main"))
+    return materialize(main.select("bucket", "main", "rests", "mains"), "plan")
+
+
+def _between_components(labelled: DataFrame, plan: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links in the planned buckets between members of different labels: all but the largest component against everything, in blocks."""
+    dealt = labelled.join(plan, "bucket").withColumn("in_main", F.col("label") == F.col("main"))
     mark = F.xxhash64("node", F.lit(2))
     block = F.when(F.col("in_main"), F.pmod(mark, "mains")).otherwise(F.pmod(mark, "rests")).cast("long")
     dealt = dealt.withColumn("block", block)
