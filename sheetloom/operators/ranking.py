@@ -11,6 +11,7 @@ MAKES_IMAGES = "-image($|-)|image-gen|nano-banana"
 DATED = r"\d{3,4}-\d{2}-\d{2}|\d{6,8}"
 VERSION = r"(?:^|[-/a-z])(\d{1,2})(?:\.(\d+))?(?![\d.a-z])"
 UNUSABLE = -100
+MOST_MODELS = 10_000
 RAIL_ORDER = ["input", "derived", "standby", "bias", "reference"]
 
 
@@ -25,12 +26,17 @@ def model_score(name: Column) -> Column:
 
 
 def rank_models(models: DataFrame, name: str = "model", within: list[str] | None = None) -> DataFrame:
-    """Usable models with score and rank (from 1): best first, then by name in the locale's order, then by its bytes."""
+    """Usable models with score and rank (from 1): best first, then by name in the locale's order, then by its bytes.
+
+    Without ``within`` all rows are one key's list, which one task ranks: of more than MOST_MODELS it is refused.
+    """
     scored = models.withColumn("score", model_score(F.col(name))).where(F.col("score") > UNUSABLE)
     order = [F.col("score").desc(), F.collate(F.col(name), "UNICODE"), F.col(name)]
     if within:
         return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # one key's model list, a few dozen names
+    if not models.offset(MOST_MODELS).isEmpty():
+        raise ValueError(f"more than {MOST_MODELS} models: name the columns within which they are ranked")
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def best_model(models: DataFrame, name: str = "model") -> DataFrame:

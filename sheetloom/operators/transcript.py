@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chat_role
@@ -21,12 +21,23 @@ def transcripts(messages: DataFrame, key: str, turn: str, role: str, text: str)
     return messages.groupBy(key).agg(joined_in_order(line, F.col(turn), "\n").alias("transcript"), F.count(F.lit(1)).alias("messages"))
 
 
-def mark_stopped(messages: DataFrame, key: str, turn: str, text: str, stopped: str) -> DataFrame:
-    """Of conversations that were stopped (``stopped`` true on any row), the last message: '' is rolled back, other text is marked."""
-    from pyspark.sql import Window
+def mark_stopped(messages: DataFrame, key: str, turn: str, text: str, stopped: str, role: str | None = None) -> DataFrame:
+    """Conversations that were stopped (``stopped`` true on any row), as they are kept.
 
+    With ``role``: a last answer with text is marked; an empty last answer is rolled back with the question before it, and so is a last question that
+    has no answer. Without it, the last message, whosever it is, is marked, or dropped if it is empty.
+    """
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.col(turn).desc()))
     whole = Window.partitionBy(key)
-    rows = messages.withColumn("_last", F.max(turn).over(whole) == F.col(turn)).withColumn("_stopped", F.coalesce(F.max(stopped).over(whole), F.lit(False)))
-    hit = F.col("_last") & F.col("_stopped")
-    rows = rows.where(~(hit & (F.coalesce(text, F.lit("")) == "")))
-    return rows.withColumn(text, F.when(hit, F.concat(text, F.lit("\n\n" + STOPPED))).otherwise(F.col(text))).drop("_last", "_stopped")
+    rows = messages.withColumn("_back", back).withColumn("_stopped", F.coalesce(F.max(stopped).over(whole), F.lit(False)))
+    empty = F.coalesce(text, F.lit("")) == ""
+    last = F.col("_stopped") & (F.col("_back") == 1)
+    if role is None:
+        gone, marked = last & empty, last
+    else:
+        answer, question = F.col(role).isin("model", "assistant"), F.coalesce(F.col(role) == "user", F.lit(False))
+        unanswered = F.max((F.col("_back") == 1) & answer & empty).over(whole)
+        gone = (last & (question | (answer & empty))) | (F.col("_stopped") & (F.col("_back") == 2) & question & unanswered)
+        marked = last & answer
+    rows = rows.withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn(text, F.when(marked, F.concat(text, F.lit("\n\n" + STOPPED))).otherwise(F.col(text)))
+    return rows.where(~F.col("_gone")).drop("_back", "_stopped", "_gone")

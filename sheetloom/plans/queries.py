@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import errors, keys, media, text, urls
 from ..operators import failover, graph, keyreport, lookups, quota, ranking, retention, transcript
 from ..streaming import sse
+from . import records
+from .records import model_names as _models
+from .tables import table as _t
 
 NOW = "2024-01-30 12:00:00"
 #: A caller or source may hold a third of all rows: a day is counted in so many parts, a history summed in slices of so many ids.
@@ -19,10 +22,6 @@ SALTS, SLICE = 16, 100_000
 PRIORITIES = ["3-MEDIUM", "1-URGENT", "5-LOW", "2-HIGH"]
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     seen = quota.admit(events, "user_id", "ts", ["event_id"], cap=3, salts=SALTS)
@@ -43,12 +42,7 @@ def edge_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enum_order_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return orders.withColumn("position", ranking.order_position(F.col("o_orderpriority"), PRIORITIES)).orderBy("position", "o_orderkey").limit(100)
-
-
-def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat_ws("-", F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.col("p_size").cast("string"))
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_brand", name.alias("model"))
+    return orders.withColumn("position", ranking.order_position(F.col("o_orderpriority"), PRIORITIES)).orderBy("position", "o_orderkey")
 
 
 def rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +139,7 @@ def role_map_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stopped_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _t(spark, sf_dir, "conversations").withColumn("stopped", F.col("conv_id") % 3 == 0)
     said = said.withColumn("text", F.when(F.col("conv_id") % 6 == 0, F.lit("")).otherwise(F.col("text")))
-    return transcript.mark_stopped(said, "conv_id", "turn", "text", "stopped").select("conv_id", "turn", "text")
+    return transcript.mark_stopped(said, "conv_id", "turn", "text", "stopped", "role").select("conv_id", "turn", "text")
 
 
 def normalize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +208,7 @@ QUERIES = {q.__name__: q for q in (
 )}
 
 _S = text.SPACES
-_POINTS = """CASE WHEN regexp_matches(model, 'embedding|imagen|veo|tts|whisper|guard|moderation|aqa|rerank') OR regexp_matches(model, '-image($|-)|image-gen|nano-banana') THEN -100.0 ELSE
-  CASE WHEN contains(model, 'flash') THEN 30.0 ELSE 0.0 END + CASE WHEN contains(model, 'pro') THEN 22.0 ELSE 0.0 END + CASE WHEN contains(model, 'latest') THEN 15.0 ELSE 0.0 END
-  - CASE WHEN regexp_matches(model, 'preview|exp|beta') THEN 10.0 ELSE 0.0 END - CASE WHEN contains(model, 'lite') THEN 20.0 ELSE 0.0 END + 2.0 * p_size END"""
-_RANKED = f"""models AS (SELECT p_partkey, p_brand, replace(lower(p_name), ' ', '-') || '-' || p_size AS model, p_size FROM part),
-scored AS (SELECT p_partkey, p_brand, model, CAST({_POINTS} AS DOUBLE) AS score FROM models)"""
+_RANKED = f"{records.MODELS}, scored AS (SELECT p_partkey, p_brand, model, CAST({records.POINTS} AS DOUBLE) AS score FROM models)"
 
 ORACLE_SQL = {
     "quota_admission": """
@@ -234,8 +224,7 @@ WITH ids AS (SELECT p_partkey AS id FROM part WHERE p_size <= 25)
 SELECT l_orderkey, l_linenumber, l_partkey AS "from", l_suppkey AS "to" FROM lineitem
 WHERE l_partkey IN (SELECT id FROM ids) AND l_suppkey IN (SELECT id FROM ids) AND l_partkey <> l_suppkey""",
     "enum_order_top": f"""
-SELECT o_orderkey, o_orderpriority, CAST(coalesce(list_position({PRIORITIES}, o_orderpriority), 0) AS BIGINT) AS position
-FROM orders ORDER BY position, o_orderkey LIMIT 100""",
+SELECT o_orderkey, o_orderpriority, CAST(coalesce(list_position({PRIORITIES}, o_orderpriority), 0) AS BIGINT) AS position FROM orders""",
     "rank_score": f"""
 WITH {_RANKED} SELECT p_brand, model, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, model) AS INTEGER) AS rank FROM scored WHERE score > -100""",
     "anti_untried": f"""
@@ -266,6 +255,14 @@ WITH s AS (SELECT doc_id, n_chars * 700 AS big, n_chars AS small FROM documents)
 SELECT doc_id, CASE WHEN big < 1024 THEN big || ' B' WHEN big < 1048576 THEN CAST(floor(big / 1024.0 + 0.5) AS BIGINT) || ' KB'
     ELSE CAST(floor(floor(CAST(big AS DOUBLE) / 1048576 * 10 + 0.5) / 10) AS BIGINT) || '.' || CAST(floor(CAST(big AS DOUBLE) / 1048576 * 10 + 0.5) AS BIGINT) % 10 || ' MB' END AS label,
   CASE WHEN small < 1024 THEN small || ' B' ELSE CAST(floor(small / 1024.0 + 0.5) AS BIGINT) || ' KB' END AS small_label FROM s""",
+    "wrap_labels": rf"""
+WITH w AS (SELECT doc_id, text, [{{'lines': []::VARCHAR[], 'line': x, 'full': FALSE}} for x in regexp_split_to_array(text, '[{_S}]+')] AS words FROM documents),
+f AS (SELECT doc_id, text, list_reduce(words, lambda a, x: CASE WHEN a['full'] THEN a
+    WHEN length(CASE WHEN a['line'] = '' THEN x['line'] ELSE a['line'] || ' ' || x['line'] END) <= 19 THEN {{'lines': a['lines'], 'line': CASE WHEN a['line'] = '' THEN x['line'] ELSE a['line'] || ' ' || x['line'] END, 'full': FALSE}}
+    ELSE {{'lines': CASE WHEN a['line'] = '' THEN a['lines'] ELSE list_append(a['lines'], a['line']) END, 'line': x['line'], 'full': len(CASE WHEN a['line'] = '' THEN a['lines'] ELSE list_append(a['lines'], a['line']) END) >= 2}} END,
+    {{'lines': []::VARCHAR[], 'line': '', 'full': FALSE}}) AS a FROM w),
+l AS (SELECT doc_id, text, CASE WHEN a['line'] <> '' AND len(a['lines']) < 2 THEN list_append(a['lines'], a['line']) ELSE a['lines'] END AS lines FROM f)
+SELECT doc_id, array_to_string(CASE WHEN len(lines) > 0 AND length(array_to_string(lines, ' ')) < length(text) THEN list_append(lines[:-2], regexp_replace(substr(lines[-1], 1, 18), '[{_S}]+\z', '') || '…') ELSE lines END, chr(10)) AS label FROM l""",
     "truncate_labels": rf"SELECT doc_id, CASE WHEN length(text) > 60 THEN regexp_replace(substr(text, 1, 59), '[{_S}]+\z', '') || '…' ELSE text END AS label FROM documents",
     "sanitize_text": rf"WITH c AS (SELECT doc_id, regexp_replace(text, '[{_S}{text.ZERO_WIDTH}]', '', 'g') AS clean FROM documents) SELECT doc_id, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM c",
     "url_clean": r"SELECT page_id, regexp_replace(trim(url), '/+$', '') AS url FROM pages",
@@ -279,8 +276,10 @@ SELECT page_id, vendor, path, CASE WHEN vendor = 'b' THEN path IN ('/models', '/
     "sse_frame_decode": "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "role_map_transcript": r"SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS messages FROM conversations GROUP BY conv_id",
     "stopped_transcripts": """
-WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN '' ELSE text END AS text, conv_id % 3 = 0 AND turn = max(turn) OVER (PARTITION BY conv_id) AS hit FROM conversations)
-SELECT conv_id, turn, CASE WHEN hit THEN text || chr(10) || chr(10) || '[stopped]' ELSE text END AS text FROM c WHERE NOT (hit AND text = '')""",
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 6 = 0 THEN '' ELSE text END AS text, conv_id % 3 = 0 AS stopped, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+l AS (SELECT conv_id, role = 'assistant' AS answered, text = '' AS empty, role = 'user' AS asked FROM c WHERE back = 1)
+SELECT conv_id, turn, CASE WHEN stopped AND back = 1 AND answered THEN text || chr(10) || chr(10) || '[stopped]' ELSE text END AS text FROM c JOIN l USING (conv_id)
+WHERE NOT (stopped AND (back = 1 AND (asked OR answered AND empty) OR back = 2 AND answered AND empty AND role = 'user'))""",
     "normalize_json": "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS k, coalesce(json_extract_string(props, '$.error.message'), '') AS message FROM events",
     "classify_errors": """
 WITH s AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS vendor, [400, 401, 403, 404, 413, 429, 500, 418][user_id % 8 + 1] AS status,
@@ -315,3 +314,6 @@ SELECT n_nationkey, coalesce(r_name, 'Elsewhere') AS r_name, CASE n_regionkey WH
 FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""",
     "transcript_replace": "SELECT c_custkey, coalesce((SELECT max(o_orderstatus) FROM orders WHERE o_custkey = c_custkey), c_mktsegment) AS chat FROM customer",
 }
+
+QUERIES |= records.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL

@@ -2,49 +2,53 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-OPEN, CLOSE = "<think>", "</think>"
+#: What a text is made of outside a block: the tag that opens one, or other text; and inside it: all up to the closing tag.
+_OUTSIDE = re.compile(r"(?P<tag><think>)|(?P<text>[^<]+|<(?!think>))")
+_INSIDE = re.compile(r"(?s).*?</think>")
+#: The end of a text that may become a tag once more text comes.
+_UNDECIDED = re.compile(r"</?(?:t(?:h(?:i(?:n(?:k)?)?)?)?)?\Z")
 
 
 @dataclass
 class ThinkStripper:
-    """State between chunks. What comes out doesn't depend on where the text was cut."""
+    """State between chunks. What comes out doesn't depend on where the text was cut.
+
+    At most seven characters are held back: the end of what has come, where it may be the beginning of a tag. White
+    space is dropped at the start and after a block, until other text comes.
+    """
 
     held: str = ""
     inside: bool = False
-    fresh: bool = True  # nothing but white space since the start or the last block
-
-    def _tail(self, tag: str) -> int:
-        """Length of the longest end of the held text that may begin the tag."""
-        return next((n for n in range(min(len(tag) - 1, len(self.held)), 0, -1) if self.held.endswith(tag[:n])), 0)
-
-    def _out(self, text: str) -> str:
-        if self.fresh:
-            text = text.lstrip()
-            self.fresh = not text
-        return text
+    fresh: bool = True
 
     def push(self, chunk: str) -> str:
-        self.held += chunk
-        out = []
-        while True:
-            tag = CLOSE if self.inside else OPEN
-            before, found, after = self.held.partition(tag)
-            if found:
-                if self.inside:
-                    self.fresh = True
-                else:
-                    out.append(self._out(before))
-                self.held, self.inside = after, not self.inside
-                continue
-            cut = len(self.held) - self._tail(tag)
-            if not self.inside:
-                out.append(self._out(self.held[:cut]))
-            self.held = self.held[cut:]
-            return "".join(out)
+        text = self.held + chunk
+        undecided = _UNDECIDED.search(text)
+        self.held = text[undecided.start() :] if undecided else ""
+        return self._decided(text[: len(text) - len(self.held)])
 
     def flush(self) -> str:
         """What was held back when the stream ends; an open block stays dropped."""
-        rest, self.held = "" if self.inside else self.held, ""
-        return self._out(rest)
+        rest, self.held = self.held, ""
+        return self._decided(rest)
+
+    def _decided(self, text: str) -> str:
+        """The part of a text outside of blocks; no tag reaches beyond its end."""
+        shown, at = [], 0
+        while at < len(text):
+            found = (_INSIDE if self.inside else _OUTSIDE).match(text, at)
+            if found is None:  # a block that isn't closed yet
+                break
+            at = found.end()
+            if self.inside or found["tag"]:
+                self.inside = not self.inside
+                self.fresh = True
+                continue
+            kept = found["text"].lstrip() if self.fresh else found["text"]
+            if kept:
+                shown.append(kept)
+                self.fresh = False
+        return "".join(shown)

@@ -32,6 +32,16 @@ def test_model_scores(spark):
     assert ranking.next_untried(ranking.rank_models(names), names).count() == 0
 
 
+def test_one_task_ranks_only_short_lists(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(ranking, "MOST_MODELS", 3)
+    names = spark.createDataFrame([(f"m{i}",) for i in range(4)], "model string")
+    assert ranking.rank_models(names.limit(3)).count() == 3
+    with pytest.raises(ValueError):
+        ranking.rank_models(names)
+
+
 def test_orders(spark):
     rows = spark.createDataFrame([(0, "bias"), (1, "new"), (2, "input"), (3, None), (4, "derived"), (5, "input")], "pos int, kind string")
     order = rows.orderBy(ranking.order_position(F.col("kind"), ranking.RAIL_ORDER), "pos")
@@ -119,6 +129,9 @@ def test_transcripts(spark):
     assert {r.c: r.transcript for r in transcript.transcripts(rows, "c", "turn", "role", "text").collect()}[1] == "user: a\nassistant: b"
     left = {(r.c, r.turn): r.text for r in transcript.mark_stopped(rows, "c", "turn", "text", "stopped").collect()}
     assert left == {(1, 0): "a", (1, 1): "b\n\n[stopped]", (2, 0): "q"}
+    more = rows.unionByName(spark.createDataFrame([(3, 0, "user", "a", True), (4, 0, "user", "a", False), (4, 1, "model", "b", False), (4, 2, "user", "again", True), (5, 0, "system", "s", False), (5, 1, "model", None, True), (6, 0, "user", "a", None), (6, 1, "model", "b", None)], rows.schema))
+    left = {(r.c, r.turn): r.text for r in transcript.mark_stopped(more, "c", "turn", "text", "stopped", "role").collect()}
+    assert left == {(1, 0): "a", (1, 1): "b\n\n[stopped]", (4, 0): "a", (4, 1): "b", (5, 0): "s", (6, 0): "a", (6, 1): "b"}
 
 
 def test_reports(spark, tmp_path):

@@ -26,6 +26,15 @@ def test_stripping_does_not_depend_on_the_cuts(s, at):
     assert "".join(parts.push(c) for c in cuts(s, at)) + parts.flush() == whole.push(s) + whole.flush()
 
 
+@given(PIECES)
+def test_little_is_held_back_and_nothing_of_a_tag_is_shown(s):
+    f, shown = ThinkStripper(), ""
+    for c in s:
+        shown += f.push(c)
+        assert len(f.held) <= 7 and ("<think>" + "</think>").find(f.held) >= 0
+    assert "<think>" not in shown + f.flush()
+
+
 def test_stripping_in_chunks_equals_the_column(spark):
     dice = random.Random(2)
     texts = ["".join(dice.choice(["<think>", "</think>", "<thi", "a", " ", "\n", "b"]) for _ in range(9)) for _ in range(400)]
