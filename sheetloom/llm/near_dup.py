@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import band_keys, sketches
-from .storage import materialize, text_mark, without
+from .storage import materialize, text_mark, without, without_rows
 from .words import shingle_sets
 
 #: Bounds of a block: documents, and bytes of their texts.
@@ -223,14 +223,15 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Of rows that repeat both, the one with the least other columns stays. Rows without words stay, but for such repetitions of a doc_id and text.
     """
     found = materialize(near_duplicates(docs, words, percent).select("doc_id", "text_mark", "first"), "found")
-    left = without(docs, found.where("NOT first"), "copies")
+    left = without(docs, found.withColumn("copy", ~F.col("first")), "copy", "copies")
     again = found.where("first").groupBy("doc_id", "text_mark").count().where("count > 1").drop("count")
     if again.isEmpty():
         return left
     key = [F.col("doc_id").alias("_a"), F.col("text_mark").alias("_b")]
-    many = left.join(materialize(again, "repeated").select(*key), F.col("doc_id").eqNullSafe(F.col("_a")) & text_mark().eqNullSafe(F.col("_b")), "left_semi")
+    again = materialize(again, "repeated")
+    many = left.join(again.select(*key), F.col("doc_id").eqNullSafe(F.col("_a")) & text_mark().eqNullSafe(F.col("_b")), "left_semi")
     alone = many.groupBy("doc_id", text_mark().alias("_mark")).agg(F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in docs.columns])).alias("r"))
-    return without(left, again, "repeated").unionByName(alone.select(*[F.col(f"r.{c}.{c}").alias(c) for c in docs.columns]))
+    return without_rows(left, again).unionByName(alone.select(*[F.col(f"r.{c}.{c}").alias(c) for c in docs.columns]))
 
 
 def _shingles(sets: DataFrame, words: int, percent: int | None = None, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:

@@ -53,7 +53,22 @@ def text_mark() -> Column:
     return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` but for those whose (doc_id, text_mark) is among ``dropped``'s; nulls equal nulls. The keys are written first, so that their true size decides how they are joined."""
-    keys = materialize(dropped.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct(), name)
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for those whose (doc_id, text_mark) is among ``keys``'; nulls equal nulls."""
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"))
     return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & text_mark().eqNullSafe(F.col("_mark")), "left_anti")
+
+
+def without(docs: DataFrame, judged: DataFrame, gone: str, name: str) -> DataFrame:
+    """The rows of ``docs`` but for those that ``judged``, which has a row (doc_id, text_mark, ``gone``) for each of them, tells to drop.
+
+    Ids all of whose rows go are dropped by id alone; only where an id has rows that stay, or is null, texts' hashes tell them apart. The
+    ids are written first, so that their true size decides how they are joined.
+    """
+    judged = materialize(judged.select("doc_id", "text_mark", F.col(gone).alias("gone")), name)
+    ids = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("gone").alias("whole"), F.bool_or("gone").alias("any")).where("any")
+    ids = materialize(ids.select("doc_id", "whole"), name)
+    left = docs.join(ids.where("whole").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    some = judged.where("gone").join(ids.where("whole"), "doc_id", "left_anti").select("doc_id", "text_mark").distinct()
+    some = materialize(some, name)
+    return left if some.isEmpty() else without_rows(left, some)

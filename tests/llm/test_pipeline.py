@@ -24,6 +24,28 @@ def test_stages_against_brute_force(spark, sf):
     assert check(pieces, [(i, rows[i].text) for i in kept]) > 0.95
 
 
+def test_stages_keep_and_drop_rows_not_ids(spark, odd_docs, odd_rows):
+    """Odd rows against brute force: near-duplicates by equal texts here, benchmark passages by row; nulls, repeated ids and rows included."""
+    sf = "/root/testdata/sf0.001"
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, item, 1), (1, "clean text", 2), (None, item, 3), (None, "also clean", 4), (2, "x " + item, 5), (2, "x " + item, 6), (3, None, 7), (4, "", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    left = corpus_pipeline.no_benchmark(spark, frame, sf)
+    assert sorted(map(tuple, left.collect()), key=key) == sorted([rows[1], rows[3], rows[6], rows[7]], key=key)
+    kept = corpus_pipeline.one_of_each(spark, odd_docs, sf).collect()
+    near = {}  # the first row by (doc_id, text) of each text's shingles; texts without words are documents of their own
+    for r in odd_rows:
+        words = (r[1] or "").lower().split(" ") if r[0] not in (2, 10, 11, 12, 17) else []
+        near.setdefault(" ".join(words) if any(words) else (r[0], r[1]), []).append(r)
+    assert {(k.doc_id, k.text) for k in kept} <= {(r[0], r[1]) for r in odd_rows}
+    assert len(kept) == len({(k.doc_id, k.text) for k in kept})
+    for group, same in near.items():
+        ids = [r[0] for r in same if r[0] is not None]
+        if isinstance(group, str) and not group.startswith("w0") and group:
+            assert [k.doc_id for k in kept if (k.text or "").lower() == group] == [min(ids) if ids else None], group
+
+
 def test_stages_take_odd_rows(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.001"
     for docs in (odd_docs, no_docs):
