@@ -30,7 +30,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that hold no window of ten words of a benchmark item; of rows that repeat a doc_id only those that hold one go."""
     small_batches(spark)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=10)
-    return without(docs, found.where("contaminated"), "contaminated")
+    return without(docs, found, "contaminated", "contaminated")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
