@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, sharding, token_orc, warc
+from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, sharding, sql, token_orc, warc
 from .storage import materialize, new_path, small_batches
 
 
@@ -119,5 +119,8 @@ one AS (
   QUALIFY doc_id IS NULL OR row_number() OVER (PARTITION BY doc_id, tokenizer ORDER BY n DESC, coalesce(source, '') DESC, coalesce(lang, '') DESC) = 1)
 SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens
 FROM one GROUP BY source, lang, tokenizer""",
+    "op4_warc_chunks": sql.WARC_RECORDS,
+    "op7_near_duplicates": sql.NEAR_DUPLICATES,
+    "op9_positional_hits": sql.BENCHMARK_HITS,
     "op10_license_sentences": licenses.license_sql(),
 }
