@@ -17,7 +17,8 @@ class ThinkStripper:
     """State between chunks. What comes out doesn't depend on where the text was cut.
 
     At most seven characters are held back: the end of what has come, where it may be the beginning of a tag. White
-    space is dropped at the start and after a block, until other text comes.
+    space is dropped at the start and after a block, until other text comes. Blocks are removed in one pass: what meets where one
+    stood is text, even if it reads as a tag.
     """
 
     held: str = ""
