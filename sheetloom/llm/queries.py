@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, sharding, sql, token_orc, warc
+from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, search, sharding, sql, token_orc, warc
 from .storage import materialize, new_path, small_batches
 
 
@@ -90,6 +90,11 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("statements")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_feistel_shards": op2_feistel_shards,
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_tiff_media": op8_tiff_media,
     "op9_positional_hits": op9_positional_hits,
     "op10_license_sentences": op10_license_sentences,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -123,4 +129,5 @@ FROM one GROUP BY source, lang, tokenizer""",
     "op7_near_duplicates": sql.NEAR_DUPLICATES,
     "op9_positional_hits": sql.BENCHMARK_HITS,
     "op10_license_sentences": licenses.license_sql(),
+    "op13_ranked_search": sql.RANKED_SEARCH,
 }

@@ -74,3 +74,19 @@ owned AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN owned USING (r)"""
+
+#: Every document's score for every item, by their common terms; the fifty highest of each item.
+RANKED_SEARCH = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+items AS (SELECT row_number() OVER () AS q, item_id, {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM docs WHERE len(w) > 0),
+stated AS (SELECT DISTINCT q, item_id, unnest(w) AS term FROM items),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM stated) GROUP BY r, term),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM held CROSS JOIN totals GROUP BY term),
+damped AS (SELECT r, doc_id, CAST(100 - 50 + (50 * len(w) * n_docs) // n_terms AS BIGINT) AS m FROM docs CROSS JOIN totals WHERE len(w) > 0),
+scored AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM stated JOIN weighed USING (term) JOIN held USING (term) JOIN damped USING (r) GROUP BY q, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS "rank", doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= 50"""
