@@ -71,12 +71,15 @@ class _Stretches(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """A vocabulary file's tokenizer; with ``plain`` the names of added tokens in a text are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        names = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenizer.encode_special_tokens = plain
+        names = [] if plain else sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = re.compile("|".join([_ODD_SPACE, *map(re.escape, names)]))
         self.known = _Stretches(self.tokenizer)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, near_dup, packing, quality, rollup, search, sharding, sql, token_orc, warc
+from . import alignment, decontaminate, licenses, media, near_dup, packing, ppm, quality, rollup, search, sharding, sql, token_orc, warc
 from .storage import materialize, new_path, small_batches
 
 
@@ -90,6 +90,19 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("statements")
 
 
+def op11_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    model = ppm.fit(docs.where(~ppm.held_out(F.col("doc_id"))))
+    told = ppm.score(docs, model)
+    return told.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
@@ -106,6 +119,8 @@ QUERIES = {
     "op8_tiff_media": op8_tiff_media,
     "op9_positional_hits": op9_positional_hits,
     "op10_license_sentences": op10_license_sentences,
+    "op11_byte_ppm": op11_byte_ppm,
+    "op12_token_alignment": op12_token_alignment,
     "op13_ranked_search": op13_ranked_search,
 }
 
