@@ -151,21 +151,25 @@ def _also(df: DataFrame, **columns: Column) -> DataFrame:
 def align(tokens: DataFrame) -> DataFrame:
     """TOKENS with ``groups`` (array of structs a, b: the ids of each group, in order), ``groups_text`` (the same as ``a1,a2|b1;a3|b2,b3``) ``links`` (array of longs: A's id times 2**32 plus B's for each pair of overlapping tokens, in order), and n_groups."""
     told = _also(tokens, common=F.array_intersect("a_ends", "b_ends"), last_b=_before(F.col("b_ends"), F.col("a_ends"), False))
-    # Groups end at common ends: so many tokens of A, and of B up to the one that holds the last byte, lie before.
-    told = _also(told, a_cut=_before(F.col("a_ends"), F.col("common"), True))
-    told = _also(told, b_cut=F.transform("a_cut", lambda n: F.get("last_b", n - 1) + 1))
-    begin = lambda cut, g: F.coalesce(F.get(cut, g - 1), F.lit(0))
-    own = lambda ids, cut, g: F.transform(F.sequence(begin(cut, g), F.get(cut, g) - 1), lambda i: F.get(ids, i))
+    # Groups end at common ends: where the token of B that holds the last byte of one of A ends with it.
+    same = lambda i: F.get("b_ends", F.get("last_b", i)) == F.get("a_ends", i)
+    places = lambda c: F.transform(c, lambda x, i: i)
+    told = _also(told, a_last=F.filter(places("a_ids"), same))
+    told = _also(told, a_cut=F.concat(F.array(F.lit(0)), F.transform("a_last", lambda i: i + 1)), b_cut=F.concat(F.array(F.lit(0)), F.transform("a_last", lambda i: F.get("last_b", i) + 1)))
+    own = lambda ids, cut, g: F.transform(F.sequence(F.get(cut, g), F.get(cut, g + 1) - 1), lambda i: F.get(ids, i))
     groups = F.transform("common", lambda c, g: F.struct(own("a_ids", "a_cut", g).alias("a"), own("b_ids", "b_cut", g).alias("b")))
     many = lambda ids, cut, g: F.array_join(own(ids, cut, g).cast("array<string>"), ",")
-    said = lambda ids, cut, g: F.when(F.get(cut, g) - begin(cut, g) == 1, F.get(ids, F.get(cut, g) - 1).cast("string")).otherwise(many(ids, cut, g))
+    said = lambda ids, cut, g: F.when(F.get(cut, g + 1) - F.get(cut, g) == 1, F.get(ids, F.get(cut, g)).cast("string")).otherwise(many(ids, cut, g))
     text = F.array_join(F.transform("common", lambda c, g: F.concat(said("a_ids", "a_cut", g), F.lit("|"), said("b_ids", "b_cut", g))), ";")
-    # A's i-th token overlaps B's from the one that holds the byte before it, or the next if that ends there, to the one that holds its own last byte.
+    # A's i-th token overlaps the one of B that holds its last byte, and those before it from the one that holds its first byte: the one
+    # that holds the byte before that, or the next if that ends there.
     before = lambda i: F.get("last_b", i - 1)
-    first = lambda i: F.when(i == 0, 0).when(F.get("b_ends", before(i)) == F.get("a_ends", i - 1), before(i) + 1).otherwise(before(i))
+    first = lambda i: F.when(i == 0, 0).otherwise(before(i) + F.when(same(i - 1), 1).otherwise(0))
     code = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
-    each = lambda a, i: F.transform(F.sequence(first(i), F.get("last_b", i)), lambda j: code(a, F.get("b_ids", j)))
-    return told.select(*tokens.columns, groups.alias("groups"), text.alias("groups_text"), F.flatten(F.transform("a_ids", each)).alias("links"), F.size("common").alias("n_groups"))
+    at_end = F.transform("a_ids", lambda a, i: code(a, F.get("b_ids", F.get("last_b", i))))
+    several = F.filter(places("a_ids"), lambda i: (i == 0) | (F.get("last_b", i) > before(i)))
+    others = F.transform(several, lambda i: F.transform(F.filter(F.sequence(first(i), F.get("last_b", i)), lambda j: j < F.get("last_b", i)), lambda j: code(F.get("a_ids", i), F.get("b_ids", j))))
+    return told.select(*tokens.columns, groups.alias("groups"), text.alias("groups_text"), F.concat(at_end, F.flatten(others)).alias("links"), F.size("common").alias("n_groups"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
