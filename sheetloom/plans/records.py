@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, media, text, urls
 from ..operators import failover, keyreport, quota, ranking, retention
+from ..operators.transcript import joined_in_order
 from ..sources import demo, reports, sinks
+from ..sources.latest import LatestTable
 from ..sources.providers import provider
 from ..streaming import quota as live
 from ..streaming import sse
+from ..streaming.runs import ROCKSDB, arrivals, drain
 from .tables import scratch
 from .tables import table as _t
 
@@ -75,17 +80,61 @@ def model_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-def sse_vendor_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as vendor b's stream, cut into halves of events, with thinking, comments, broken events and the end mark."""
+def _vendor_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as a part of vendor b's stream, with thinking, comments, broken events and the end mark."""
     event = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
     before = F.when(F.col("turn") == 0, F.lit('data: {"choices":[{"delta":{"content":"<think>hid"}}]}\n\ndata: {"choices":[{"delta":{"content":"den</think>\\n"}}]}\n\n')).otherwise(F.lit(": note\r\n\r\ndata: {broken\n\n"))
     whole = F.concat(before, F.lit("data: "), event, F.when(F.col("turn") % 2 == 0, F.lit("\r\n\r\n")).otherwise(F.lit("\n\ndata: [DONE]\n\n")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", whole.alias("whole"))
+
+
+def sse_vendor_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as vendor b's stream, cut into halves of events."""
     half = F.floor(F.length("whole") / 2).cast("int")
     cut = F.explode(F.array(F.struct((F.col("turn") * 2).alias("seq"), F.substring("whole", F.lit(1), half).alias("chunk")), F.struct((F.col("turn") * 2 + 1).alias("seq"), F.substring("whole", half + 1, F.length("whole")).alias("chunk"))))
-    chunks = _t(spark, sf_dir, "conversations").select("conv_id", "turn", whole.alias("whole")).select("conv_id", cut.alias("c")).select("conv_id", "c.*")
+    chunks = _vendor_b(spark, sf_dir).select("conv_id", cut.alias("c")).select("conv_id", "c.*")
     return sse.decode_chunks(chunks, "conv_id", "seq", "chunk", "b").select("conv_id", "text")
 
 
+def live_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streams live. Their chunks, cut anywhere, come out of order in six micro-batches, with some that come twice; after half of them the stream is stopped and begun again."""
+    whole = _vendor_b(spark, sf_dir).groupBy("conv_id").agg(joined_in_order(F.col("whole"), F.col("turn")).alias("whole"))
+    size = (F.pmod(F.xxhash64("conv_id"), F.lit(90)) + 37).cast("int")
+    pieces = F.ceil(F.length("whole") / size).cast("int")
+    chunk = lambda i: F.struct(i.cast("long").alias("seq"), F.substring("whole", i * size + 1, size).alias("chunk"), (i == pieces - 1).alias("last"))
+    cut = whole.select(F.col("conv_id").cast("string").alias("stream_id"), F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), chunk)).alias("c")).select("stream_id", "c.*")
+    part = F.pmod(F.xxhash64("seq", "stream_id"), F.lit(2))
+    path, checkpoint, told = scratch(spark, "chunks"), scratch(spark, "state"), scratch(spark, "deltas")
+    files = 3 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    for half in (0, 1):  # chunks whose seq is divisible by 7 come in either half
+        cut.where((part == half) | (F.col("seq") % 7 == 0)).repartition(files).write.mode("append").parquet(path)
+        deltas = sse.decode_live(arrivals(spark, path, "stream_id string, seq long, chunk string, last boolean", 3, files), "b")
+        drain(deltas, checkpoint, told)
+    rows = spark.read.schema("stream_id string, seq long, text string, ended boolean").parquet(told)
+    answer = text.trim_spaces(joined_in_order(F.col("text"), F.col("seq")))
+    whole = rows.groupBy(F.col("stream_id").cast("long").alias("conv_id")).agg(answer.alias("text"), F.count_if(F.col("ended")).alias("ends"), (F.count(F.lit(1)) == F.max("seq") + 1).alias("each_once"))
+    return whole
+
+
+def _arriving(spark: SparkSession, sf_dir: str, path: str, slices: int) -> Iterator[DataFrame]:
+    """The events as a stream that has more at each step: slice by slice of their time, each appended to what came before."""
+    events = _t(spark, sf_dir, "events").select("event_id", F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    place = F.floor((F.unix_micros("ts") - (first or 0)) * slices / ((last or 0) - (first or 0) + 1))
+    for i in range(slices):
+        events.where(place == i).write.mode("append").parquet(path)
+        yield spark.readStream.schema(events.schema).parquet(path)
+
+
+def live_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests admitted one by one as they come, in five micro-batches with a restart before each; counters are kept in the state store."""
+    path, checkpoint, told = scratch(spark, "requests"), scratch(spark, "state"), scratch(spark, "admitted")
+    for requests in _arriving(spark, sf_dir, path, 5):
+        drain(live.live_admission(requests, "user_id", "ts", "event_id", cap=3), checkpoint, told, store=ROCKSDB)
+    rows = spark.read.schema("who string, day string, request long, ts timestamp, allowed boolean, used long, remaining long").parquet(told)
+    return rows.select(F.col("request").alias("event_id"), F.col("who").cast("long").alias("user_id"), "day", "allowed", "used", "remaining")
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored history for each nation, as a JSON array, with entries that lack an id or a report, and one that is no array."""
     k = F.col("c_custkey")
@@ -213,23 +262,19 @@ def demo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily usage from a stream of the events, published as the latest row of each caller and day."""
-    schema = _t(spark, sf_dir, "events").schema
-    requests = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    path = scratch(spark, "usage")
-    query = live.publish_latest(live.live_daily_usage(requests.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", cap=3), path, scratch(spark, "state"), ["user_id", "day"], "requests")
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    found = spark.read.schema("user_id long, day date, requests long, used long, batch long").parquet(path)
-    latest = found.groupBy("user_id", "day").agg(F.max_by(F.struct("requests", "used"), "batch").alias("r"))
-    return latest.select("user_id", F.col("day").cast("string").alias("day"), "r.requests", "r.used")
+    """Daily usage from a stream of the events in three micro-batches, published as the latest row of each caller and day; the second is sent again, with other rows, and changes nothing."""
+    table = LatestTable(spark, scratch(spark, "usage"), ["user_id", "day"], "requests", "user_id long, day date, requests long, used long", buckets=8)
+    path, checkpoint = scratch(spark, "requests"), scratch(spark, "state")
+    for i, requests in enumerate(_arriving(spark, sf_dir, path, 3)):
+        live.publish_latest(live.live_daily_usage(requests, "user_id", "ts", cap=3), table, checkpoint)
+        if i == 1:
+            table.upsert(table.read().withColumn("requests", F.lit(-1).cast("long")), table.versions()[-1])
+    return table.read().select("user_id", F.col("day").cast("string").alias("day"), "requests", "used")
 
 
 QUERIES = {q.__name__: q for q in (
     report_normalize, exploded_edges, stored_reports, model_lists, sse_vendor_b, history_valid, history_append, prepended, allowances, credentials,
-    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage,
+    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission,
 )}
 
 POINTS = r"""CASE WHEN regexp_matches(model, 'embedding|imagen|veo|tts|whisper|guard|moderation|aqa|rerank') OR regexp_matches(model, '-image($|-)|image-gen|nano-banana') THEN -100::DOUBLE ELSE
@@ -293,5 +338,9 @@ SELECT user_id, CASE WHEN ok < coalesce(fatal, ok + 1) THEN 'success' WHEN fatal
   CASE WHEN ok < coalesce(fatal, ok + 1) THEN NULL WHEN fatal IS NOT NULL THEN 'e' || fatal ELSE 'e' || first END AS error FROM s""",
     "best_model": f"WITH {MODELS}, s AS (SELECT model, {POINTS} AS score FROM models) SELECT 'all' AS \"of\", (SELECT model FROM s WHERE score > -100 ORDER BY score DESC, model LIMIT 1) AS model UNION ALL SELECT 'unfit', ''",
     "demo_blocks": "SELECT CAST(1 AS BIGINT) AS report_id, id, kind FROM (VALUES ('mains', 'input'), ('reg', 'regulator'), ('out', 'output'), ('answer', 'The regulator holds the output at twelve volts.')) t(id, kind)",
+    "live_answers": r"SELECT conv_id, regexp_replace(string_agg(text, '' ORDER BY turn), '\A[\t\n\v\f\r ]+|[\t\n\v\f\r ]+\z', '', 'g') AS text, CAST(1 AS BIGINT) AS ends, TRUE AS each_once FROM conversations GROUP BY conv_id",
+    "live_admission": """
+WITH n AS (SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS place FROM events)
+SELECT event_id, user_id, day, place <= 3 AS allowed, least(place, 3) AS used, 3 - least(place, 3) AS remaining FROM n""",
     "live_usage": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests, least(count(*), 3) AS used FROM events GROUP BY ALL",
 }

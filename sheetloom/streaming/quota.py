@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.quota import DAILY_CAP
+from ..operators.quota import DAILY_CAP, utc_day
+from ..sources.latest import LatestTable
+from .runs import drain
 
 KEPT = "26 hours"  # fixed value: how long a counter outlives its last request
+KEPT_MS = 26 * 3600 * 1000
+
+
+class _Counter(StatefulProcessor):
+    """Admits a caller's requests of a day as long as fewer than the cap were admitted before."""
+
+    def __init__(self, cap: int, kept_ms: int):
+        self.cap, self.kept_ms = cap, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "used long", self.kept_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        found = self.used.get()
+        before = used = found[0] if found else 0
+        for r in sorted(rows, key=lambda r: (r.ts, r.request)):
+            allowed = used < self.cap
+            used += allowed
+            yield Row(who=key[0], day=key[1], request=r.request, ts=r.ts, allowed=allowed, used=used, remaining=self.cap - used)
+        if used > before:
+            self.used.update((used,))
+
+    def close(self) -> None:
+        pass
+
+
+def live_admission(requests: DataFrame, who: str, ts: str, request: str, cap: int = DAILY_CAP, kept_ms: int = KEPT_MS) -> DataFrame:
+    """Each request of a stream with allowed (fewer than ``cap`` of the caller's UTC day were admitted before), and used and remaining after it.
+
+    A counter per caller and day is kept in the state store and let go of 26 hours after the last request that it admitted; refused requests
+    leave it as it is. Requests of a micro-batch are taken by ``ts`` and then ``request``; micro-batches in the order in which they come. Requests of
+    one key are taken one after another, so none is admitted twice, which the read-then-write of a shared counter would allow.
+    """
+    rows = requests.select(F.col(who).cast("string").alias("who"), utc_day(F.col(ts)).cast("string").alias("day"), F.col(request).cast("long").alias("request"), F.col(ts).alias("ts"))
+    shape = "who string, day string, request long, ts timestamp, allowed boolean, used long, remaining long"
+    return rows.groupBy("who", "day").transformWithState(_Counter(cap, kept_ms), shape, "append", "ProcessingTime")
 
 
 def live_daily_usage(requests: DataFrame, who: str, ts: str, cap: int = DAILY_CAP) -> DataFrame:
@@ -20,11 +61,6 @@ def live_daily_usage(requests: DataFrame, who: str, ts: str, cap: int = DAILY_CA
     return counted.select(who, F.col("window.start").cast("date").alias("day"), "requests", F.least("requests", F.lit(cap).cast("long")).alias("used"))
 
 
-def publish_latest(rows: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> object:
-    """Keep the latest row of each key at ``path``, a snapshot per batch, so that a batch which runs again writes the same."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+def publish_latest(rows: DataFrame, table: LatestTable, checkpoint: str) -> None:
+    """Put what a stream tells into a table of latest values, a version for each micro-batch; one that runs again changes nothing."""
+    drain(rows, checkpoint, each=table.upsert, mode="update")

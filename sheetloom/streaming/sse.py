@@ -88,31 +88,38 @@ class EventDecoder:
 
 
 def decode_live(chunks: DataFrame, vendor: str = "a", timeout_ms: int = 600_000) -> DataFrame:
-    """A streaming table of chunks (stream_id string, seq long, chunk string, last boolean) as deltas (stream_id, seq, text, ended).
+    """A streaming table of chunks (stream_id string, seq long from 0, chunk string, last boolean) as deltas (stream_id, seq, text, ended).
 
-    The state of a stream is its incomplete event. Chunks of a micro-batch are taken in order of seq; a source that keeps
-    order across batches, such as a log partition per stream, is assumed. A stream that falls silent ends after the timeout.
+    Chunks may come in any order and over any number of micro-batches, and repeatedly: a stream's state holds its incomplete event, the
+    think-stripper, and the chunks that came before their turn, until the gap closes. A chunk is told once, in order of seq. A
+    stream that falls silent for the timeout ends: what waits behind a gap is then told without what is missing. A stream that
+    has ended stays known for as long, so that repeats of its chunks don't open it again.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        decoder = EventDecoder(vendor)
+        decoder, turn, waiting, done = EventDecoder(vendor), 0, {}, False
         if state.exists:
-            decoder.held, decoder.think.held, decoder.think.inside, decoder.think.fresh = state.get
+            turn, decoder.held, decoder.think.held, decoder.think.inside, decoder.think.fresh, kept, done = state.get
+            waiting = {int(seq): tuple(rest) for seq, rest in json.loads(kept).items()}
+        told: list[tuple[int, str, bool]] = []
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"stream_id": [key[0]], "seq": [-1], "text": [decoder.flush()], "ended": [True]})
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        texts, ended = [], []
-        for chunk, last in zip(rows["chunk"], rows["last"], strict=True):
-            texts.append(decoder.push(chunk or "") + (decoder.flush() if last else ""))
-            ended.append(bool(last))
-        if any(ended):
-            if state.exists:
-                state.remove()
+            if not done:
+                told = [(seq, decoder.push(waiting[seq][0]), False) for seq in sorted(waiting)]
+                told.append((max([turn - 1, *waiting]) + 1, decoder.flush(), True))
         else:
-            state.update((decoder.held, decoder.think.held, decoder.think.inside, decoder.think.fresh))
+            for frame in frames:
+                for seq, chunk, last in zip(frame["seq"].tolist(), frame["chunk"], frame["last"], strict=True):
+                    if seq >= turn and not done:
+                        waiting.setdefault(seq, (chunk or "", bool(last)))
+            while turn in waiting and not done:
+                chunk, done = waiting.pop(turn)
+                told.append((turn, decoder.push(chunk) + (decoder.flush() if done else ""), done))
+                turn += 1
+            state.update((turn, decoder.held, decoder.think.held, decoder.think.inside, decoder.think.fresh, json.dumps({} if done else waiting), done))
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"stream_id": key[0], "seq": rows["seq"].to_numpy(), "text": texts, "ended": ended})
+        if told:
+            yield pd.DataFrame([(key[0], *t) for t in told], columns=["stream_id", "seq", "text", "ended"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string, ended boolean", "held string, think string, inside boolean, fresh boolean", "append", "ProcessingTimeTimeout")
+    shape = "turn long, held string, think string, inside boolean, fresh boolean, waiting string, done boolean"
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string, ended boolean", shape, "append", "ProcessingTimeTimeout")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import text
 from sheetloom.sources.demo import ANSWER, answer_chunks
+from sheetloom.sources.latest import LatestTable
 from sheetloom.streaming import quota, sse
+from sheetloom.streaming.runs import ROCKSDB, drain
 from sheetloom.streaming.think import ThinkStripper
 
 
@@ -95,13 +97,89 @@ def test_live_streams(spark, tmp_path):
         assert "".join(r.text for r in rows) == "Hello wörld" and [r.ended for r in rows] == [False, False, True]
 
 
+def put(path, name, rows):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text("\n".join(map(json.dumps, rows)))
+
+
 def test_live_quota(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    rows = [{"who": "u", "ts": f"2024-01-01T0{i}:00:00Z"} for i in range(5)] + [{"who": "u", "ts": "2024-01-02T00:00:00Z"}]
-    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, rows)))
+    put(tmp_path / "in", "a.json", [{"who": "u", "ts": f"2024-01-01T0{i}:00:00Z"} for i in range(5)] + [{"who": "u", "ts": "2024-01-02T00:00:00Z"}])
     source = spark.readStream.schema("who string, ts timestamp").json(str(tmp_path / "in"))
-    query = quota.publish_latest(quota.live_daily_usage(source, "who", "ts", cap=3), str(tmp_path / "out"), str(tmp_path / "c"), ["who", "day"], "requests")
-    query.processAllAvailable()
-    query.stop()
-    got = {str(r.day): (r.requests, r.used) for r in spark.read.parquet(str(tmp_path / "out")).where("requests > 0").collect()}
-    assert got == {"2024-01-01": (5, 3), "2024-01-02": (1, 1)}
+    table = LatestTable(spark, str(tmp_path / "out"), ["who", "day"], "requests", "who string, day date, requests long, used long", buckets=2)
+    for _ in range(2):
+        quota.publish_latest(quota.live_daily_usage(source, "who", "ts", cap=3), table, str(tmp_path / "c"))
+    assert {str(r.day): (r.requests, r.used) for r in table.read().collect()} == {"2024-01-01": (5, 3), "2024-01-02": (1, 1)}
+    put(tmp_path / "in", "b.json", [{"who": "u", "ts": "2024-01-02T01:00:00Z"}])
+    quota.publish_latest(quota.live_daily_usage(source, "who", "ts", cap=3), table, str(tmp_path / "c"))
+    assert {str(r.day): (r.requests, r.used) for r in table.read().collect()} == {"2024-01-01": (5, 3), "2024-01-02": (2, 2)}
+
+
+CHUNKS = "stream_id string, seq long, chunk string, last boolean"
+
+
+def told(spark, tmp_path, timeout_ms=600_000):
+    """Run over what has arrived in tmp_path/in; what each stream has told so far, with the number of its ends."""
+    source = spark.readStream.schema(CHUNKS).json(str(tmp_path / "in"))
+    drain(sse.decode_live(source, "b", timeout_ms), str(tmp_path / "c"), str(tmp_path / "out"))
+    rows = spark.read.schema("stream_id string, seq long, text string, ended boolean").parquet(str(tmp_path / "out")).collect()
+    return {x: ("".join(r.text for r in sorted(rows, key=lambda r: r.seq) if r.stream_id == x), sum(r.ended for r in rows if r.stream_id == x)) for x in {r.stream_id for r in rows}}
+
+
+def test_chunks_wait_for_their_turn_over_restarts(spark, tmp_path):
+    s = stream("b")
+    row = lambda i: {"stream_id": "x", "seq": i, "chunk": s[i * 40 : i * 40 + 40], "last": (i + 1) * 40 >= len(s)}
+    n = -(-len(s) // 40)
+    put(tmp_path / "in", "a.json", [row(i) for i in range(2, n)])
+    assert told(spark, tmp_path) == {}
+    put(tmp_path / "in", "b.json", [row(0), row(3)])
+    assert told(spark, tmp_path)["x"][1] == 0
+    put(tmp_path / "in", "c.json", [row(1), row(1), {**row(2), "chunk": "repeats with other text count for nothing"}])
+    assert told(spark, tmp_path) == {"x": ("Hello wörld", 1)}
+    put(tmp_path / "in", "d.json", [row(0), row(n - 1)])
+    assert told(spark, tmp_path) == {"x": ("Hello wörld", 1)}
+
+
+def test_a_gap_that_stays_ends_a_stream(spark, tmp_path):
+    event = lambda c: 'data: {"choices":[{"delta":{"content":"' + c + '"}}]}\n\n'
+    put(tmp_path / "in", "a.json", [{"stream_id": "x", "seq": i, "chunk": event(c), "last": i == 4} for i, c in ((0, "a"), (2, "c"), (4, "e"))])
+    assert told(spark, tmp_path, 500) == {"x": ("a", 0)}
+    time.sleep(1)
+    put(tmp_path / "in", "b.json", [{"stream_id": "y", "seq": 0, "chunk": event("y"), "last": True}])
+    assert told(spark, tmp_path, 500) == {"x": ("ace", 1), "y": ("y", 1)}
+
+
+def test_live_admission_forgets_after_its_time(spark, tmp_path):
+    def admitted():
+        source = spark.readStream.schema("who string, ts timestamp, id long").json(str(tmp_path / "in"))
+        drain(quota.live_admission(source, "who", "ts", "id", cap=2, kept_ms=3000), str(tmp_path / "c"), str(tmp_path / "out"), store=ROCKSDB)
+        return {r.request: (r.allowed, r.used, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    ask = lambda *ids: [{"who": None if i > 90 else "u", "ts": f"2024-01-01T00:00:{i:02d}Z" if i < 90 else "2024-01-01T00:00:00Z", "id": i} for i in ids]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    put(tmp_path / "in", "a.json", ask(3, 1, 2, 91))
+    assert admitted() == {1: (True, 1, 1), 2: (True, 2, 0), 3: (False, 2, 0), 91: (True, 1, 1)}
+    time.sleep(3.5)
+    put(tmp_path / "in", "b.json", ask(4))
+    assert admitted()[4] == (True, 1, 1)  # the counter was gone
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_latest_table(spark, tmp_path):
+    table = LatestTable(spark, str(tmp_path), ["k"], "n", "k string, n long, v string", buckets=4)
+    rows = lambda *r: spark.createDataFrame(r, "k string, n long, v string")
+    now = lambda version=None: {r.k: (r.n, r.v) for r in table.read(version).collect()}
+    assert now() == {}
+    table.upsert(rows(("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y"), (None, 1, "none")), 0)
+    assert now() == {"a": (2, "y"), "b": (1, "x"), None: (1, "none")}
+    table.upsert(rows(("a", 1, "old"), ("b", 1, "tie"), ("c", 5, None)), 1)
+    assert now() == {"a": (2, "y"), "b": (1, "tie"), "c": (5, None), None: (1, "none")} and now(0)["b"] == (1, "x")
+    table.upsert(rows(("a", 9, "again")), 1)  # a batch that was committed
+    # A batch that failed half-way left parts, but no marker.
+    rows(("a", 99, "lost")).write.parquet(f"{tmp_path}/parts/version=2/bucket=0")
+    assert now()["a"] == (2, "y")
+    table.upsert(rows(("d", 1, "new")), 2)
+    assert now() == {"a": (2, "y"), "b": (1, "tie"), "c": (5, None), "d": (1, "new"), None: (1, "none")}
+    for i in range(3, 9):
+        table.upsert(rows(("d", i, "new")), i)
+    assert len(table.versions()) == 3 and table.read().count() == 5 and now()["d"] == (8, "new")
+    assert sum(1 for _ in tmp_path.glob("parts/version=*/bucket=*/*.parquet")) <= 4 + 3
