@@ -28,12 +28,12 @@ def _pick(number: Column, *values: str | None) -> Column:
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report for each part, with lists missing, null and present, and edges of every kind."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    third = F.when(s % 3 == 0, F.lit('{"id":null}')).otherwise(F.lit('{"id":"b2"}'))
-    blocks = F.when(k % 6 == 0, F.lit("")).when(k % 6 == 1, F.lit('"blocks":null,')).otherwise(F.concat(F.lit('"blocks":[{"id":"b0"},{"id":"b1"},'), third, F.lit("],")))
+    third = F.when(s % 3 == 0, F.lit('{"label":"no id"}')).otherwise(F.lit('{"id":"b2"}'))
+    blocks = F.when(k % 6 == 0, F.lit("")).when(k % 6 == 1, F.lit('"blocks":null,')).otherwise(F.concat(F.lit('"blocks":[{"zz":{"deep":[1,null]},"id":"b0"},{"id":"b1"},'), third, F.lit("],")))
     last = F.concat(F.lit('{"from":"b'), (s % 3).cast("string"), F.lit('","to":"b1"}'))
-    edges = F.concat(F.lit('"connections":[{"from":"b0","to":"b1"},{"from":"b0","to":"b0"},{"from":"b0","to":"zz"},{"from":"b1"},'), last, F.lit("],"))
+    edges = F.concat(F.lit('"connections":[{"from":"b0","to":"b1","weight":0.5},{"from":"b0","to":"b0"},{"from":"b0","to":"zz"},{"from":"b1"},'), last, F.lit("],"))
     schematic = _pick(k, "", '"isSchematic":null,', '"isSchematic":false,', '"isSchematic":true,', '"isSchematic":true,')
-    sheet = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit('"sheet":{"title":"'), F.col("p_name"), F.lit('"},')))
+    sheet = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit('"sheet":{"title":"'), F.col("p_name"), F.lit('","extra":{"b":1,"a":"é"}},')))
     whole = F.concat(F.lit("{"), blocks, edges, schematic, sheet, F.lit('"notes":["n"],"other":1,"summary":"'), F.col("p_name"), F.lit('"}'))
     return _t(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("json"))
 
@@ -46,7 +46,7 @@ def report_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(
         "p_partkey", "parsed", r["sheet"]["title"].alias("title"), r["sheet"]["circuitType"].alias("circuit"), r["isSchematic"].alias("schematic"), F.size(r["blocks"]).alias("blocks"),
         F.size(r["grounds"]).alias("grounds"), edges.alias("edges"), r["summary"].alias("summary"), r["confidence"].alias("confidence"), F.array_join(sinks.sections(r), ",").alias("sections"),
-        F.get_json_object(sinks.pretty_json(r), "$.notes[0]").alias("exported"),
+        sinks.compact_json(F.col("whole")).alias("exported"), F.get_json_object(sinks.pretty_json(F.col("whole")), "$.sheet.extra.a").alias("pretty_extra"),
     )
 
 
@@ -289,7 +289,13 @@ WITH p AS (SELECT p_partkey, p_name, p_partkey % 6 < 2 AS bare, p_size % 3 AS s,
 r AS (SELECT *, CASE WHEN bare THEN '' ELSE 'b0>b1' || CASE s WHEN 0 THEN ',b1>?,b0>b1' WHEN 1 THEN '' ELSE ',b2>b1' END END AS edges FROM p)
 SELECT p_partkey, parsed, CASE WHEN parsed THEN CASE WHEN untitled THEN 'Untitled sheet' ELSE p_name END END AS title, CASE WHEN parsed AND untitled THEN 'Unknown' END AS circuit, CASE WHEN parsed THEN NOT image END AS schematic,
   CASE WHEN parsed THEN CASE WHEN bare THEN 0 ELSE 3 END END AS blocks, CASE WHEN parsed THEN 0 END AS grounds, CASE WHEN parsed THEN edges END AS edges, CASE WHEN parsed THEN p_name END AS summary, CAST(NULL AS VARCHAR) AS confidence,
-  CASE WHEN parsed THEN CASE WHEN image OR bare THEN 'notes' ELSE 'blocks,notes' END ELSE '' END AS sections, CASE WHEN parsed THEN 'n' END AS exported FROM r""",
+  CASE WHEN parsed THEN CASE WHEN image OR bare THEN 'notes' ELSE 'blocks,notes' END ELSE '' END AS sections,
+  CASE WHEN parsed THEN '{"other":1,"summary":"' || p_name || '","isSchematic":' || CASE WHEN image THEN 'false' ELSE 'true' END
+    || ',"sheet":' || CASE WHEN untitled THEN '{"circuitType":"Unknown","title":"Untitled sheet"}' ELSE '{"extra":{"a":"é","b":1},"title":"' || p_name || '"}' END
+    || ',"blocks":' || CASE WHEN bare THEN '[]' ELSE '[{"id":"b0","zz":{"deep":[1,null]}},{"id":"b1"},' || CASE s WHEN 0 THEN '{"label":"no id"}' ELSE '{"id":"b2"}' END || ']' END
+    || ',"connections":' || CASE WHEN bare THEN '[]' ELSE '[{"from":"b0","to":"b1","weight":0.5}' || CASE s WHEN 0 THEN ',{"from":"b1"},{"from":"b0","to":"b1"}' WHEN 1 THEN '' ELSE ',{"from":"b2","to":"b1"}' END || ']' END
+    || ',"powerRails":[],"grounds":[],"indicators":[],"testPoints":[],"signals":[],"connectors":[],"components":[],"theoryOfOperation":[],"safetyNotes":[],"unreadable":[],"notes":["n"]}' END AS exported,
+  CASE WHEN parsed AND NOT untitled THEN 'é' END AS pretty_extra FROM r""",
     "exploded_edges": """
 WITH p AS (SELECT p_partkey AS report_id, p_size % 3 AS s FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 6 >= 2),
 e AS (SELECT report_id, 0 AS pos, 'b0' AS "from", 'b1' AS "to" FROM p

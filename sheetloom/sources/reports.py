@@ -20,30 +20,53 @@ def answer_text(vendor: Column, response: Column) -> Column:
     return F.when(vendor == "b", b).otherwise(a)
 
 
-def is_json_object(c: Column) -> Column:
-    """Whether a text is a JSON object; null and anything else is not."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
-
-
-def normalise(report: Column) -> Column:
-    """a parsed report with missing lists empty, a default sheet and isSchematic true unless it is false. Connections between what isn't there are pruned; summary and confidence stay as they are."""
-    default_sheet = F.struct(
-        F.lit("Untitled sheet").alias("title"), F.lit(None).cast("string").alias("equipment"), F.lit("Unknown").alias("circuitType"),
-        F.lit(None).cast("string").alias("sheetRef"), F.lit(None).cast("string").alias("language"),
-    )
-    empty = lambda name: F.coalesce(report[name], F.array().cast(REPORT[name].dataType))
-    ids = F.transform(empty("blocks"), lambda b: F.coalesce(b["id"], F.lit("\x00")))
-    has = lambda c: F.array_contains(ids, F.coalesce(c, F.lit("\x00")))
-    edges = F.filter(empty("connections"), lambda c: has(c["from"]) & has(c["to"]) & ~c["from"].eqNullSafe(c["to"]))
-    fields = [report["summary"].alias("summary"), F.coalesce(report["isSchematic"], F.lit(True)).alias("isSchematic"), report["confidence"].alias("confidence"), F.coalesce(report["sheet"], default_sheet).alias("sheet")]
-    fields += [(edges if n == "connections" else empty(n)).alias(n) for n in [*LISTS, *TEXT_LISTS]]
-    return F.struct(*fields)
+def _also(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are computed once a row: later expressions read them, instead of holding them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+_SHEET = '{"title":"Untitled sheet","circuitType":"Unknown"}'
+_REPLACED = ["isSchematic", "sheet", *LISTS, *TEXT_LISTS]
+
+
+def _same(value: Column) -> Column:
+    """A text that equal values share, as a set of a script's values tells them apart: null isn't what is missing, and a number isn't its digits."""
+    return F.coalesce(F.to_json(value), F.lit("missing"))
+
+
+def normalised(fields: Column) -> Column:
+    """a parsed report, a map of variants by name, made regular; keys that aren't known stay as they are, at every level.
+
+    Lists that are missing or null are empty, and so is the sheet's default; isSchematic is true unless it is false. Connections are kept whose two ends are
+    blocks and differ. Summary and confidence aren't defaulted.
+    """
+    value = lambda name: F.try_element_at(fields, F.lit(name))
+    given = lambda name, default: F.when(value(name).isNull() | F.is_variant_null(value(name)), F.parse_json(F.lit(default))).otherwise(value(name))
+    items = lambda name: F.coalesce(F.try_variant_get(value(name), "$", "array<variant>"), F.array().cast("array<variant>"))
+    part = lambda v, name: _same(F.try_variant_get(v, f"$.{name}", "variant"))
+    ids = F.transform(items("blocks"), lambda b: part(b, "id"))
+    kept = F.get(F.transform(F.array(ids), lambda own: F.filter(items("connections"), lambda c: F.array_contains(own, part(c, "from")) & F.array_contains(own, part(c, "to")) & (part(c, "from") != part(c, "to")))), 0)
+    told = [F.parse_json(F.when(F.to_json(value("isSchematic")) == "false", F.lit("false")).otherwise(F.lit("true"))), given("sheet", _SHEET)]
+    told += [F.to_variant_object(kept) if n == "connections" else given(n, "[]") for n in _REPLACED[2:]]
+    rest = F.map_filter(fields, lambda name, _: ~name.isin(_REPLACED))
+    return F.map_concat(rest, F.map_from_arrays(F.array(*map(F.lit, _REPLACED)), F.array(*told)))
+
+
+def typed(whole: Column) -> Column:
+    """A regular report's known fields as a struct. A list of another kind of value is empty, any other such field null."""
+    report = F.try_variant_get(F.to_variant_object(whole), "$", REPORT.simpleString())
+    empty = lambda r, n: F.coalesce(r[n], F.array().cast(REPORT[n].dataType)).alias(n)
+    fields = lambda r: F.struct(*[r[n].alias(n) for n in ("summary", "isSchematic", "confidence", "sheet")], *[empty(r, n) for n in [*LISTS, *TEXT_LISTS]])
+    return F.get(F.transform(F.array(report), fields), 0)
 
 
 def parse_reports(rows: DataFrame, json: str = "json") -> DataFrame:
-    """Rows with ``report`` (F1), ``raw`` (the text, which also holds unknown keys) and ``parsed``: false where the text is no JSON object, and then report is null."""
-    good = is_json_object(F.col(json))
-    return rows.withColumn("parsed", good).withColumn("raw", F.col(json)).withColumn("report", F.when(good, normalise(F.from_json(json, REPORT))))
+    """Rows with ``parsed`` (whether the text is a JSON object), ``whole`` (F1: the regular report as a map of variants, with all its keys) and ``report`` (its known fields as a struct); both are null for other texts. A text is parsed once."""
+    told = _also(rows, _value=F.try_parse_json(json))
+    told = _also(told, _fields=F.try_variant_get("_value", "$", "map<string,variant>"))
+    told = _also(told, whole=F.when(F.col("_fields").isNotNull(), normalised(F.col("_fields"))))
+    told = _also(told, report=F.when(F.col("whole").isNotNull(), typed(F.col("whole"))))
+    return told.withColumn("parsed", F.col("whole").isNotNull()).drop("_value", "_fields")
 
 
 def exploded(reports: DataFrame, name: str, key: str = "report_id") -> DataFrame:
