@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ def pool_report(keys: DataFrame, key: str, pool: list[str]) -> DataFrame:
 
 
 def flagged(keys: DataFrame, key: str, pool: list[str]) -> DataFrame:
-    """A1: every key's row as fp, prefix, length and duplicate."""
+    """A1: every key's row as fp, prefix, length and duplicate; a null key or pool is a value like others."""
     rows = keys.select(*pool, fingerprint(F.col(key)).alias("fp"), F.substring(key, 1, 4).alias("prefix"), F.length(key).alias("length"))
-    return rows.join(fingerprints(keys, key, pool).select(*pool, "fp", "duplicate"), [*pool, "fp"])
+    counted = fingerprints(keys, key, pool).select(*[F.col(c).alias(f"_{c}") for c in (*pool, "fp")], "duplicate")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*pool, "fp")])
+    return rows.join(counted, same).select(*rows.columns, "duplicate")

@@ -40,9 +40,9 @@ def rank_models(models: DataFrame, name: str = "model", within: list[str] | None
 
 
 def best_model(models: DataFrame, name: str = "model") -> DataFrame:
-    """One row with the best usable model, '' if there is none. A partial top-1 per task, not a sort."""
+    """One row with the first of the ranked models, '' if none is usable. A partial top-1 per task in the order of :func:`rank_models`, not a sort."""
     scored = models.withColumn("_score", model_score(F.col(name))).where(F.col("_score") > UNUSABLE)
-    best = scored.agg(F.min(F.struct((-F.col("_score")).alias("s"), F.lower(name).alias("l"), F.col(name).alias("n"))).alias("b"))
+    best = scored.agg(F.min(F.struct((-F.col("_score")).alias("s"), F.collate(F.col(name), "UNICODE").alias("l"), F.col(name).alias("n"))).alias("b"))
     return best.select(F.coalesce("b.n", F.lit("")).alias(name))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,8 +220,10 @@ def prompts_and_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: every key's row, with whether its pool holds it more than once."""
-    key = F.concat(F.lit("key-"), F.pmod(F.col("c_custkey") * 7, F.lit(997)).cast("string"))
-    return keyreport.flagged(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", key.alias("key")), "key", ["c_mktsegment"])
+    k = F.col("c_custkey")
+    key = F.when(k % 10 != 3, F.concat(F.lit("key-"), F.pmod(k * 7, F.lit(997)).cast("string")))
+    pool = F.when(k % 10 != 7, F.col("c_mktsegment"))
+    return keyreport.flagged(_t(spark, sf_dir, "customer").select("c_custkey", pool.alias("c_mktsegment"), key.alias("key")), "key", ["c_mktsegment"])
 
 
 def attempt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +240,12 @@ def gated_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best usable model, and '' where there is none."""
+    """The first of the ranked models, and '' where none is usable; among equal scores by the locale's order of names."""
     names = model_names(spark, sf_dir)
-    none = ranking.best_model(names.where("model LIKE '%embedding%'"))
-    return ranking.best_model(names).select(F.lit("all").alias("of"), "model").unionByName(none.select(F.lit("unfit").alias("of"), "model"))
+    tied = lambda *ends: _t(spark, sf_dir, "part").select(_pick(F.col("p_partkey"), *ends).alias("model"))
+    sets = {"all": names, "unfit": names.where("model LIKE '%embedding%'"), "accents": tied("z-1", "é-1", "f-1", "Z-1"), "marks": tied("m-a-1", "m_a-1", "ma-1"), "case": tied("B-1", "a-1", "A-1", None)}
+    told = [ranking.best_model(rows).select(F.lit(of).alias("of"), "model") for of, rows in sets.items()]
+    return reduce(DataFrame.unionByName, told)
 
 
 #: Ends of model names, by which every rule of X1 is met.
@@ -332,7 +337,7 @@ SELECT s_suppkey, items, concat_ws('|', nullif(items, ''), 'z') AS "both", origi
 SELECT p_partkey, (['Read.', 'Read.', 'Read.' || chr(10) || chr(10) || 'look at U1'])[p_partkey % 3 + 1] AS prompt, coalesce(([NULL, NULL, 'LED'])[p_partkey % 3 + 1], ([NULL, NULL, 'D1'])[p_partkey // 3 % 3 + 1], 'Indicator') AS heading,
   (['image/png', 'image/jpeg', NULL, NULL, NULL])[p_partkey % 5 + 1] AS mime, (['QUJD', 'A' || chr(10) || 'B', NULL, NULL, NULL])[p_partkey % 5 + 1] AS data, p_brand = (['Brand#11', 'Brand#12', NULL])[p_partkey % 3 + 1] AS same FROM part""",
     "flagged_keys": """
-WITH k AS (SELECT c_mktsegment, 'key-' || c_custkey * 7 % 997 AS key FROM customer)
+WITH k AS (SELECT CASE WHEN c_custkey % 10 <> 7 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 <> 3 THEN 'key-' || c_custkey * 7 % 997 END AS key FROM customer)
 SELECT c_mktsegment, left(sha256(key), 8) AS fp, left(key, 4) AS prefix, CAST(length(key) AS INTEGER) AS length, count(*) OVER (PARTITION BY c_mktsegment, key) > 1 AS duplicate FROM k""",
     "attempt_budget": """
 WITH c AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 ORDER BY event_id) <= 5)
@@ -342,7 +347,7 @@ WITH e AS (SELECT user_id, event_id, event_type, min(event_id) FILTER (WHERE eve
 s AS (SELECT user_id, min(event_id) FILTER (WHERE event_type = 'purchase') AS ok, min(event_id) FILTER (WHERE event_type <> 'purchase' AND (event_type = 'error' OR event_id >= shown)) AS fatal, min(event_id) FILTER (WHERE event_type <> 'purchase') AS first FROM e GROUP BY user_id)
 SELECT user_id, CASE WHEN ok < coalesce(fatal, ok + 1) THEN 'success' WHEN fatal IS NOT NULL THEN 'fatal' ELSE 'exhausted' END AS outcome, coalesce(least(ok, fatal), 0) AS stopped_at,
   CASE WHEN ok < coalesce(fatal, ok + 1) THEN NULL WHEN fatal IS NOT NULL THEN 'e' || fatal ELSE 'e' || first END AS error FROM s""",
-    "best_model": f"WITH {MODELS}, s AS (SELECT model, {POINTS} AS score FROM models) SELECT 'all' AS \"of\", (SELECT model FROM s WHERE score > -100 ORDER BY score DESC, model LIMIT 1) AS model UNION ALL SELECT 'unfit', ''",
+    "best_model": f"WITH {MODELS}, s AS (SELECT model, {POINTS} AS score FROM models) SELECT 'all' AS \"of\", (SELECT model FROM s WHERE score > -100 ORDER BY score DESC, model LIMIT 1) AS model UNION ALL SELECT 'unfit', '' UNION ALL SELECT 'accents', 'é-1' UNION ALL SELECT 'marks', 'm_a-1' UNION ALL SELECT 'case', 'a-1'",
     "demo_blocks": "SELECT CAST(1 AS BIGINT) AS report_id, id, kind FROM (VALUES ('mains', 'input'), ('reg', 'regulator'), ('out', 'output'), ('answer', 'The regulator holds the output at twelve volts.')) t(id, kind)",
     "live_answers": r"SELECT conv_id, regexp_replace(string_agg(text, '' ORDER BY turn), '\A[\t\n\v\f\r ]+|[\t\n\v\f\r ]+\z', '', 'g') AS text, CAST(1 AS BIGINT) AS ends, TRUE AS each_once FROM conversations GROUP BY conv_id",
     "live_admission": """
