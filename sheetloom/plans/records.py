@@ -239,6 +239,37 @@ def gated_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("user_id", "outcome", F.coalesce("stopped_at", F.lit(0)).alias("stopped_at"), "error")
 
 
+#: Models of the nested chain's lists with their place in the ranking, 0 for one that isn't usable; they are numbered from 0.
+CHAIN_MODELS = [("m-2.5-pro", 4), ("m-flash-latest", 1), ("m-2.5-flash", 3), ("m-embedding-1", 0), ("m-oss", 7), ("m-flash-lite-1", 6), ("m-flash-preview", 5), ("m-pro-9", 2)]
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For each user of the events two vendors, none to two credentials each, their lists of models, and what each attempt would bring."""
+    users = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("event_id").alias("s"))
+    vendors = users.select("user_id", "s", F.explode(F.array(F.lit(1), F.lit(2))).alias("vendor_pos")).withColumn("vendor", F.when(F.col("vendor_pos") == 1, "a").otherwise("b"))
+    n = F.when(F.col("vendor_pos") == 1, F.col("s") % 2 + 1).otherwise(F.floor(F.col("s") / 2) % 3)
+    some = F.explode_outer(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))
+    keys = vendors.select("*", some.alias("credential_pos")).withColumn("credential", F.concat(F.lit("k"), F.col("credential_pos").cast("string")))
+    keys = keys.withColumn("first", F.when(F.col("vendor") == "a", "m-2.5-pro").otherwise("default"))
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("model")) for i, (name, _) in enumerate([*CHAIN_MODELS, ("default", 0)])])
+    each = keys.where("credential IS NOT NULL").select("user_id", "s", "vendor", "vendor_pos", "credential", "credential_pos", F.explode(names).alias("m")).select("*", "m.*")
+    models = each.where((F.col("i") < 8) & ((F.col("s") + F.col("credential_pos") + F.col("i")) % 4 != 0)).select("user_id", "vendor", "credential", "model")
+    code = (F.col("s") * (F.col("i") + 3) + F.col("credential_pos") * 5 + F.col("vendor_pos") * 7) % 17
+    error = F.concat_ws("/", "vendor", "credential", "model")
+    return keys, models, each.select("user_id", "vendor", "credential", "model", (code == 0).alias("ok"), (code != 1).alias("retryable"), error.alias("error"))
+
+
+def nested_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts of vendors, credentials and ranked models, with what was announced."""
+    done = failover.nested_chain(*_nested(spark, sf_dir), ["user_id"])
+    return done.select("user_id", "attempt", "vendor", "credential", "model", "ok", "retryable", "error", "listed", "notice_to")
+
+
+def nested_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How these chains ended."""
+    return failover.chain_outcome(failover.nested_chain(*_nested(spark, sf_dir), ["user_id"]), ["user_id"])
+
+
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the ranked models, and '' where none is usable; among equal scores by the locale's order of names."""
     names = model_names(spark, sf_dir)
@@ -279,7 +310,7 @@ def live_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     report_normalize, exploded_edges, stored_reports, model_lists, sse_vendor_b, history_valid, history_append, prepended, allowances, credentials,
-    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission,
+    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission, nested_attempts, nested_outcomes,
 )}
 
 POINTS = r"""CASE WHEN regexp_matches(model, 'embedding|imagen|veo|tts|whisper|guard|moderation|aqa|rerank') OR regexp_matches(model, '-image($|-)|image-gen|nano-banana') THEN -100::DOUBLE ELSE
@@ -288,7 +319,27 @@ POINTS = r"""CASE WHEN regexp_matches(model, 'embedding|imagen|veo|tts|whisper|g
   + (coalesce(TRY_CAST(regexp_extract(model, '(?:^|[-/a-z])(\d{1,2})(?:\.(\d+))?(?:[^\d.a-z]|$)', 1) AS DOUBLE) * 2, 0) + coalesce(TRY_CAST(regexp_extract(model, '(?:^|[-/a-z])(\d{1,2})(?:\.(\d+))?(?:[^\d.a-z]|$)', 2) AS DOUBLE) / 10, 0)) END"""
 MODELS = f"models AS (SELECT p_partkey, p_brand, replace(lower(p_name), ' ', '-') || ({ENDS})[p_partkey % {len(ENDS)} + 1] AS model FROM part)"
 
+#: A chain's candidates in their order, and of those what happened: a row follows the one before it if that failed and could be retried.
+NESTED = f"""WITH RECURSIVE u AS (SELECT user_id, sum(event_id)::BIGINT AS s FROM events GROUP BY user_id),
+v AS (SELECT *, CASE vp WHEN 1 THEN s % 2 + 1 ELSE s // 2 % 3 END AS n FROM u, (VALUES (1, 'a', 'm-2.5-pro'), (2, 'b', 'default')) t(vp, vendor, first)),
+k AS (SELECT *, unnest(CASE WHEN n = 0 THEN [NULL] ELSE range(1, n + 1) END) AS cp FROM v),
+names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{name}', {rank})" for i, (name, rank) in enumerate([*CHAIN_MODELS, ("default", 0)]))}) t(i, model, place)),
+c AS (SELECT k.*, i, model, CASE WHEN model = first THEN 1 ELSE 1 + row_number() OVER (PARTITION BY user_id, vp, cp, model = first ORDER BY place) END AS mp
+  FROM k, names WHERE cp IS NOT NULL AND (model = first OR (place > 0 AND (s + cp + i) % 4 <> 0))
+  UNION ALL SELECT k.*, NULL, NULL, 1 FROM k WHERE cp IS NULL),
+d AS (SELECT *, lead(model) OVER (PARTITION BY user_id, vp, cp ORDER BY mp) AS following, (s * (i + 3) + cp * 5 + vp * 7) % 17 AS code FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id, vp ORDER BY cp, mp) AS budget FROM d WHERE mp <= 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY vp, cp, mp) AS attempt, coalesce(code = 0, FALSE) AS ok, coalesce(code > 1, FALSE) AS retryable FROM e WHERE budget <= 7),
+h AS (SELECT * FROM f WHERE attempt = 1 UNION ALL SELECT f.* FROM f JOIN h ON f.user_id = h.user_id AND f.attempt = h.attempt + 1 WHERE h.retryable),
+a AS (SELECT user_id, attempt::INTEGER AS attempt, vp, vendor, 'k' || cp AS credential, model, ok, retryable, CASE WHEN cp IS NULL THEN 'no credentials' WHEN NOT ok THEN vendor || '/k' || cp || '/' || model END AS error,
+  retryable AND mp = 1 AS listed, CASE WHEN retryable THEN following END AS notice_to FROM h)"""
+
 ORACLE_SQL = {
+    "nested_attempts": f"{NESTED} SELECT user_id, attempt, vendor, credential, model, ok, retryable, error, listed, notice_to FROM a",
+    "nested_outcomes": f"""{NESTED}
+SELECT user_id, CASE WHEN bool_or(ok) THEN 'success' WHEN bool_or(NOT ok AND NOT retryable) THEN 'fatal' ELSE 'exhausted' END AS outcome, max(vendor) FILTER (WHERE ok) AS vendor, max(credential) FILTER (WHERE ok) AS credential,
+  max(model) FILTER (WHERE ok) AS model, CASE WHEN bool_or(ok) THEN NULL WHEN bool_or(NOT retryable) THEN arg_max(error, attempt) ELSE arg_max(error, attempt) FILTER (WHERE vp = 1) END AS error,
+  count(model) AS attempts, count(*) FILTER (WHERE listed) AS lists, count(notice_to) AS notices FROM a GROUP BY user_id""",
     "report_normalize": """
 WITH p AS (SELECT p_partkey, p_name, p_partkey % 6 < 2 AS bare, p_size % 3 AS s, p_partkey % 5 = 2 AS image, p_partkey % 4 = 0 AS untitled, p_partkey % 11 <> 0 AS parsed FROM part),
 r AS (SELECT *, CASE WHEN bare THEN '' ELSE 'b0>b1' || CASE s WHEN 0 THEN ',b1>?,b0>b1' WHEN 1 THEN '' ELSE ',b2>b1' END END AS edges FROM p)
