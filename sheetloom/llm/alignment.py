@@ -28,8 +28,8 @@ from .words import slices
 #: The pairs of ids whose counts go to every task: the most frequent ones, at most as many.
 MOST_PAIRS = 1_000_000
 TOKENS = "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
-#: Words that a worker remembers for B (about 200 bytes each), and characters of the longest.
-REMEMBERED, LONG = 250_000, 64
+#: Words that a worker remembers for B, and twice as many stretches for A (about 250 bytes each), and characters of the longest.
+REMEMBERED, LONG = 100_000, 64
 _ODD_SPACES = re.compile(r"\A |  | \Z")
 _LOADED: dict[tuple[str, str], tuple[_Bytes, _Pieces]] = {}
 
@@ -45,7 +45,7 @@ class _Bytes:
     """Tokenizer A: a byte-level vocabulary; the names of special tokens in a text are plain text."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path, plain=True)
+        self.encoder = Encoder(path, plain=True, most=2 * REMEMBERED)
         letters = {c: b for b, c in _byte_letters().items()}
         vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         self.table = [b""] * (max(vocabulary.values()) + 1)

@@ -37,9 +37,9 @@ class _Stretches(dict):
     space instead: no other key holds one.
     """
 
-    def __init__(self, tokenizer: object):
+    def __init__(self, tokenizer: object, most: int):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.most = tokenizer, most
         self.parts: dict[str, bytes] = {"": b""}
         self.letters = _byte_letters()
 
@@ -59,21 +59,21 @@ class _Stretches(dict):
             if more is None:
                 more = self._keep(tail, None)
             ids += more
-        if len(self) < REMEMBERED and len(stretch) <= LONG:
+        if len(self) < self.most and len(stretch) <= LONG:
             self[stretch] = ids
         return ids
 
     def _keep(self, part: str, pieces: list | None) -> bytes:
         ids = array("I", [p.id for p in pieces] if pieces is not None else self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-        if len(self.parts) < REMEMBERED * 2 // 3 and len(part) <= LONG:
+        if len(self.parts) < self.most * 2 // 3 and len(part) <= LONG:
             self.parts[part] = ids
         return ids
 
 
 class Encoder:
-    """A vocabulary file's tokenizer; with ``plain`` the names of added tokens in a text are ordinary text."""
+    """A vocabulary file's tokenizer; with ``plain`` the names of added tokens in a text are ordinary text. ``most``: stretches that are remembered."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, most: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,7 +81,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         names = [] if plain else sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = re.compile("|".join([_ODD_SPACE, *map(re.escape, names)]))
-        self.known = _Stretches(self.tokenizer)
+        self.known = _Stretches(self.tokenizer, most)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each whole text and then ``end``, as little-endian unsigned 32-bit integers. Null: as empty."""
