@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, media, text, urls
-from ..operators import failover, keyreport, quota, ranking, retention
+from ..operators import failover, keyreport, layout, quota, ranking, retention
 from ..operators.transcript import joined_in_order
 from ..sources import demo, reports, sinks
 from ..sources.latest import LatestTable
@@ -239,6 +239,25 @@ def gated_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("user_id", "outcome", F.coalesce("stopped_at", F.lit(0)).alias("stopped_at"), "error")
 
 
+def _diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of eight blocks for each order, with a connection for each of its lines."""
+    block = lambda c: F.concat(F.lit("b"), (F.col(c) % 8).cast("string"))
+    line = F.struct("l_linenumber", block("l_partkey").alias("from"), block("l_suppkey").alias("to"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said here, so that small reports, which take long, aren't put into few tasks
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), "l_linenumber", "l_partkey", "l_suppkey").repartition(width, "report_id").groupBy("report_id").agg(F.array_sort(F.collect_list(line)).alias("connections"))
+    return layout.layouts(lines.withColumn("blocks", F.array(*[F.struct(F.lit(f"b{i}").alias("id")) for i in range(8)])))
+
+
+def layout_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7, section 2.10: where the blocks of each report stand, by our own rules."""
+    return _diagrams(spark, sf_dir).select("report_id", "width", "height", F.explode("nodes").alias("n")).select("report_id", "n.id", "n.layer", "n.place", "n.x", "n.y", "width", "height")
+
+
+def layout_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each connection with the places of its two blocks."""
+    return _diagrams(spark, sf_dir).select("report_id", F.explode("edges").alias("e")).select("report_id", "e.from", "e.to", "e.back", "e.side", "e.lane", "e.x1", "e.y1", "e.x2", "e.y2")
+
+
 #: Models of the nested chain's lists with their place in the ranking, 0 for one that isn't usable; they are numbered from 0.
 CHAIN_MODELS = [("m-2.5-pro", 4), ("m-flash-latest", 1), ("m-2.5-flash", 3), ("m-embedding-1", 0), ("m-oss", 7), ("m-flash-lite-1", 6), ("m-flash-preview", 5), ("m-pro-9", 2)]
 
@@ -310,7 +329,7 @@ def live_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     report_normalize, exploded_edges, stored_reports, model_lists, sse_vendor_b, history_valid, history_append, prepended, allowances, credentials,
-    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission, nested_attempts, nested_outcomes,
+    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission, nested_attempts, nested_outcomes, layout_nodes, layout_edges,
 )}
 
 POINTS = r"""CASE WHEN regexp_matches(model, 'embedding|imagen|veo|tts|whisper|guard|moderation|aqa|rerank') OR regexp_matches(model, '-image($|-)|image-gen|nano-banana') THEN -100::DOUBLE ELSE
@@ -334,7 +353,25 @@ h AS (SELECT * FROM f WHERE attempt = 1 UNION ALL SELECT f.* FROM f JOIN h ON f.
 a AS (SELECT user_id, attempt::INTEGER AS attempt, vp, vendor, 'k' || cp AS credential, model, ok, retryable, CASE WHEN cp IS NULL THEN 'no credentials' WHEN NOT ok THEN vendor || '/k' || cp || '/' || model END AS error,
   retryable AND mp = 1 AS listed, CASE WHEN retryable THEN following END AS notice_to FROM h)"""
 
+def _sweep(n: int, near: str, other: str) -> str:
+    return f"""p{n} AS (SELECT p.r, p.n, layer, row_number() OVER (PARTITION BY p.r, layer ORDER BY coalesce(m.mean, place * 1000), place) - 1 AS place FROM p{n - 1} p
+  LEFT JOIN (SELECT f.r, f.{other} AS n, sum(q.place) * 1000 // count(*) AS mean FROM f JOIN p{n - 1} q ON q.r = f.r AND q.n = f.{near} WHERE NOT back GROUP BY f.r, f.{other}) m ON m.r = p.r AND m.n = p.n)"""
+
+
+LAYOUT = f"""WITH RECURSIVE e AS (SELECT l_orderkey AS r, l_linenumber AS pos, l_partkey % 8 AS u, l_suppkey % 8 AS v FROM lineitem WHERE l_partkey % 8 <> l_suppkey % 8),
+nodes AS (SELECT r, n FROM (SELECT DISTINCT l_orderkey AS r FROM lineitem), range(8) t(n)),
+reach (r, a, b) AS (SELECT DISTINCT r, u, v FROM e UNION SELECT reach.r, a, e.v FROM reach JOIN e ON e.r = reach.r AND e.u = reach.b),
+f AS (SELECT e.*, v < u AND reach.r IS NOT NULL AS back FROM e LEFT JOIN reach ON reach.r = e.r AND a = v AND b = u),
+paths (r, n, d) AS (SELECT r, n, 0 FROM nodes UNION SELECT p.r, f.v, d + 1 FROM paths p JOIN f ON f.r = p.r AND f.u = p.n WHERE NOT back),
+lay AS (SELECT r, n, max(d) AS layer FROM paths GROUP BY r, n),
+p0 AS (SELECT *, row_number() OVER (PARTITION BY r, layer ORDER BY n) - 1 AS place FROM lay),
+{_sweep(1, "u", "v")}, {_sweep(2, "v", "u")}, {_sweep(3, "u", "v")}, {_sweep(4, "v", "u")},
+g AS (SELECT f.*, back OR t.layer - s.layer <> 1 AS side, s.place * 200 + 84 AS x1, s.layer * 120 + 64 AS y1, t.place * 200 + 84 AS x2, t.layer * 120 AS y2 FROM f JOIN p4 s ON s.r = f.r AND s.n = u JOIN p4 t ON t.r = f.r AND t.n = v),
+box AS (SELECT r, max(place * 200 + 168) AS w, max(layer * 120 + 64) AS h FROM p4 GROUP BY r), lanes AS (SELECT r, count(*) AS n FROM g WHERE side GROUP BY r)"""
+
 ORACLE_SQL = {
+    "layout_nodes": f"{LAYOUT} SELECT r AS report_id, 'b' || p4.n AS id, layer, place::INTEGER AS place, (place * 200)::INTEGER AS x, layer * 120 AS y, (w + 14 * coalesce(lanes.n, 0))::INTEGER AS width, h AS height FROM p4 JOIN box USING (r) LEFT JOIN lanes USING (r)",
+    "layout_edges": f"""{LAYOUT} SELECT r AS report_id, 'b' || u AS "from", 'b' || v AS "to", back, side, CASE WHEN side THEN (count(*) FILTER (WHERE side) OVER (PARTITION BY r ORDER BY pos, u, v ROWS UNBOUNDED PRECEDING) - 1)::INTEGER END AS lane, x1::INTEGER AS x1, y1, x2::INTEGER AS x2, y2 FROM g""",
     "nested_attempts": f"{NESTED} SELECT user_id, attempt, vendor, credential, model, ok, retryable, error, listed, notice_to FROM a",
     "nested_outcomes": f"""{NESTED}
 SELECT user_id, CASE WHEN bool_or(ok) THEN 'success' WHEN bool_or(NOT ok AND NOT retryable) THEN 'fatal' ELSE 'exhausted' END AS outcome, max(vendor) FILTER (WHERE ok) AS vendor, max(credential) FILTER (WHERE ok) AS credential,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import also
 from ..functions.text import strip_thinking
 from ..operators.graph import prune_edges
 from .schema import HISTORY, LISTS, REPORT, TEXT_LISTS
@@ -20,11 +21,6 @@ def answer_text(vendor: Column, response: Column) -> Column:
     return F.when(vendor == "b", b).otherwise(a)
 
 
-def _also(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with more columns that are computed once a row: later expressions read them, instead of holding them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 _SHEET = '{"title":"Untitled sheet","circuitType":"Unknown"}'
 _REPLACED = ["isSchematic", "sheet", *LISTS, *TEXT_LISTS]
 
@@ -62,10 +58,10 @@ def typed(whole: Column) -> Column:
 
 def parse_reports(rows: DataFrame, json: str = "json") -> DataFrame:
     """Rows with ``parsed`` (whether the text is a JSON object), ``whole`` (F1: the regular report as a map of variants, with all its keys) and ``report`` (its known fields as a struct); both are null for other texts. A text is parsed once."""
-    told = _also(rows, _value=F.try_parse_json(json))
-    told = _also(told, _fields=F.try_variant_get("_value", "$", "map<string,variant>"))
-    told = _also(told, whole=F.when(F.col("_fields").isNotNull(), normalised(F.col("_fields"))))
-    told = _also(told, report=F.when(F.col("whole").isNotNull(), typed(F.col("whole"))))
+    told = also(rows, _value=F.try_parse_json(json))
+    told = also(told, _fields=F.try_variant_get("_value", "$", "map<string,variant>"))
+    told = also(told, whole=F.when(F.col("_fields").isNotNull(), normalised(F.col("_fields"))))
+    told = also(told, report=F.when(F.col("whole").isNotNull(), typed(F.col("whole"))))
     return told.withColumn("parsed", F.col("whole").isNotNull()).drop("_value", "_fields")
 
 
