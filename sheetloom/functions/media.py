@@ -20,9 +20,10 @@ def image_size(width: Column, height: Column, edge: int = LONG_EDGE) -> Column:
 
 
 def page_size(width: Column, height: Column, edge: int = LONG_EDGE) -> Column:
-    """M2: struct(scale, width, height) of a page drawn to the edge, enlarged if need be; at least one pixel."""
+    """M2: struct(scale, width, height) of a page drawn to the edge, enlarged if need be; at least one pixel. Unknown sizes stay null."""
     scale = F.lit(float(edge)) / F.greatest(width, height)
-    return F.struct(scale.alias("scale"), F.greatest(F.lit(1).cast("long"), _half_up(width * scale)).alias("width"), F.greatest(F.lit(1).cast("long"), _half_up(height * scale)).alias("height"))
+    drawn = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(1).cast("long"), _half_up(c * scale)))
+    return F.struct(scale.alias("scale"), drawn(width).alias("width"), drawn(height).alias("height"))
 
 
 def passes_unchanged(scale: Column, n_bytes: Column, mime: Column) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import keys, media, text, urls
 from ..operators import failover, keyreport, layout, quota, ranking, retention
 from ..operators.transcript import joined_in_order
-from ..sources import demo, reports, sinks
+from ..sources import demo, files, images, reports, sinks
 from ..sources.latest import LatestTable
+from ..sources.pdf import PdfFiles, PdfPages
 from ..sources.providers import provider
 from ..streaming import quota as live
 from ..streaming import sse
@@ -200,6 +201,55 @@ def picked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", media.is_pdf(path).alias("by_name"), media.is_pdf(path, mime).alias("pdf"), media.page_jump(entered, F.col("p_size")).alias("jump"), media.body_fits(body, 1000).alias("fits"))
 
 
+def picked_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of pages, read back as picked files."""
+    path = scratch(spark, "picked")
+    pages = _t(spark, sf_dir, "pages").select(F.pmod("page_id", F.lit(16)).alias("bucket"), F.coalesce("html", F.lit("")).alias("html"))
+    pages.repartition("bucket").write.partitionBy("bucket").option("compression", "none").text(path)
+    found = files.read_picked(spark, path).where(~F.col("path").endswith("_SUCCESS"))
+    bucket = F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("long")
+    return found.groupBy(bucket.alias("bucket"), "kind").agg(F.sum("length").alias("bytes"), F.sum(F.octet_length("content").cast("long")).alias("read"))
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page documents written from the documents, a page each, and read back: some with objects in compressed streams, some encrypted, some cut short."""
+    path = scratch(spark, "pdf")
+    name = F.floor(F.col("doc_id") / 16)
+    rest = F.pmod(name, F.lit(11))
+    kind = F.when(rest == 5, "protected").when(rest == 7, "cut").when(rest % 2 == 0, "packed").otherwise("plain")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", F.concat(F.lit("f"), name.cast("string")).alias("file"), kind.alias("kind"))
+    own = F.col("doc_id") % 3 != 0  # the others have their box from the tree
+    width, height = F.when(own, 100 + F.col("n_chars") % 700 + 0.5), F.when(own, (200 + F.col("n_chars") % 900).cast("double"))
+    pages = docs.select("file", "doc_id", "kind", width.alias("width"), height.alias("height"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 4 * 90).cast("int")).alias("rotation"), "text")
+    for source in (PdfPages, PdfFiles):
+        spark.dataSource.register(source)
+    pages.repartition("file").sortWithinPartitions("file", "doc_id").write.format("pdf_files").mode("append").save(path)
+    found = spark.read.format("pdf_pages").load(path)
+    small = media.page_size(F.col("width"), F.col("height"), 260)
+    file = F.regexp_extract("path", r"(f-?\d+)\.pdf$", 1)
+    return found.select(file.alias("file"), "page", "pages", "width", "height", "rotation", "error", small["width"].alias("preview_width"), small["height"].alias("preview_height"))
+
+
+def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pictures' headers put together from the parts, of three kinds and all orientations, some cut short; and the sizes they are prepared to."""
+    k, w, h = F.col("p_partkey"), 100 + F.col("p_size") * 73, (50 + F.col("p_partkey") * 7 % 4000)
+    hex_of = lambda n, digits: F.lpad(F.hex(n.cast("long")), digits, "0")
+    pairs = lambda n, digits: F.concat(*[F.substring(hex_of(n, digits), i, 2) for i in range(digits - 1, 0, -2)])  # least byte first
+    turn = k % 8 + 1
+    exif = {"big": F.concat(F.lit("4D4D002A00000008000101120003" + "00000001"), hex_of(turn, 4), F.lit("000000000000")), "little": F.concat(F.lit("49492A0008000000010012010300" + "01000000"), pairs(turn, 4), F.lit("000000000000"))}
+    jpeg = lambda order: F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFE10022457869660000"), exif[order], F.lit("FFC4000401"  "02FFC0001108"), hex_of(h, 4), hex_of(w, 4), F.lit("03012200021101031101FFDA"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex_of(w, 8), hex_of(h, 8), F.lit("0802000000"))
+    riff = "5249464600010000" + "57454250"
+    canvas = F.concat(F.lit(riff + "56503858" + "0A000000" + "08000000"), pairs(w - 1, 6), pairs(h - 1, 6), F.lit("45584946" + "1A000000"), exif["little"])
+    lossless = F.concat(F.lit(riff + "5650384C" + "10000000" + "2F"), pairs((w - 1) + (h - 1) * 16384, 8), F.lit("00"))
+    lossy = F.concat(F.lit(riff + "56503820" + "10000000" + "000000" + "9D012A"), pairs(w, 4), pairs(h, 4), F.lit("00"))
+    whole = F.unhex(F.get(F.array(jpeg("big"), jpeg("little"), png, canvas, lossless, lossy), (k % 6).cast("int")))
+    cut = F.when(k % 17 == 5, F.encode(F.lit("GIF89a"), "UTF-8")).when(k % 13 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    told = images.with_headers(_t(spark, sf_dir, "part").select("p_partkey", cut.alias("content")))
+    size = media.image_size(F.col("image_width"), F.col("image_height"))
+    return told.select("p_partkey", F.col("image_kind").alias("kind"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), "orientation", size["width"].alias("prepared_width"), size["height"].alias("prepared_height"))
+
+
 def list_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists in settings, and whether an origin is allowed."""
     k = F.col("s_suppkey")
@@ -329,7 +379,7 @@ def live_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     report_normalize, exploded_edges, stored_reports, model_lists, sse_vendor_b, history_valid, history_append, prepended, allowances, credentials,
-    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission, nested_attempts, nested_outcomes, layout_nodes, layout_edges,
+    picked_files, list_settings, prompts_and_headings, flagged_keys, attempt_budget, gated_failover, best_model, demo_blocks, live_usage, live_answers, live_admission, nested_attempts, nested_outcomes, layout_nodes, layout_edges, picked_binaries, pdf_pages, image_headers,
 )}
 
 POINTS = r"""CASE WHEN regexp_matches(model, 'embedding|imagen|veo|tts|whisper|guard|moderation|aqa|rerank') OR regexp_matches(model, '-image($|-)|image-gen|nano-banana') THEN -100::DOUBLE ELSE
@@ -370,6 +420,19 @@ g AS (SELECT f.*, back OR t.layer - s.layer <> 1 AS side, s.place * 200 + 84 AS
 box AS (SELECT r, max(place * 200 + 168) AS w, max(layer * 120 + 64) AS h FROM p4 GROUP BY r), lanes AS (SELECT r, count(*) AS n FROM g WHERE side GROUP BY r)"""
 
 ORACLE_SQL = {
+    "picked_binaries": "SELECT page_id % 16 AS bucket, 'image' AS kind, sum(octet_length(encode(coalesce(html, ''))) + 1)::BIGINT AS bytes, sum(octet_length(encode(coalesce(html, ''))) + 1)::BIGINT AS \"read\" FROM pages GROUP BY ALL",
+    "pdf_pages": """
+WITH d AS (SELECT doc_id // 16 AS f, row_number() OVER (PARTITION BY doc_id // 16 ORDER BY doc_id) AS page, count(*) OVER (PARTITION BY doc_id // 16) AS pages,
+  CASE WHEN doc_id % 3 <> 0 THEN 100 + n_chars % 700 + 0.5::DOUBLE ELSE 612 END AS w, CASE WHEN doc_id % 3 <> 0 THEN 200 + n_chars % 900::DOUBLE ELSE 792 END AS h, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 4 * 90 ELSE 0 END AS turn FROM documents),
+s AS (SELECT *, CASE WHEN turn IN (90, 270) THEN h ELSE w END AS width, CASE WHEN turn IN (90, 270) THEN w ELSE h END AS height, f % 11 AS kind FROM d)
+SELECT 'f' || f AS file, page::INTEGER AS page, pages::INTEGER AS pages, width::DOUBLE AS width, height::DOUBLE AS height, turn::INTEGER AS rotation, NULL::VARCHAR AS error,
+  greatest(1, floor(width * (260.0::DOUBLE / greatest(width, height)) + 0.5))::BIGINT AS preview_width, greatest(1, floor(height * (260.0::DOUBLE / greatest(width, height)) + 0.5))::BIGINT AS preview_height FROM s WHERE kind NOT IN (5, 7)
+UNION ALL SELECT DISTINCT 'f' || f, NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE, NULL::DOUBLE, NULL::INTEGER, CASE kind WHEN 5 THEN 'password-protected' ELSE 'damaged' END, NULL::BIGINT, NULL::BIGINT FROM s WHERE kind IN (5, 7)""",
+    "image_headers": """
+WITH p AS (SELECT p_partkey, 100 + p_size * 73 AS w, 50 + p_partkey * 7 % 4000 AS h, p_partkey % 6 AS form, p_partkey % 17 = 5 AS other, p_partkey % 13 = 0 AS cut, CASE WHEN p_partkey % 6 IN (0, 1, 3) THEN p_partkey % 8 + 1 ELSE 1 END AS turn FROM part),
+s AS (SELECT *, CASE WHEN turn >= 5 THEN h ELSE w END AS width, CASE WHEN turn >= 5 THEN w ELSE h END AS height, NOT other AND NOT cut AS sound FROM p)
+SELECT p_partkey, CASE WHEN NOT other THEN ['jpeg', 'jpeg', 'png', 'webp', 'webp', 'webp'][form + 1] END AS kind, CASE WHEN sound THEN width::BIGINT END AS width, CASE WHEN sound THEN height::BIGINT END AS height, CASE WHEN sound THEN turn::INTEGER END AS orientation,
+  CASE WHEN sound THEN floor(width * least(1.0, 3072.0::DOUBLE / greatest(width, height)) + 0.5)::BIGINT END AS prepared_width, CASE WHEN sound THEN floor(height * least(1.0, 3072.0::DOUBLE / greatest(width, height)) + 0.5)::BIGINT END AS prepared_height FROM s""",
     "layout_nodes": f"{LAYOUT} SELECT r AS report_id, 'b' || p4.n AS id, layer, place::INTEGER AS place, (place * 200)::INTEGER AS x, layer * 120 AS y, (w + 14 * coalesce(lanes.n, 0))::INTEGER AS width, h AS height FROM p4 JOIN box USING (r) LEFT JOIN lanes USING (r)",
     "layout_edges": f"""{LAYOUT} SELECT r AS report_id, 'b' || u AS "from", 'b' || v AS "to", back, side, CASE WHEN side THEN (count(*) FILTER (WHERE side) OVER (PARTITION BY r ORDER BY pos, u, v ROWS UNBOUNDED PRECEDING) - 1)::INTEGER END AS lane, x1::INTEGER AS x1, y1, x2::INTEGER AS x2, y2 FROM g""",
     "nested_attempts": f"{NESTED} SELECT user_id, attempt, vendor, credential, model, ok, retryable, error, listed, notice_to FROM a",
