@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .positional_index import MOST_TERMS, SCHEMA, Segment, build_index, frequencies, search
 from .storage import materialize, new_path
-from .words import LETTERS, word_hashes
+from .words import LETTERS, mix, word_hashes
 
-#: Bytes of benchmark items that are gathered at a time: a block of the stated query set, which goes to every task (there, about 40 bytes for each byte of text).
+#: Bytes of benchmark items that are gathered at a time: a block of the stated query set, which goes to every task (about 5 bytes there for each byte of text).
 MOST_QUERY_BYTES = 8 << 20
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 SPANS = "spans array<struct<start:long,end:long>>"
 HITS = "doc_id long, text_mark long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, " + SPANS
 #: What a block finds in a document, which is told by its segment and its place in it.
@@ -26,42 +29,87 @@ PART = "segment long, at long, items array<string>, " + SPANS
 
 @dataclass
 class Windows:
-    """Distinct windows of a query set, and the items that have each."""
+    """Distinct windows of a query set as arrays: the items' words one after another, where each window begins and how many words it has, and which items have it."""
 
-    terms: list[list[int]]
-    items: list[list[str]]
-    by_rarest: dict[int, list[int]] = field(default_factory=dict)
-
-    def key(self, counts: dict[int, int]) -> Windows:
-        """The windows by the term of each that is rarest in the corpus: a segment without it needn't try them."""
-        found: dict[int, list[int]] = {}
-        for i, w in enumerate(self.terms):
-            found.setdefault(min(w, key=lambda t: (counts.get(t, 0), t)), []).append(i)
-        return replace(self, by_rarest=found)
+    words: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    cuts: np.ndarray
+    owner: np.ndarray
+    names: pa.Array
 
     def vocabulary(self) -> np.ndarray:
-        return np.unique(np.array([t for w in self.terms for t in w], dtype=np.int64))
-
-
-def windows(items: DataFrame, words: int = 10) -> Windows:
-    """All runs of ``words`` words of each item (columns item_id and text); an item with fewer words, but some, is one window.
-
-    A null text has none; a null item_id counts as the empty string. Gathers the items' texts on the driver.
+        return np.unique(self.words)
+
+    def terms(self, i: int) -> list[int]:
+        return self.words[self.first[i] : self.first[i] + self.size[i]].tolist()
+
+    def items(self, i: int) -> list[str]:
+        """Names of the items that have a window, for each of their rows."""
+        return self.names.take(pa.array(self.owner[self.cuts[i] : self.cuts[i + 1]])).to_pylist()
+
+    def within(self, terms: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are among sorted ``terms``."""
+        if not len(terms):
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(terms, self.words), len(terms) - 1)
+        have = np.concatenate(([0], np.cumsum(terms[at] == self.words)))
+        return np.flatnonzero(have[self.first + self.size] - have[self.first] == self.size)
+
+    def rarest(self, vocabulary: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The term of each window that has the least count, or of those the least one."""
+        order = np.lexsort((vocabulary, counts))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        ranks = np.append(rank[np.searchsorted(vocabulary, self.words)], 0)
+        ends = np.stack((self.first, self.first + self.size), axis=1).ravel()
+        return vocabulary[order[np.minimum.reduceat(ranks, ends)[::2]]] if len(self.first) else np.zeros(0, dtype=np.int64)
+
+
+def windows(items: DataFrame, words: int | None = 10) -> Windows:
+    """All runs of ``words`` words of each item (columns item_id and text); an item with fewer words, but some, is one window; with None each item is one.
+
+    A null text has none; a null item_id counts as the empty string. Gathers the items' texts on the driver; windows take about 5 bytes
+    for each byte of text.
     """
-    table = items.select(F.col("item_id").cast("string").alias("item_id"), "text").toArrow()
-    texts = table.column("text").combine_chunks()
-    texts = texts if isinstance(texts, pa.Array) else pa.array([], pa.string())
+    table = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").toArrow()
+    texts, names = table.column("text").combine_chunks(), table.column("item_id").combine_chunks()
     hashed, before = word_hashes(texts.cast(pa.string()), LETTERS) if len(texts) else (np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64))
-    signed = hashed.view(np.int64).tolist()
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item, a, b in zip(table.column("item_id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
-        for at in range(a, max(b - words, a) + 1 if b > a else a):
-            found.setdefault(tuple(signed[at : min(at + words, b)]), set()).add(item or "")
-    return Windows([list(w) for w in found], [sorted(s) for s in found.values()])
-
-
-def blocks(items: DataFrame) -> list[DataFrame]:
-    """The items in blocks of at most MOST_QUERY_BYTES bytes; a larger item is a block of its own. A small query set is one block as it is."""
+    n = np.diff(before)
+    size = n if words is None else np.minimum(n, words)
+    many = np.where(n > 0, n - size + 1, 0)
+    owner = np.repeat(np.arange(len(n)), many)
+    first = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + before[:-1][owner]
+    size = size[owner]
+    if words is None:
+        return Windows(hashed.view(np.int64), first, size, np.arange(len(first) + 1), owner, names)
+    padded, key = np.concatenate((hashed, np.zeros(words, dtype=np.uint64))), mix(size.astype(np.uint64))
+    for j in range(words):
+        key = np.where(j < size, mix(key * _STEP + padded[first + j]), key)
+    _, at, which = np.unique(key, return_index=True, return_inverse=True)
+    pairs = np.unique(which.astype(np.int64) * max(len(n), 1) + owner)
+    cuts = np.searchsorted(pairs, np.arange(len(at) + 1) * max(len(n), 1))
+    return Windows(hashed.view(np.int64), first[at], size[at], cuts, pairs % max(len(n), 1), names)
+
+
+def _cut(text: bytes, most: int, words: int) -> list[bytes]:
+    """Parts of at most about ``most`` bytes, each of which begins with the last ``words`` - 1 words of the one before: every run of ``words`` words is in one."""
+    begins = np.array([m.start() for m in _WORD.finditer(text)], dtype=np.int64)
+    parts, at = [], 0
+    while at < len(begins):
+        to = max(int(np.searchsorted(begins, begins[at] + most)), min(at + 2 * words, len(begins)))
+        parts.append(text[begins[at] : begins[to] if to < len(begins) else len(text)])
+        if to >= len(begins):
+            break
+        at = to - (words - 1)
+    return parts
+
+
+def blocks(items: DataFrame, words: int | None = None) -> list[DataFrame]:
+    """The items in blocks of at most about MOST_QUERY_BYTES bytes. A small query set is one block as it is.
+
+    With ``words``, a larger item is cut into parts that overlap by as many words less one; without it, it is a block of its own.
+    """
     table = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0))
     if (table.agg(F.sum(size)).first()[0] or 0) <= MOST_QUERY_BYTES:
@@ -71,15 +119,15 @@ def blocks(items: DataFrame) -> list[DataFrame]:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            numbers = []
-            for n in batch.column(2).to_pylist():
-                if held and held + n > most:
-                    block, held = block + 1, 0
-                held += n
-                numbers.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], ["item_id", "text", "size", "block"])
-
-    rows = table.where("text IS NOT NULL").select("item_id", "text", size.cast("long").alias("size"))
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                own = len((item or "").encode())
+                for part in [text] if words is None or len(text) <= most else _cut(text, most, words):
+                    if held and held + own + len(part) > most:
+                        block, held = block + 1, 0
+                    held += own + len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([part], pa.binary()).cast(pa.string()), pa.array([own + len(part)]), pa.array([block])], ["item_id", "text", "size", "block"])
+
+    rows = table.where("text IS NOT NULL").select("item_id", "text")
     numbered = materialize(rows.mapInArrow(number, "item_id string, text string, size long, block long"), "items")
     joined: list[list[int]] = []
     for block, n in numbered.groupBy("block").agg(F.sum("size")).orderBy("block").collect():
@@ -120,17 +168,14 @@ def _search(segment: Segment, queries: Windows) -> tuple[dict[int, set[str]], di
     """The items and the merged spans found in each of the segment's documents that has any."""
     covered: list[tuple[np.ndarray, int]] = []
     owners: dict[int, set[str]] = {}
-    have = segment.lists
-    rarest = queries.by_rarest
-    for i in (i for t in (have if len(have) < len(rarest) else rarest) if t in have and t in rarest for i in rarest[t]):
-        terms, items_of = queries.terms[i], queries.items[i]
-        if any(t not in have for t in terms):
-            continue
+    for i in queries.within(np.array(sorted(segment.lists), dtype=np.int64)).tolist():
+        terms = queries.terms(i)
         places = segment.phrase(terms)
         if len(places):
             covered.append((places, len(terms)))
+            names = queries.items(i)
             for d in np.unique(segment.documents(places)).tolist():
-                owners.setdefault(d, set()).update(items_of)
+                owners.setdefault(d, set()).update(names)
     rows = {d: [] for d in owners}
     if covered:
         begins, ends = _merged(np.concatenate([p for p, _ in covered]), np.concatenate([p + k for p, k in covered]))
@@ -163,14 +208,14 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFra
     """
     spark = docs.sparkSession
     path = new_path(spark, "positions")
-    parts = blocks(items)
+    parts = blocks(items, words)
     if len(parts) > 1:
         build_index(docs, path, vocabulary(parts))
         return _merge(docs, path, parts, words)
     stated = windows(parts[0], words)
     terms = stated.vocabulary()
     build_index(docs, path, terms)
-    sent = spark.sparkContext.broadcast(stated.key(frequencies(spark, path, terms)))
+    sent = spark.sparkContext.broadcast(stated)
 
     def query(segment: Segment) -> pa.RecordBatch:
         owners, rows = _search(segment, sent.value)
@@ -206,7 +251,7 @@ def _search_block(path: str, found: str, part: DataFrame, words: int) -> None:
     """Append rows of PART for the documents in which a block's windows occur."""
     spark = part.sparkSession
     stated = windows(part, words)
-    sent = spark.sparkContext.broadcast(stated.key(frequencies(spark, path, stated.vocabulary())))
+    sent = spark.sparkContext.broadcast(stated)
 
     def query(segment: Segment) -> pa.RecordBatch:
         owners, rows = _search(segment, sent.value)
@@ -234,17 +279,18 @@ def proximity(docs: DataFrame, items: DataFrame, reach: int = 20) -> DataFrame:
     parts = blocks(items)
     build_index(docs, path, vocabulary(parts))
     for part in parts:
-        stated = windows(part, words=1 << 30)  # each item is one window of all its words
-        sent = spark.sparkContext.broadcast(stated.key(frequencies(spark, path, stated.vocabulary())))
+        stated = windows(part, words=None)
+        terms = stated.vocabulary()
+        sent = spark.sparkContext.broadcast((stated, stated.rarest(terms, frequencies(spark, path, terms))))
 
         def query(segment: Segment, sent: Broadcast = sent) -> pa.RecordBatch:
-            queries, rows = sent.value, []
-            for t, i in ((t, i) for t in queries.by_rarest if t in segment.lists for i in queries.by_rarest[t]):
-                places = segment.near(queries.terms[i], reach, anchor=t)
+            (queries, rarest), rows = sent.value, []
+            for i in queries.within(np.array(sorted(segment.lists), dtype=np.int64)).tolist():
+                places = segment.near(queries.terms(i), reach, anchor=int(rarest[i]))
                 owners = segment.documents(places)
                 for d in np.unique(owners).tolist():
                     at = (places[owners == d] - segment.starts[d]).tolist()
-                    rows += [(segment.doc_ids[d], segment.marks[d], item, at) for item in queries.items[i]]
+                    rows += [(segment.doc_ids[d], segment.marks[d], item, at) for item in queries.items(i)]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
             values = zip(*rows, strict=True) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "text_mark", "item_id", "positions"])

@@ -28,6 +28,8 @@ SEGMENT_WORDS = 3_000_000
 SEGMENT_DOCS = 50_000
 #: Segments that a search task takes, about, one after another.
 SEGMENTS_AT_ONCE = 8
+#: Documents that are numbered before a segment's bounds are looked at again.
+SLICE_DOCS = 8192
 #: Numbers between the last word of a document and the first of the next: more than any phrase has, else phrases are refused.
 GAP = 1 << 16
 #: Terms of a query set that are sent to every task (8 bytes each); a larger vocabulary isn't restricted, all terms are indexed.
@@ -70,7 +72,7 @@ def build_index(docs: DataFrame, path: str, terms: np.ndarray | None = None) ->
             segment, ids, counts, marks, kept, words, at = segment + 1, [], [], [], [], 0, 0
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in _few(batch.column(1)):
                 hashed, before = word_hashes(batch.column(1).slice(a, b - a), LETTERS)
                 lengths = np.diff(before)
                 starts = at + np.concatenate(([0], np.cumsum(lengths + GAP)))
@@ -92,6 +94,13 @@ def build_index(docs: DataFrame, path: str, terms: np.ndarray | None = None) ->
     docs.select("doc_id", "text", text_mark().alias("text_mark")).mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
+def _few(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about 2 MB of text, of so few rows that the gaps between them don't lead beyond 32-bit numbers before a segment is closed."""
+    for a, b in slices(texts):
+        for at in range(a, b, SLICE_DOCS):
+            yield at, min(at + SLICE_DOCS, b)
+
+
 def _packed(places: np.ndarray) -> bytes:
     """Ascending numbers as their differences, little-endian: small ones, which the file format's compression shortens."""
     return np.diff(places, prepend=np.uint32(0)).astype("<u4").tobytes()
@@ -156,14 +165,15 @@ def _in(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     return places[at] == values
 
 
-def frequencies(spark: SparkSession, path: str, terms: np.ndarray) -> dict[int, int]:
-    """How often each of the stated ``terms`` stands in the indexed texts; terms that don't are left out. At most MOST_TERMS of them, else none are counted."""
-    if len(terms) > MOST_TERMS:
-        return {}
-    index = spark.read.schema(SCHEMA).parquet(path).where("term IS NOT NULL")
-    stated = spark.createDataFrame(pa.table({"term": pa.array(np.unique(terms), pa.int64())}))
-    found = index.join(F.broadcast(stated), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
+def frequencies(spark: SparkSession, path: str, terms: np.ndarray) -> np.ndarray:
+    """How often each of the sorted ``terms`` stands in the indexed texts. Of more than MOST_TERMS none is counted."""
+    counts = np.zeros(len(terms), dtype=np.int64)
+    if 0 < len(terms) <= MOST_TERMS:
+        index = spark.read.schema(SCHEMA).parquet(path).where("term IS NOT NULL")
+        stated = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.int64())}))
+        found = index.join(F.broadcast(stated), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        counts[np.searchsorted(terms, found.column("term").to_numpy())] = found.column("n").to_numpy()
+    return counts
 
 
 def search(spark: SparkSession, path: str, terms: np.ndarray, query: Callable[[Segment], pa.RecordBatch], schema: str) -> DataFrame:

@@ -1,10 +1,15 @@
 import hashlib
+import os
+import pickle
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetloom.llm import decontaminate, positional_index, queries
 from sheetloom.llm.storage import new_path
@@ -143,3 +148,39 @@ def test_a_large_query_set_is_searched_in_blocks(spark, monkeypatch, odd_docs, o
     assert sorted(map(repr, rows)) == sorted(map(repr, whole))
     bench = [(1, "two three four five six seven eight nine ten eleven"), (2, "one"), (5, "w3 x3 w4 x4 w5 x5 w6 x6 w7 x7 w8 x8" + " y" * 300)]
     same(decontaminate.contamination(odd_docs, spark.createDataFrame(bench, "item_id long, text string")).collect(), brute([(r[0], r[1]) for r in odd_rows], bench, 10))
+
+
+def test_many_short_texts_in_one_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200000")
+    try:
+        docs = spark.range(120_000).coalesce(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 90007, "here it is").otherwise("word").alias("text"))
+        hits = decontaminate.contamination(docs, spark.createDataFrame([(1, "here it is")], "item_id long, text string")).where("contaminated").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert [(r.doc_id, r.n_hit) for r in hits] == [(90007, 3)]
+
+
+def test_a_block_of_the_full_size_is_small_in_a_worker(spark, tmp_path):
+    dice = np.random.default_rng(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda: " ".join("".join(letters[j] for j in dice.integers(0, 26, 5)) for _ in range(690))
+    items = [(i, text()) for i in range(decontaminate.MOST_QUERY_BYTES // 4140)]
+    stated = decontaminate.windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert len(stated.first) > 1_300_000
+    (tmp_path / "windows").write_bytes(pickle.dumps(stated))
+    code = f"import pickle, re; w = pickle.load(open({str(tmp_path / 'windows')!r}, 'rb')); w.within(w.vocabulary()[::2].copy()); print(int(re.search('VmHWM:\\\\s+(\\\\d+)', open('/proc/self/status').read())[1]) // 1024)"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(said.stdout) < 300
+
+
+def test_items_larger_than_a_block_are_cut(spark, monkeypatch):
+    dice = random.Random(13)
+    long = " ".join(dice.choice("aa b Cc d9 é ff gg".split()) for _ in range(700))
+    docs = [(i, " ".join(long.split()[a : a + 15])) for i, a in enumerate(range(0, 700, 13))] + [(900, long), (901, "aa b")]
+    items = [(1, long), (2, long[500:900]), (3, "aa b"), (4, "x" * 500)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MOST_QUERY_BYTES", 200)
+    assert len(decontaminate.blocks(frames[1], 6)) > 8
+    same(decontaminate.contamination(*frames, words=6).collect(), brute(docs, items, 6))
