@@ -49,6 +49,8 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl2-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
@@ -97,12 +99,24 @@ SENTENCES = {
     "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "cc-by-nc-nd-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
+# Sentences that name a holder, an organisation or contributors where {} stands, by the identifier of the sentence whose place they take.
+HOLES = [
+    ("bsd-names", "Neither the name{}contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names", "The name{}may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-as-is", "THIS SOFTWARE IS PROVIDED BY {} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd-liable", "IN NO EVENT SHALL {} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;"),
+    ("isc-as-is", "THE SOFTWARE IS PROVIDED \"AS IS\" AND {} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("isc-liable", "IN NO EVENT SHALL {} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("mit-liable", "IN NO EVENT SHALL {} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-third", "Neither the name{}"),
+]
 # Rules in the order in which they apply. Longer runs come before their parts.
 RULES = [
     ("BSD-4-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-advertising"]),
     ("BSD-3-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liable", "bsd-loss", "bsd-theory"]),
     ("BSD-2-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liable", "bsd-loss", "bsd-theory"]),
     ("ISC", ["isc-grant", "isc-as-is", "isc-liable"]),
+    ("ISC", ["isc-grant-2", "isc-as-is", "isc-liable"]),
     ("0BSD", ["0bsd-grant", "isc-as-is", "isc-liable"]),
     ("0BSD", ["0bsd-grant"]),
     ("MPL-2.0", ["mpl-notice", "mpl-copy"]),
@@ -122,6 +136,7 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-later", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received", "gpl-received-if-not"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-later", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received", "gpl-received-if-not-http"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms", "version-2-later", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received", "if-not-write"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-only-terms"]),
     ("GPL-2.0-only", ["gpl-free", "gpl2-terms", "gpl2-only"]),
     ("GPL-2.0-only", ["gpl-free", "gpl2-terms", "gpl2-only-license"]),
     ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-later"]),
@@ -145,8 +160,10 @@ RULES = [
     ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "version-2.1-later", "lgpl-hope", "gpl-implied", "lgpl-details"]),
     ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "version-2.1-later"]),
     ("BSD-3-Clause", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("LicenseRef-BSD-variant", ["bsd-allow", "bsd-source", "bsd-binary", "bsd-third"]),
     ("BSD-2-Clause", ["bsd-allow", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-2"]),
     ("MPL-2.0", ["mpl-notice"]),
     ("Unlicense", ["unlicense", "unlicense-anyone"]),
     ("Unlicense", ["unlicense"]),
@@ -168,29 +185,41 @@ SENTENCE_END = r"[.!?:;]+([\t\n\f\r ]|\z)|\n[\t\r ]*\n"
 LINE_END = r"[\r\n]+"
 OTHER = "[^a-z0-9]+"
 ITEM = r"^ ?[0-9] "
-#: A list number whose full stop ended the sentence: it counts as a sentence, but is no gap between its neighbours.
-ITEM_ONLY = "^[0-9]{1,2}$"
+#: A list number or letter in brackets before a sentence.
+MARK = r"^[^A-Za-z0-9(]*\(?([0-9]{1,2}|[A-Za-z])\)"
+#: A list number or letter whose full stop ended the sentence: it counts as a sentence, but is no gap between its neighbours.
+ITEM_ONLY = "^([0-9]{1,2}|[a-h])$"
+#: A full stop after these ends no sentence.
+SHORT = r"\b(Inc|Ltd|Corp|Co)\."
+#: A tag that states licences by their identifiers, and what stands between these.
+TAG, BETWEEN = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9(][A-Za-z0-9.+() -]*)", r"( (AND|OR|and|or) | WITH [^ ]+|[() ])+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalise(sentence: str) -> str:
     """The form in which sentences are compared: lower-case ASCII words, one space between, no item number."""
-    words = re.sub(OTHER, " ", sentence.translate(str.maketrans(UPPER, LOWER)))
+    words = re.sub(OTHER, " ", re.sub(MARK, " ", re.sub(SHORT, r"\1", sentence)).translate(str.maketrans(UPPER, LOWER)))
     return re.sub(ITEM, " ", words).strip()
 
 
 def _form(sentence: Column) -> Column:
-    words = F.regexp_replace(F.translate(sentence, UPPER, LOWER), OTHER, " ")
+    words = F.regexp_replace(F.translate(F.regexp_replace(sentence, MARK, " "), UPPER, LOWER), OTHER, " ")
     return F.trim(F.regexp_replace(words, ITEM, " "))
 
 
+def _ends(template: str) -> tuple[str, str]:
+    """What stands before and after a template's hole, in the form in which sentences are compared."""
+    before, after = (re.sub(OTHER, " ", x.translate(str.maketrans(UPPER, LOWER))).strip() for x in template.split("{}"))
+    return before + " ", f" {after}" if after else ""
+
+
 def rules_from_texts(texts: dict[str, str]) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
     """Sentences and rules for whole licence texts, by licence: a rule is a text's run of sentences; longer runs come first. A table of any size is made this way, from a parameter."""
     sentences: dict[str, str] = {}
     rules = []
     for licence, text in texts.items():
         run = []
-        for part in re.split(SENTENCE_END.replace(r"\z", r"\Z").replace("(", "(?:"), text):
+        for part in re.split(SENTENCE_END.replace(r"\z", r"\Z").replace("(", "(?:"), re.sub(SHORT, r"\1", text)):
             form = normalise(part)
             if form and not re.fullmatch(ITEM_ONLY, form):
                 key = hashlib.md5(form.encode()).hexdigest()[:12]
@@ -200,18 +229,33 @@ def rules_from_texts(texts: dict[str, str]) -> tuple[dict[str, str], list[tuple[
     return sentences, sorted((r for r in rules if r[1]), key=lambda r: (-len(r[1]), r[0]))
 
 
-def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES) -> Column:
+def identifiers(text: Column, end: str, sentences: dict[str, str] = SENTENCES, holes: list[tuple[str, str]] = HOLES) -> Column:
     """Array of the identifiers of the text's non-empty sentences, '#' for those that are a list number, '-' for others that aren't known.
 
-    Membership is one look into a hash set; only known sentences are looked up in the table, which is one literal.
+    Membership is one look into a hash set; only known sentences are looked up in the table, which is one literal, whose keys are passed through. A
+    sentence that isn't in the table may fit one with a hole: the first that it begins and ends like.
     """
     forms = {normalise(s): k for k, s in sentences.items()}
     known = F.from_json(F.lit(json.dumps(forms)), "map<string,string>")
     lengths = [len(f) for f in forms] or [0]
-    parts = F.split(F.regexp_replace(text, end, "\x01"), "\x01")
+    parts = F.split(F.regexp_replace(F.regexp_replace(text, SHORT, "$1"), end, "\x01"), "\x01")
     found = F.filter(F.transform(parts, _form), lambda s: s != "")
     is_known = lambda s: F.length(s).between(min(lengths), max(lengths)) & s.isin(list(forms))
-    return F.transform(found, lambda s: F.when(is_known(s), F.try_element_at(known, s)).when((F.length(s) <= 2) & s.rlike(ITEM_ONLY), F.lit("#")).otherwise(F.lit("-")))
+
+    def told(s: Column) -> Column:
+        told = F.when(is_known(s), F.try_element_at(known, s)).when((F.length(s) <= 2) & s.rlike(ITEM_ONLY), F.lit("#"))
+        for name, template in holes:
+            before, after = _ends(template)
+            told = told.when(s.startswith(before) & s.endswith(after) & (F.length(s) > len(before) + len(after)), F.lit(name))
+        return told.otherwise(F.lit("-"))
+
+    return F.transform(found, told)
+
+
+def tagged(text: Column) -> Column:
+    """Array of the identifiers in the text's tags, in order, without exceptions."""
+    tags = F.regexp_extract_all(text, F.lit(TAG), F.lit(1))
+    return F.filter(F.flatten(F.transform(tags, lambda t: F.split(F.regexp_replace(t, BETWEEN, " "), " "))), lambda i: i.rlike(r"^[A-Za-z0-9][A-Za-z0-9.+-]*$"))
 
 
 def matched(found: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
@@ -221,20 +265,21 @@ def matched(found: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column
     return F.when(F.exists(found, lambda i: ~i.isin("#", "-")), run).otherwise("")
 
 
-def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, holes: list[tuple[str, str]] = HOLES) -> DataFrame:
     """Every row's whole text (columns doc_id and text are used, others ignored) with the licences that its sentences state.
 
     Returns doc_id, n_sentences, n_known (known sentences, or known lines if they are more), n_licenses, licenses (distinct,
     in byte order, comma-joined; '' for none) and statements (what rules matched by sentence and then
-    by line, in text order). A null or empty text has no sentences; null and repeated doc_ids each
+    by line, and what tags state, each in text order). Where a sentence begins as a third clause would, but is none that is known, two clauses
+    before it aren't taken for a licence of two. A null or empty text has no sentences; null and repeated doc_ids each
     keep their row; no rows give none. ``sentences`` and ``rules`` may be the few hundred of this module, or any
     others, such as those of :func:`rules_from_texts`.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.select("doc_id", identifiers(text, SENTENCE_END, sentences).alias("by_sentence"), identifiers(text, LINE_END, sentences).alias("by_line"))
+    ids = docs.select("doc_id", identifiers(text, SENTENCE_END, sentences, holes).alias("by_sentence"), identifiers(text, LINE_END, sentences, holes).alias("by_line"), tagged(text).alias("tags"))
     known = lambda c: F.size(F.filter(c, lambda i: ~i.isin("-", "#")))
     stated = lambda c: F.regexp_extract_all(matched(F.col(c), rules), F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    told = ids.select("doc_id", F.size("by_sentence").cast("long").alias("n_sentences"), F.greatest(known("by_sentence"), known("by_line")).cast("long").alias("n_known"), F.concat(stated("by_sentence"), stated("by_line")).alias("statements"))
+    told = ids.select("doc_id", F.size("by_sentence").cast("long").alias("n_sentences"), F.greatest(known("by_sentence"), known("by_line")).cast("long").alias("n_known"), F.concat(stated("by_sentence"), stated("by_line"), F.col("tags")).alias("statements"))
     names = F.array_sort(F.array_distinct("statements"))
     return told.select("doc_id", "n_sentences", "n_known", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), "statements")
 
@@ -245,9 +290,12 @@ def license_sql(table: str = "documents") -> str:
     known = "map([" + ", ".join(quote(normalise(s)) for s in SENTENCES.values()) + "], [" + ", ".join(map(quote, SENTENCES)) + "])"
 
     def ids(end: str) -> str:
-        parts = f"string_split(regexp_replace(coalesce(text, ''), {quote(end)}, chr(1), 'g'), chr(1))"
-        form = f"trim(regexp_replace(regexp_replace(translate(s, {quote(UPPER)}, {quote(LOWER)}), {quote(OTHER)}, ' ', 'g'), {quote(ITEM)}, ' '))"
-        return f"[coalesce(known[f], CASE WHEN regexp_matches(f, {quote(ITEM_ONLY)}) THEN '#' ELSE '-' END) for f in [{form} for s in {parts}] if f <> '']"
+        parts = f"string_split(regexp_replace(regexp_replace(coalesce(text, ''), {quote(SHORT)}, '\\1', 'g'), {quote(end)}, chr(1), 'g'), chr(1))"
+        form = f"trim(regexp_replace(regexp_replace(translate(regexp_replace(s, {quote(MARK)}, ' '), {quote(UPPER)}, {quote(LOWER)}), {quote(OTHER)}, ' ', 'g'), {quote(ITEM)}, ' '))"
+        holes = " ".join(f"WHEN f LIKE {quote(before + '_%' + after)} THEN {quote(name)}" for name, template in HOLES for before, after in [_ends(template)])
+        return f"[coalesce(known[f], CASE WHEN regexp_matches(f, {quote(ITEM_ONLY)}) THEN '#' {holes} ELSE '-' END) for f in [{form} for s in {parts}] if f <> '']"
+
+    tags = f"list_filter(flatten([string_split(regexp_replace(t, {quote(BETWEEN)}, ' ', 'g'), ' ') for t in regexp_extract_all(coalesce(text, ''), {quote(TAG)}, 1)]), lambda i: regexp_matches(i, '^[A-Za-z0-9][A-Za-z0-9.+-]*$'))"
 
     def stated(c: str) -> str:
         runs = reduce(lambda s, rule: f"replace({s}, {quote(''.join(f'<{i}>' for i in rule[1]))}, {quote(f'[{rule[0]}]')})", RULES, f"array_to_string(['<' || i || '>' for i in {c} if i <> '#'], '')")
@@ -255,10 +303,10 @@ def license_sql(table: str = "documents") -> str:
 
     return f"""
 WITH k AS (SELECT {known} AS known),
-ids AS (SELECT doc_id, {ids(SENTENCE_END)} AS by_sentence, {ids(LINE_END)} AS by_line FROM {table}, k),
+ids AS (SELECT doc_id, {ids(SENTENCE_END)} AS by_sentence, {ids(LINE_END)} AS by_line, {tags} AS tags FROM {table}, k),
 told AS (
   SELECT doc_id, len(by_sentence) AS n_sentences, by_sentence, by_line,
-         list_sort(list_distinct(list_concat({stated("by_sentence")}, {stated("by_line")}))) AS names
+         list_sort(list_distinct(list_concat(list_concat({stated("by_sentence")}, {stated("by_line")}), tags))) AS names
   FROM ids)
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences,
        CAST(greatest(len(list_filter(by_sentence, lambda i: i NOT IN ('-', '#'))), len(list_filter(by_line, lambda i: i NOT IN ('-', '#')))) AS BIGINT) AS n_known,

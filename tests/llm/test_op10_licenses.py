@@ -51,7 +51,7 @@ def test_sentences_are_single(spark):
 
     rows = spark.createDataFrame(list(licenses.SENTENCES.items()), "k string, s string").select("k", licenses.identifiers(F.col("s"), licenses.SENTENCE_END).alias("i")).collect()
     assert all(r.i == [r.k] for r in rows)
-    assert {i for _, run in licenses.RULES for i in run} <= set(licenses.SENTENCES)
+    assert {i for _, run in licenses.RULES for i in run} <= {*licenses.SENTENCES, *(i for i, _ in licenses.HOLES)}
 
 
 def test_wrapped_numbered_clauses(spark):
@@ -66,13 +66,23 @@ def test_wrapped_numbered_clauses(spark):
 
 def scan(text, sentences, rules):
     """What a text states, step by step over its sentences and its lines."""
-    form = lambda p: re.sub("^ ?[0-9] ", " ", re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), p))).strip()
+    plain = lambda p: re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), p))
+    form = lambda p: re.sub("^ ?[0-9] ", " ", plain(re.sub(r"^[^A-Za-z0-9(]*\(?([0-9]{1,2}|[A-Za-z])\)", " ", p))).strip()
+    holes = [(i, *(plain(x).strip() for x in t.split("{}"))) for i, t in licenses.HOLES]
+
+    def name(f):
+        if f in known or re.fullmatch("[0-9]{1,2}|[a-h]", f):
+            return known.get(f, "#")
+        fits = (i for i, a, b in holes if f.startswith(a + " ") and f.endswith(" " + b if b else "") and len(f) > len(a) + len(b) + (2 if b else 1))
+        return next(fits, "-")
+
+    text = re.sub(r"\b(Inc|Ltd|Corp|Co)\.", r"\1", text or "")
     known = {form(s): k for k, s in sentences.items()}
     counts, names, n = [], set(), None
     for end in (r"[.!?:;]+(?:[\t\n\f\r ]|\Z)|\n[\t\r ]*\n", r"[\r\n]+"):
-        forms = [f for f in map(form, re.split(end, text or "")) if f]
+        forms = [f for f in map(form, re.split(end, text)) if f]
         n = len(forms) if n is None else n
-        ids = [known.get(f, "-") for f in forms if f in known or not re.fullmatch("[0-9]{1,2}", f)]
+        ids = [i for i in map(name, forms) if i != "#"]
         counts.append(sum(i != "-" for i in ids))
         for licence, run in rules:
             at = 0
@@ -81,13 +91,42 @@ def scan(text, sentences, rules):
                     ids[at : at + len(run)] = [("done", licence)]
                     names.add(licence)
                 at += 1
+    for tag in re.findall(r"SPDX-License-Identifier:[ 	]*([A-Za-z0-9(][A-Za-z0-9.+() -]*)", text):
+        names.update(i for i in re.sub(r" WITH [^ ]+", "", re.sub(r"[()]", " ", tag)).split() if i.upper() not in ("AND", "OR"))
     return n, max(counts), len(names), ",".join(sorted(names))
 
 
+def test_sentences_with_holes(spark):
+    """Texts as they are in the wild: organisations by name, lettered clauses, other words for the third clause, tags."""
+    s = licenses.SENTENCES
+    head, tail = [s["bsd-allow"], s["bsd-source"], s["bsd-binary"]], " ".join(s[k] for k in ("bsd-as-is", "bsd-liable", "bsd-loss", "bsd-theory"))
+    third = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    names = ["Google Inc.", "the University of California, Berkeley", "the <organization>", "Foo Co. Ltd.", "Yahoo! Inc."]
+    marks = [("1.", "2.", "3."), ("a.", "b.", "c."), ("(a)", "(b)", "(c)"), ("*", "*", "*"), ("  1)", "  2)", "  3)"), ("-", "-", "-")]
+    bsd3 = [f"{head[0]}\n\n{m[0]} {head[1]}\n{m[1]} {head[2]}\n{m[2]} {third.format(n)}\n\n" for n in names[:4] for m in marks]
+    named = tail.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "GOOGLE INC. OR ITS EMPLOYEES")
+    texts = [*bsd3, *(t + named for t in bsd3[:3]), *(textwrap.fill(t, 75) for t in bsd3[:2])]
+    assert set(found(spark, *texts)) == {"BSD-3-Clause"}
+    author = f"{head[0]} 1. {head[1]} 2. {head[2]} 3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission. "
+    odd = f"{head[0]} 1. {head[1]} 2. {head[2]} 3. Neither the name of Foo nor those of Bar may be used in any way. "
+    two = f"{head[0]} 1. {head[1]} 2. {head[2]} " + named
+    isc = s["isc-grant-2"] + " " + s["isc-as-is"].replace("THE AUTHOR", "INTERNET SYSTEMS CONSORTIUM") + " " + s["isc-liable"].replace("THE AUTHOR", "ISC")
+    mit = " ".join([s["mit-grant"], s["mit-keep"], s["mit-as-is"], s["mit-liable"].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "X CONSORTIUM")])
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    assert found(spark, author, odd, two, isc, mit, gpl) == ["BSD-3-Clause", "LicenseRef-BSD-variant", "BSD-2-Clause", "ISC", "MIT", "GPL-2.0-only"]
+    tags = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: (Apache-2.0 OR MIT) AND GPL-2.0-or-later WITH Classpath-exception-2.0", "/* SPDX-License-Identifier: GPL-2.0+ */", "SPDX-License-Identifier:", "no tag MIT"]
+    assert found(spark, *tags) == ["MIT", "Apache-2.0,GPL-2.0-or-later,MIT", "GPL-2.0+", "", ""]
+    con = duckdb.connect()
+    frame = spark.createDataFrame(list(enumerate([*texts, author, odd, two, isc, mit, gpl, *tags])), "doc_id long, text string")
+    con.register("documents", frame.toPandas())
+    want = {r.doc_id: (r.n_sentences, r.n_known, r.n_licenses, r.licenses) for r in licenses.license_scan(frame).collect()}
+    assert {r[0]: r[1:] for r in con.sql(licenses.license_sql()).fetchall()} == want
+
+
 def test_against_brute_force_and_sql(spark, odd_rows):
     dice = random.Random(6)
     known = list(licenses.SENTENCES.values())
-    runs = [[licenses.SENTENCES[i] for i in run] for _, run in licenses.RULES]
+    runs = [[licenses.SENTENCES.get(i, "Neither the name of Foo nor that of Bar may be used.") for i in run] for _, run in licenses.RULES]
     texts = []
     for _ in range(300):
         parts = []
@@ -99,7 +138,9 @@ def test_against_brute_force_and_sql(spark, odd_rows):
                 run = [f"{i + 1}. {s}" for i, s in enumerate(run)]
             parts.append(dice.choice([" ", "\n", "\n\n", " \r\n"]).join(run))
         texts.append(textwrap.fill(" ".join(parts), 70) if dice.random() < 0.3 else "\n".join(parts))
-    texts += [r[1] for r in odd_rows]
+    names = iter(["Acme Inc.", "X & Y Corp.", "The Z Project", "Q"] * 200)
+    texts = [re.sub("the copyright holder ", lambda m: next(names) + " ", t) if dice.random() < 0.5 else t for t in texts]
+    texts += [r[1] for r in odd_rows] + ["a. b. c. (d) e", "SPDX-License-Identifier: MIT or (Zlib)\nSPDX-License-Identifier: 0BSD"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: scan(t, licenses.SENTENCES, licenses.RULES) for i, t in enumerate(texts)}
     got = {r.doc_id: (r.n_sentences, r.n_known, r.n_licenses, r.licenses) for r in licenses.license_scan(frame).collect()}
