@@ -128,11 +128,16 @@ def _arriving(spark: SparkSession, sf_dir: str, path: str, slices: int) -> Itera
         yield spark.readStream.schema(events.schema).parquet(path)
 
 
+#: Requests for which a partition of the state store is kept.
+REQUESTS_A_PARTITION = 500_000
+
+
 def live_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests admitted one by one as they come, in five micro-batches with a restart before each; counters are kept in the state store."""
     path, checkpoint, told = scratch(spark, "requests"), scratch(spark, "state"), scratch(spark, "admitted")
+    width = max(4, _t(spark, sf_dir, "events").count() // REQUESTS_A_PARTITION)
     for requests in _arriving(spark, sf_dir, path, 5):
-        drain(live.live_admission(requests, "user_id", "ts", "event_id", cap=3), checkpoint, told, store=ROCKSDB)
+        drain(live.live_admission(requests, "user_id", "ts", "event_id", cap=3), checkpoint, told, store=ROCKSDB, partitions=width)
     rows = spark.read.schema("who string, day string, request long, ts timestamp, allowed boolean, used long, remaining long").parquet(told)
     return rows.select(F.col("request").alias("event_id"), F.col("who").cast("long").alias("user_id"), "day", "allowed", "used", "remaining")
 
