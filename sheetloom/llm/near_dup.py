@@ -36,6 +36,8 @@ from .words import shingle_sets
 
 #: Bounds of a block: documents, and bytes of their texts.
 BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
+#: Blocks of a bucket's members outside its largest component up to which all of them are compared: about as many copies of a text as its first shingles would take.
+DIRECT_BLOCKS = 24
 #: The shingles by whose counts a rarest-first order is made: those in a thousandth of the sets, and of these the most frequent. Others come first, by hash. The order changes the work, never the links.
 FREQUENT_SHARE, MOST_FREQUENT = 1000, 500_000
 _LINKS = "a binary, b binary"
@@ -259,21 +261,24 @@ def _shingles(sets: DataFrame, words: int, percent: int | None = None, order: tu
 def _beyond_pivots(large: DataFrame, roots: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links in buckets of several blocks between members that aren't connected yet.
 
-    Where those outside a bucket's largest component fit a block, they are compared with the whole bucket, which takes rows in proportion to it.
-    The others are found by the shingles that come first in an order from the rarest on.
+    Where those outside a bucket's largest component take at most DIRECT_BLOCKS blocks, they are compared with the whole bucket, which takes that many times its rows.
+    In larger ones they are found by the shingles that come first in an order from the rarest on.
     """
     labelled = materialize(large.join(roots, "node", "left").select("bucket", "node", "n_bytes", F.coalesce("root", "node").alias("label")), "labelled")
     plan = _plan(labelled)
-    links = _between_components(labelled, plan.where("rests = 1"), texts, words, percent)
-    many = plan.where("rests > 1")
+    links = _between_components(labelled, plan.where(F.col("rests") <= DIRECT_BLOCKS), texts, words, percent)
+    many = plan.where(F.col("rests") > DIRECT_BLOCKS)
     if many.isEmpty():
         return links
-    nodes = materialize(labelled.join(many.select("bucket"), "bucket", "left_semi").select("node", "n_bytes", "label").distinct(), "split")
+    split = materialize(labelled.join(many.select("bucket"), "bucket", "left_semi"), "split")
+    nodes = materialize(split.select("node", "n_bytes", "label").distinct(), "nodes")
     sets = materialize(nodes.hint("merge").join(texts, "node"), "sets")
     often = _shingles(sets, words).groupBy("element").count().where(F.col("count") >= max(2, nodes.count() // FREQUENT_SHARE)).orderBy(F.desc("count"), "element").limit(MOST_FREQUENT).toArrow()
     known = often.column("element").to_numpy().view(np.uint64)
     by_hash = np.argsort(known)
-    firsts = _shingles(sets, words, percent, (known[by_hash], often.column("count").to_numpy()[by_hash])).withColumnRenamed("element", "bucket")
+    firsts = _shingles(sets, words, percent, (known[by_hash], often.column("count").to_numpy()[by_hash])).select("node", "element")
+    # Only members of one bucket are to be compared: a group is those of a bucket that have a first shingle in common.
+    firsts = split.join(firsts, "node").select("node", "n_bytes", "label", F.xxhash64("bucket", "element").alias("bucket"))
     firsts = materialize(firsts, "firsts")
     groups = _buckets(firsts, [(F.min(F.xxhash64("label")) != F.max(F.xxhash64("label"))).alias("mixed")])
     firsts = materialize(firsts.join(materialize(groups.select("bucket"), "groups"), "bucket", "left_semi"), "mixed")

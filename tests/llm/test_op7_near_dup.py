@@ -69,10 +69,11 @@ def test_large_groups_in_small_blocks(spark, monkeypatch, block):
     assert got == brute(docs, 2)
 
 
-@pytest.mark.parametrize("share", [3, 1000])
-def test_boilerplate_in_large_buckets(spark, monkeypatch, share):
-    """Texts that have 60 % in common meet in buckets by their common words, but only near copies are linked; few pairs of them are compared."""
+@pytest.mark.parametrize(("share", "direct"), [(3, 1), (1000, 2), (1000, 24)])
+def test_boilerplate_in_large_buckets(spark, monkeypatch, share, direct):
+    """Texts that have 60 % in common meet in buckets by their common words, but only near copies are linked."""
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_dup, "DIRECT_BLOCKS", direct)
     monkeypatch.setattr(near_dup, "FREQUENT_SHARE", share)
     dice = random.Random(9)
     common = " ".join(f"c{i}" for i in range(60))
@@ -85,6 +86,22 @@ def test_boilerplate_in_large_buckets(spark, monkeypatch, share):
     assert got == brute(docs, 2)
 
 
+def test_rows_that_are_compared_on_boilerplate(spark, monkeypatch):
+    """Texts of which none are linked, made of the same sentences: each is shipped to blocks a few dozen times, whatever their number."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 16)
+    shipped, verify = [], near_dup._verify
+    monkeypatch.setattr(near_dup, "_verify", lambda members, *rest: (shipped.append(members.count()), verify(members, *rest))[1])
+    dice = random.Random(3)
+    sentences = [" ".join(f"w{i}x{j}" for j in range(6)) for i in range(60)]
+    rows = {}
+    for n in (500, 1000):
+        docs = [(i, " ".join(s for s in sentences if dice.random() < 0.5)) for i in range(n)]
+        shipped.clear()
+        assert near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=2).where("kept").count() == n
+        rows[n] = sum(shipped)
+    assert rows[500] < 20 * 500 and rows[1000] < 30 * 1000 and rows[1000] < 3.5 * rows[500]
+
+
 def test_repeated_ids_with_different_texts(spark):
     a, b, b2 = ("one two three four five six seven eight nine ten " + x for x in ("a b c d e f g h", "k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 0", "k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 0 also"))
     rows = [(3, a), (7, a), (7, b), (9, b)]
