@@ -67,13 +67,17 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+#: Documents for each part of the ledger.
+ROWS_A_PART = 500_000
+
+
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over the whole table: every document is put under two tokenizer versions; those labelled toxic are deleted; those labelled bad are counted anew. The second batch is sent twice."""
+    """Three batches over the whole table: every document is put under two tokenizer versions; those labelled toxic are deleted; those labelled bad are counted anew. The second batch is sent twice, and a snapshot is made after it, which the third starts from."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     counts = docs.select("doc_id", "source", "lang", rollup.spaced_words("text").alias("words"), size.alias("bytes"), rollup.plain_words("text").alias("plain"))
     counts = materialize(counts, "counts")  # texts are read once and never shuffled
-    store = rollup.RollupStore(spark, new_path(spark, "rollup"))
+    store = rollup.RollupStore(spark, new_path(spark, "rollup"), parts=max(8, counts.count() // ROWS_A_PART))
     keep = ["doc_id", "source", "lang"]
     both = F.explode(F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("words").alias("n_tokens")), F.struct(F.lit("bytes-1").alias("tokenizer"), F.col("bytes").alias("n_tokens"))))
     store.commit(1, counts.select(*keep, both.alias("c")).select(*keep, "c.*", F.lit("put").alias("op")))
@@ -81,6 +85,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = toxic.select(*keep, F.explode(F.array(F.lit("words-1"), F.lit("bytes-1"))).alias("tokenizer"), F.lit(None).cast("long").alias("n_tokens"), F.lit("delete").alias("op"))
     store.commit(2, gone)
     store.commit(2, gone)
+    store.compact()
     bad = counts.join(labels.where("quality = 0 AND toxic = 0"), "doc_id", "left_semi")
     store.commit(3, bad.select(*keep, F.lit("words-1").alias("tokenizer"), F.col("plain").alias("n_tokens"), F.lit("put").alias("op")))
     return store.totals().select("source", "lang", "tokenizer", "docs", "tokens")

@@ -57,7 +57,7 @@ class RollupStore:
     def _write_ledger(self, rows: DataFrame, table: str, batch: int) -> DataFrame:
         where = f"{self.path}/{table}/batch={batch}"
         part = F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
-        rows.withColumn("part", part).repartition(self.parts, "part").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(where)
+        rows.withColumn("part", part).repartitionById(self.parts, F.col("part")).write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(f"{LEDGER}, part int").parquet(where)
 
     def compact(self) -> None:
