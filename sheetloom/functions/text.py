@@ -80,7 +80,9 @@ def wrap_label(c: Column, per_line: int = 19, most_lines: int = 2) -> Column:
         cut = (F.size(lines) > 0) & (F.length(F.array_join(lines, " ")) < F.length(c))
         return F.when(cut, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(marked))).otherwise(lines)
 
-    return F.when(c.isNotNull(), F.aggregate(F.split(c, f"[{SPACES}]+"), start, add, finish))
+    # Lines are full after so many words; what follows may stay in one piece.
+    most_words = most_lines * ((per_line + 1) // 2) + 4
+    return F.when(c.isNotNull(), F.aggregate(F.split(c, f"[{SPACES}]+", most_words), start, add, finish))
 
 
 def colour_of(c: Column) -> Column:
