@@ -143,11 +143,11 @@ def live_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored history for each nation, as a JSON array, with entries that lack an id or a report, and one that is no array."""
+    """A stored history for each run of customers, as a JSON array, with entries that lack an id or a report, and one that is no array."""
     k = F.col("c_custkey")
     name = F.when(k % 5 == 0, F.lit("")).when(k % 5 != 1, F.concat(F.lit("r"), k.cast("string")))
     report = F.when(k % 5 != 2, F.struct(F.col("c_name").alias("summary")))
-    stored = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct(name.alias("id"), (k * 1000).alias("at"), report.alias("analysis")))).alias("json"))
+    stored = _t(spark, sf_dir, "customer").groupBy(F.floor(k / 200)).agg(F.to_json(F.collect_list(F.struct(name.alias("id"), (k * 1000).alias("at"), report.alias("analysis")))).alias("json"))
     return stored.select("json").unionByName(spark.createDataFrame([("{}",), ("no json",), (None,)], "json string"))
 
 
@@ -363,10 +363,12 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def demo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The demo report's blocks, and its canned answer as vendor a's stream."""
-    parsed = reports.parse_reports(demo.report_rows(spark))
-    events = [(1, i, 'data: {"candidates":[{"content":{"parts":[{"text":"' + word + '"}]}}]}\n\n') for i, word in enumerate(demo.answer_chunks())]
-    answer = provider("a").chat(spark.createDataFrame(events, "stream_id long, seq long, chunk string"))
+    """A copy of the demo report for each supplier, by its blocks, and the canned answer to each as vendor a's stream."""
+    suppliers = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("report_id"))
+    parsed = reports.parse_reports(suppliers.withColumn("json", demo.report_json()))
+    event = lambda word: F.concat(F.lit('data: {"candidates":[{"content":{"parts":[{"text":"'), word, F.lit('"}]}}]}\n\n'))
+    words = suppliers.select(F.col("report_id").alias("stream_id"), F.posexplode(F.array(*map(F.lit, demo.answer_chunks()))).alias("seq", "word"))
+    answer = provider("a").chat(words.select("stream_id", "seq", event(F.col("word")).alias("chunk")))
     blocks = reports.exploded(parsed, "blocks").select("report_id", "id", "kind")
     return blocks.unionByName(answer.select(F.col("stream_id").alias("report_id"), F.lit("answer").alias("id"), F.col("text").alias("kind")))
 
@@ -504,7 +506,7 @@ s AS (SELECT user_id, min(event_id) FILTER (WHERE event_type = 'purchase') AS ok
 SELECT user_id, CASE WHEN ok < coalesce(fatal, ok + 1) THEN 'success' WHEN fatal IS NOT NULL THEN 'fatal' ELSE 'exhausted' END AS outcome, coalesce(least(ok, fatal), 0) AS stopped_at,
   CASE WHEN ok < coalesce(fatal, ok + 1) THEN NULL WHEN fatal IS NOT NULL THEN 'e' || fatal ELSE 'e' || first END AS error FROM s""",
     "best_model": f"WITH {MODELS}, s AS (SELECT model, {POINTS} AS score FROM models) SELECT 'all' AS \"of\", (SELECT model FROM s WHERE score > -100 ORDER BY score DESC, model LIMIT 1) AS model UNION ALL SELECT 'unfit', '' UNION ALL SELECT 'accents', 'é-1' UNION ALL SELECT 'marks', 'm_a-1' UNION ALL SELECT 'case', 'a-1'",
-    "demo_blocks": "SELECT CAST(1 AS BIGINT) AS report_id, id, kind FROM (VALUES ('mains', 'input'), ('reg', 'regulator'), ('out', 'output'), ('answer', 'The regulator holds the output at twelve volts.')) t(id, kind)",
+    "demo_blocks": "SELECT s_suppkey AS report_id, id, kind FROM supplier, (VALUES ('mains', 'input'), ('reg', 'regulator'), ('out', 'output'), ('answer', 'The regulator holds the output at twelve volts.')) t(id, kind)",
     "live_answers": r"SELECT conv_id, regexp_replace(string_agg(text, '' ORDER BY turn), '\A[\t\n\v\f\r ]+|[\t\n\v\f\r ]+\z', '', 'g') AS text, CAST(1 AS BIGINT) AS ends, TRUE AS each_once FROM conversations GROUP BY conv_id",
     "live_admission": """
 WITH n AS (SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS place FROM events)

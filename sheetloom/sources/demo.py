@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPORT = {
     "summary": "A bench supply with one regulated output and a fault lamp.",
@@ -31,6 +32,11 @@ REPORT = {
 ANSWER = "The regulator holds the output at twelve volts."
 
 
+def report_json() -> Column:
+    """The report as JSON text, for each row the same."""
+    return F.lit(json.dumps(REPORT))
+
+
 def report_rows(spark: SparkSession) -> DataFrame:
     """The report as a row (report_id, json)."""
     return spark.createDataFrame([(1, json.dumps(REPORT))], "report_id long, json string")
