@@ -21,7 +21,7 @@ def same(spark, name, folder):
     return got
 
 
-@pytest.mark.parametrize("name", ["op4_warc_chunks", "op7_near_duplicates", "op9_positional_hits"])
+@pytest.mark.parametrize("name", ["op4_warc_chunks", "op7_near_duplicates", "op9_positional_hits", "op13_ranked_search"])
 def test_smallest_tables(spark, sf_dir, name):
     same(spark, name, sf_dir)
 
@@ -43,6 +43,6 @@ def folder(spark, odd_rows, odd_docs, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["op4_warc_chunks", "op7_near_duplicates", "op9_positional_hits"])
+@pytest.mark.parametrize("name", ["op4_warc_chunks", "op7_near_duplicates", "op9_positional_hits", "op13_ranked_search"])
 def test_odd_rows(spark, folder, name):
     assert len(set(same(spark, name, folder))) > 10
