@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, temporary
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -37,6 +37,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before, now = None, state(edges)
     while now[0] and now != before:
-        edges = _star(_star(edges, True), False)
+        with temporary(links.sparkSession) as keep:
+            edges = keep(_star(_star(edges, True), False))
         before, now = now, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

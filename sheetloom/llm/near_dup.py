@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import band_keys, sketches
-from .storage import materialize, text_mark, without, without_rows
+from .storage import materialize, temporary, text_mark, without, without_rows
 from .words import shingle_sets
 
 #: Bounds of a block: documents, and bytes of their texts.
@@ -184,34 +184,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     with different texts are in the components of their texts, and aren't linked through the id. Rows that repeat
     doc_id and text get the same result each. A component without any doc_id has a null component_id, and its rows are kept.
     """
-    sig = materialize(signatures(docs, words, bands, rows), "signatures")
-    sets = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("node", "doc_id", "text_mark", "n_bytes", "keys")).alias("r")).select("set_hash", "r.*")
-    sets = materialize(sets, "sets")
-    one = sets.select("node", "n_bytes", F.explode("keys").alias("bucket"))
-    buckets = materialize(_buckets(one), "buckets")
-    members = materialize(one.join(buckets, "bucket").select("bucket", "node", "n_bytes", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "members")
-    # The texts that will be compared, written once. Always by shuffle: their number grows with the corpus.
-    wanted = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_mark")
-    texts = docs.select("doc_id", text_mark().alias("_mark"), "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("text_mark")))
-    texts = texts.select("node", "text")
-    if not sig.groupBy("doc_id", "text_mark").count().where("count > 1").isEmpty():  # rows that repeat both would be compared again and again
-        texts = texts.dropDuplicates(["node"])
-    texts = materialize(texts, "texts")
-
-    # The block of pivots meets every block; a small bucket is one block.
-    pairs = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = members.select("bucket", "node", F.explode(pairs.cast("array<long>")).alias("pair"), (F.col("block") == 0).alias("left"))
-    first = first.withColumn("within", F.col("pair") == 0).withColumn("label", F.lit(None).cast("binary"))
-    links = materialize(_verify(first.hint("merge").join(texts, "node"), words, percent), "links")
-    roots = materialize(components(links), "roots")
-
-    large = members.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_beyond_pivots(large, roots, texts, words, percent))
+    with temporary(docs.sparkSession) as keep:  # texts, members and links aren't read once components are known
+        sig = keep(materialize(signatures(docs, words, bands, rows), "signatures"))
+        sets = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("node", "doc_id", "text_mark", "n_bytes", "keys")).alias("r")).select("set_hash", "r.*")
+        sets = materialize(sets, "sets")
+        one = sets.select("node", "n_bytes", F.explode("keys").alias("bucket"))
+        buckets = materialize(_buckets(one), "buckets")
+        members = materialize(one.join(buckets, "bucket").select("bucket", "node", "n_bytes", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "members")
+        # The texts that will be compared, written once. Always by shuffle: their number grows with the corpus.
+        wanted = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_mark")
+        texts = docs.select("doc_id", text_mark().alias("_mark"), "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("text_mark")))
+        texts = texts.select("node", "text")
+        if not sig.groupBy("doc_id", "text_mark").count().where("count > 1").isEmpty():  # rows that repeat both would be compared again and again
+            texts = texts.dropDuplicates(["node"])
+        texts = materialize(texts, "texts")
+
+        # The block of pivots meets every block; a small bucket is one block.
+        pairs = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+        first = members.select("bucket", "node", F.explode(pairs.cast("array<long>")).alias("pair"), (F.col("block") == 0).alias("left"))
+        first = first.withColumn("within", F.col("pair") == 0).withColumn("label", F.lit(None).cast("binary"))
+        links = materialize(_verify(first.hint("merge").join(texts, "node"), words, percent), "links")
         roots = materialize(components(links), "roots")
 
-    told = sets.select("set_hash", "node").join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
-    own = sig.select("doc_id", "text_mark", "n_shingles", "set_hash", "node").join(materialize(told, "components"), "set_hash", "left")
+        large = members.where("blocks > 1")
+        if not large.isEmpty():
+            links = links.unionByName(_beyond_pivots(large, roots, texts, words, percent))
+            roots = materialize(components(links), "roots")
+
+        told = sets.select("set_hash", "node").join(roots, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
+        told = keep(materialize(told, "components"))
+    own = sig.select("doc_id", "text_mark", "n_shingles", "set_hash", "node").join(told, "set_hash", "left")
     number = F.conv(F.hex(F.substring("root", 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(_SIGN)).cast("decimal(20,0)")
     least = F.when(F.hex(F.substring("root", 1, 1)) == "00", number.cast("long"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(least)
@@ -224,7 +226,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Of rows that repeat both, the one with the least other columns stays. Rows without words stay, but for such repetitions of a doc_id and text.
     """
-    found = materialize(near_duplicates(docs, words, percent).select("doc_id", "text_mark", "first"), "found")
+    with temporary(docs.sparkSession) as keep:
+        found = keep(materialize(near_duplicates(docs, words, percent).select("doc_id", "text_mark", "first"), "found"))
     left = without(docs, found.withColumn("copy", ~F.col("first")), "copy", "copies")
     again = found.where("first").groupBy("doc_id", "text_mark").count().where("count > 1").drop("count")
     if again.isEmpty():
