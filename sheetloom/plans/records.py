@@ -210,7 +210,7 @@ def picked_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of pages, read back as picked files."""
     path = scratch(spark, "picked")
     pages = _t(spark, sf_dir, "pages").select(F.pmod("page_id", F.lit(16)).alias("bucket"), F.coalesce("html", F.lit("")).alias("html"))
-    pages.repartition("bucket").write.partitionBy("bucket").option("compression", "none").text(path)
+    pages.write.partitionBy("bucket").option("compression", "none").text(path)
     found = files.read_picked(spark, path).where(~F.col("path").endswith("_SUCCESS"))
     bucket = F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("long")
     return found.groupBy(bucket.alias("bucket"), "kind").agg(F.sum("length").alias("bytes"), F.sum(F.octet_length("content").cast("long")).alias("read"))
