@@ -88,3 +88,21 @@ def test_random_diagrams(spark):
         assert all(e.back == (names.index(e.to) < names.index(e["from"]) and reaches(e.to, e["from"])) for e in r.edges)
         for layer in set(layers.values()):
             assert sorted(n.place for n in r.nodes if n.layer == layer) == list(range(sum(x == layer for x in layers.values())))
+
+
+def test_a_wide_diagram(spark):
+    """Means of more places than 32 bits hold, and many steps within one report."""
+    names = [f"s{i}" for i in range(2200)]
+    r = placed(spark, [([*names, "hub", "last"], [*((s, "hub") for s in names), ("hub", "last"), ("last", "hub")])])[0]
+    assert [n.place for n in r.nodes] == [*range(2200), 0, 0] and [n.layer for n in r.nodes[-2:]] == [1, 2]
+    assert [e.to for e in r.edges if e.back] == ["hub"] and sum(e.side for e in r.edges) == 1 and r.width == 2200 * (layout.WIDTH + layout.GAP_X) - layout.GAP_X + layout.LANE
+
+
+def test_reports_are_placed_alike_together_and_alone(spark):
+    dice = random.Random(8)
+    graphs = [([], []), ([f"n{i}" for i in range(500)], [(f"n{i + d}", f"n{i + 1 - d}") for i in range(499) for d in (0, 1)]), (["x"], [("x", "x")])]
+    graphs += [([f"n{i}" for i in range(7)], [(f"n{dice.randrange(7)}", f"n{dice.randrange(7)}") for _ in range(9)]) for _ in range(40)] + [([], [])]
+    together = placed(spark, graphs)
+    assert [n.layer for n in together[1].nodes] == list(range(500)) and sum(e.back for e in together[1].edges) == 499
+    for i in range(6):
+        assert together[i][3:] == placed(spark, [graphs[i]])[0][3:]
