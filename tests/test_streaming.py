@@ -164,6 +164,21 @@ def test_live_admission_forgets_after_its_time(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
 
 
+def test_live_admission_of_callers_with_many_days(spark, tmp_path):
+    """A caller's days have counters of their own, over restarts; requests without number or time are told too."""
+    def admitted():
+        source = spark.readStream.schema("who string, ts timestamp, id long").json(str(tmp_path / "in"))
+        drain(quota.live_admission(source, "who", "ts", "id", cap=2), str(tmp_path / "c"), str(tmp_path / "out"), store=ROCKSDB, partitions=2)
+        return sorted((r.day or "", -1 if r.request is None else r.request, r.allowed, r.used, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    ask = lambda day, *ids: [{"who": "u", "ts": day and f"2024-01-{day:02d}T00:00:00Z", "id": i} for i in ids]
+    put(tmp_path / "in", "a.json", [*ask(1, 2**60 + 1), *ask(2, 7, None, 5), *ask(None, 8, None)])
+    first = [("", -1, True, 1, 1), ("", 8, True, 2, 0), ("2024-01-01", 2**60 + 1, True, 1, 1), ("2024-01-02", -1, True, 1, 1), ("2024-01-02", 5, True, 2, 0), ("2024-01-02", 7, False, 2, 0)]
+    assert admitted() == first
+    put(tmp_path / "in", "b.json", [*ask(1, 3, 4), *ask(3, 1)])
+    assert admitted() == sorted([*first, ("2024-01-01", 3, True, 2, 0), ("2024-01-01", 4, False, 2, 0), ("2024-01-03", 1, True, 1, 1)])
+
+
 def test_latest_table(spark, tmp_path):
     table = LatestTable(spark, str(tmp_path), ["k"], "n", "k string, n long, v string", buckets=4)
     rows = lambda *r: spark.createDataFrame(r, "k string, n long, v string")
