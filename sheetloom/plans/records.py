@@ -37,7 +37,9 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     schematic = _pick(k, "", '"isSchematic":null,', '"isSchematic":false,', '"isSchematic":true,', '"isSchematic":true,')
     sheet = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit('"sheet":{"title":"'), F.col("p_name"), F.lit('","extra":{"b":1,"a":"é"}},')))
     whole = F.concat(F.lit("{"), blocks, edges, schematic, sheet, F.lit('"notes":["n"],"other":1,"summary":"'), F.col("p_name"), F.lit('"}'))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("json"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small file of parts would be one task, and its reports take long
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").repartition(width, "p_partkey")
+    return parts.select("p_partkey", F.when(k % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("json"))
 
 
 def report_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import sys
 import duckdb
 import pytest
 
-from sheetloom.plans import queries
+from pyspark.sql import functions as F
+
+from sheetloom.plans import queries, records
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +39,12 @@ def test_wrapped_labels_fit(spark, sf_dir):
     assert rows and all(len(r.label.split("\n")) <= 2 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["_reports", "report_normalize", "exploded_edges"])
+def test_reports_are_spread_over_tasks(spark, sf_dir, name):
+    rows = getattr(records, name)(spark, sf_dir)
+    assert rows.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
