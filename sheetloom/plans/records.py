@@ -100,19 +100,29 @@ def sse_vendor_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse.decode_chunks(chunks, "conv_id", "seq", "chunk", "b").select("conv_id", "text")
 
 
+def _cut(streams: DataFrame) -> DataFrame:
+    """The chunks (stream_id, seq, chunk, last) of ``streams`` (stream_id, whole, size), of ``size`` characters each. A stream is read once: a substring for each chunk would count its characters from the start every time."""
+    pieces = streams.select("stream_id", F.regexp_extract_all("whole", F.concat(F.lit("(?s).{1,"), F.col("size").cast("string"), F.lit("}")), F.lit(0)).alias("pieces"))
+    chunk = lambda c, i: F.struct(i.cast("long").alias("seq"), c.alias("chunk"), (i == F.size("pieces") - 1).alias("last"))
+    return pieces.select("stream_id", F.inline(F.transform("pieces", chunk)))
+
+
+#: Turns of conversations for which live_answers has a group of streams, and the least number of groups.
+TURNS_A_GROUP, LEAST_GROUPS = 300, 64
+
+
 def live_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same streams live. Their chunks, cut anywhere, come out of order in six micro-batches, with some that come twice; after half of them the stream is stopped and begun again."""
     whole = _vendor_b(spark, sf_dir).groupBy("conv_id").agg(joined_in_order(F.col("whole"), F.col("turn")).alias("whole"))
     size = (F.pmod(F.xxhash64("conv_id"), F.lit(90)) + 37).cast("int")
-    pieces = F.ceil(F.length("whole") / size).cast("int")
-    chunk = lambda i: F.struct(i.cast("long").alias("seq"), F.substring("whole", i * size + 1, size).alias("chunk"), (i == pieces - 1).alias("last"))
-    cut = whole.select(F.col("conv_id").cast("string").alias("stream_id"), F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), chunk)).alias("c")).select("stream_id", "c.*")
+    cut = _cut(whole.select(F.col("conv_id").cast("string").alias("stream_id"), "whole", size.alias("size")))
     part = F.pmod(F.xxhash64("seq", "stream_id"), F.lit(2))
     path, checkpoint, told = scratch(spark, "chunks"), scratch(spark, "state"), scratch(spark, "deltas")
     files = 3 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    groups = max(LEAST_GROUPS, _t(spark, sf_dir, "conversations").count() // TURNS_A_GROUP)
     for half in (0, 1):  # chunks whose seq is divisible by 7 come in either half
         cut.where((part == half) | (F.col("seq") % 7 == 0)).repartition(files).write.mode("append").parquet(path)
-        deltas = sse.decode_live(arrivals(spark, path, "stream_id string, seq long, chunk string, last boolean", 3, files), "b")
+        deltas = sse.decode_live(arrivals(spark, path, "stream_id string, seq long, chunk string, last boolean", 3, files), "b", groups=groups)
         drain(deltas, checkpoint, told)
     rows = spark.read.schema("stream_id string, seq long, text string, ended boolean").parquet(told)
     answer = text.trim_spaces(joined_in_order(F.col("text"), F.col("seq")))

@@ -87,39 +87,81 @@ class EventDecoder:
             return ""
 
 
-def decode_live(chunks: DataFrame, vendor: str = "a", timeout_ms: int = 600_000) -> DataFrame:
+#: Groups of streams that a live table has, where its reader names no number.
+GROUPS = 4096
+
+
+@dataclass
+class _Stream:
+    """What is kept of one live stream: the chunk whose turn it is, chunks that came before theirs, and until when it may be silent."""
+
+    decoder: EventDecoder
+    turn: int = 0
+    waiting: dict[int, tuple[str, bool]] = field(default_factory=dict)
+    done: bool = False
+    until: int = 0
+
+    @classmethod
+    def read(cls, vendor: str, kept: list) -> _Stream:
+        turn, held, think, waiting, done, until = kept
+        return cls(EventDecoder(vendor, held, ThinkStripper(*think)), turn, {seq: (chunk, last) for seq, chunk, last in waiting}, done, until)
+
+    def kept(self) -> list:
+        d = self.decoder
+        return [self.turn, d.held, [d.think.held, d.think.inside, d.think.fresh], [] if self.done else [(seq, *rest) for seq, rest in self.waiting.items()], self.done, self.until]
+
+    def due(self) -> Iterator[tuple[int, str, bool]]:
+        """The chunks whose turn has come, decoded."""
+        while self.turn in self.waiting and not self.done:
+            chunk, self.done = self.waiting.pop(self.turn)
+            yield self.turn, self.decoder.push(chunk) + (self.decoder.flush() if self.done else ""), self.done
+            self.turn += 1
+
+    def ended(self) -> Iterator[tuple[int, str, bool]]:
+        """What is told when it has been silent for too long: all that waits behind gaps, and the end."""
+        if not self.done:
+            for seq in sorted(self.waiting):
+                yield seq, self.decoder.push(self.waiting[seq][0]), False
+            yield max([self.turn - 1, *self.waiting]) + 1, self.decoder.flush(), True
+
+
+def decode_live(chunks: DataFrame, vendor: str = "a", timeout_ms: int = 600_000, groups: int = GROUPS) -> DataFrame:
     """A streaming table of chunks (stream_id string, seq long from 0, chunk string, last boolean) as deltas (stream_id, seq, text, ended).
 
     Chunks may come in any order and over any number of micro-batches, and repeatedly: a stream's state holds its incomplete event, the
     think-stripper, and the chunks that came before their turn, until the gap closes. A chunk is told once, in order of seq. A
     stream that falls silent for the timeout ends: what waits behind a gap is then told without what is missing. A stream that
     has ended stays known for as long, so that repeats of its chunks don't open it again.
+
+    Streams are dealt over so many ``groups`` by a hash, and a group's streams are one value of the state, each with a timeout of its own: a call of
+    Python costs more than the chunks of many streams. A group's value is written anew whenever one of its streams has chunks, so their number is to
+    follow that of the streams that are known at a time. A checkpoint keeps the number with which it began.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        decoder, turn, waiting, done = EventDecoder(vendor), 0, {}, False
-        if state.exists:
-            turn, decoder.held, decoder.think.held, decoder.think.inside, decoder.think.fresh, kept, done = state.get
-            waiting = {int(seq): tuple(rest) for seq, rest in json.loads(kept).items()}
-        told: list[tuple[int, str, bool]] = []
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                told = [(seq, decoder.push(waiting[seq][0]), False) for seq in sorted(waiting)]
-                told.append((max([turn - 1, *waiting]) + 1, decoder.flush(), True))
-        else:
+        now, told = state.getCurrentProcessingTimeMs(), []
+        streams = {name: _Stream.read(vendor, kept) for name, kept in json.loads(state.get[0])} if state.exists else {}
+        heard = set()
+        if not state.hasTimedOut:
             for frame in frames:
-                for seq, chunk, last in zip(frame["seq"].tolist(), frame["chunk"], frame["last"], strict=True):
-                    if seq >= turn and not done:
-                        waiting.setdefault(seq, (chunk or "", bool(last)))
-            while turn in waiting and not done:
-                chunk, done = waiting.pop(turn)
-                told.append((turn, decoder.push(chunk) + (decoder.flush() if done else ""), done))
-                turn += 1
-            state.update((turn, decoder.held, decoder.think.held, decoder.think.inside, decoder.think.fresh, json.dumps({} if done else waiting), done))
-            state.setTimeoutDuration(timeout_ms)
+                for name, seq, chunk, last in zip(frame["stream_id"], frame["seq"].tolist(), frame["chunk"], frame["last"], strict=True):
+                    if name not in streams:
+                        streams[name] = _Stream(EventDecoder(vendor))
+                    heard.add(name)
+                    if seq >= streams[name].turn and not streams[name].done:  # a missing number isn't
+                        streams[name].waiting.setdefault(int(seq), (chunk or "", bool(last)))
+        for name in heard:
+            streams[name].until = now + timeout_ms
+            told += [(name, *t) for t in streams[name].due()]
+        for name in [name for name, stream in streams.items() if stream.until < now]:
+            told += [(name, *t) for t in streams.pop(name).ended()]
+        if streams:
+            state.update((json.dumps([(name, stream.kept()) for name, stream in streams.items()]),))
+            state.setTimeoutDuration(max(1, min(stream.until for stream in streams.values()) - now))
+        else:
+            state.remove()
         if told:
-            yield pd.DataFrame([(key[0], *t) for t in told], columns=["stream_id", "seq", "text", "ended"])
+            yield pd.DataFrame(told, columns=["stream_id", "seq", "text", "ended"])
 
-    shape = "turn long, held string, think string, inside boolean, fresh boolean, waiting string, done boolean"
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string, ended boolean", shape, "append", "ProcessingTimeTimeout")
+    dealt = chunks.select(F.pmod(F.xxhash64("stream_id"), F.lit(groups)).alias("dealt"), "stream_id", "seq", "chunk", "last")
+    return dealt.groupBy("dealt").applyInPandasWithState(step, "stream_id string, seq long, text string, ended boolean", "streams string", "append", "ProcessingTimeTimeout")

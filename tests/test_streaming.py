@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheetloom.functions import text
+from sheetloom.plans.records import _cut
 from sheetloom.sources.demo import ANSWER, answer_chunks
 from sheetloom.sources.latest import LatestTable
 from sheetloom.streaming import quota, sse
@@ -148,6 +149,38 @@ def test_a_gap_that_stays_ends_a_stream(spark, tmp_path):
     assert told(spark, tmp_path, 500) == {"x": ("ace", 1), "y": ("y", 1)}
 
 
+def test_streams_of_a_group_have_timeouts_of_their_own(spark, tmp_path):
+    """Many streams share a value of the state. One that is silent ends while others of its group go on; those that are known still are."""
+    def told(timeout_ms):
+        source = spark.readStream.schema(CHUNKS).json(str(tmp_path / "in"))
+        drain(sse.decode_live(source, "b", timeout_ms, groups=1), str(tmp_path / "c"), str(tmp_path / "out"))
+        rows = spark.read.schema("stream_id string, seq long, text string, ended boolean").parquet(str(tmp_path / "out")).collect()
+        return {x: [(r.seq, r.text, r.ended) for r in sorted(rows, key=lambda r: r.seq) if r.stream_id == x] for x in {r.stream_id for r in rows}}
+
+    event = lambda c: 'data: {"choices":[{"delta":{"content":"' + c + '"}}]}\n\n'
+    row = lambda x, i, c, last=False: {"stream_id": x, "seq": i, "chunk": event(c), "last": last}
+    names = [None, *(f"s{i}" for i in range(40))]
+    put(tmp_path / "in", "a.json", [r for x in names for r in (row(x, 0, "a"), row(x, 2, "c"), row(x, None, "without number"))])
+    assert told(1500) == {x: [(0, "a", False)] for x in names}
+    assert spark.read.format("statestore").load(str(tmp_path / "c")).count() == 1
+    time.sleep(2)
+    put(tmp_path / "in", "b.json", [row("s0", 1, "b"), row("new", 0, "n", True)])
+    late = {x: [(0, "a", False), (2, "c", False), (3, "", True)] for x in names if x != "s0"}
+    assert told(60_000) == late | {"s0": [(0, "a", False), (1, "b", False), (2, "c", False)], "new": [(0, "n", True)]}
+    put(tmp_path / "in", "c.json", [row("new", 0, "repeated", True), row("s0", 3, "d", True)])
+    assert told(60_000)["s0"][3:] == [(3, "d", True)] and told(60_000)["new"] == [(0, "n", True)]
+
+
+def test_long_streams_are_cut_in_one_pass(spark):
+    """With a substring for each chunk, whose start is counted from the stream's, this took 200,000 times two million characters."""
+    began = time.time()
+    whole = spark.range(1).select(F.lit("x").alias("stream_id"), F.repeat(F.lit("a\né\U0001f600\r"), 400_000).alias("whole"), F.lit(10).alias("size"))
+    r = _cut(whole).agg(F.count("seq"), F.max("seq"), F.count_if("last"), F.max(F.when(F.col("last"), F.col("seq"))), F.min("chunk"), F.max("chunk")).first()
+    assert tuple(r) == (200_000, 199_999, 1, 199_999, "a\né\U0001f600\r" * 2, "a\né\U0001f600\r" * 2) and time.time() - began < 60
+    odd = spark.createDataFrame([("a", "abcde", 2), ("b", None, 2), ("c", "abcd", 2), ("d", "x", 9)], "stream_id string, whole string, size int")
+    assert sorted(map(tuple, _cut(odd).collect())) == [("a", 0, "ab", False), ("a", 1, "cd", False), ("a", 2, "e", True), ("c", 0, "ab", False), ("c", 1, "cd", True), ("d", 0, "x", True)]
+
+
 def test_live_admission_forgets_after_its_time(spark, tmp_path):
     def admitted():
         source = spark.readStream.schema("who string, ts timestamp, id long").json(str(tmp_path / "in"))
