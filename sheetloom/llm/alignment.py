@@ -1,18 +1,18 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Python only tokenises: for each text it gives both tokenizers' ids and the byte offsets at which their tokens end.
-All else is Spark's higher-order functions. Offsets at which both end (``array_intersect``) cut a text into
-groups. How many of one tokenizer's ends lie before another offset is its place in the sorted union of both, so the
+Python tokenises: for each text it gives both tokenizers' ids and the byte offsets at which their tokens end. Most tokens
+of ordinary text hold the same bytes in both: each such pair is a group and a link of its own, and is told apart at once
+(``parted``). The stretches of tokens between them are aligned by Spark's higher-order functions, as is the
+whole text where ``align`` is given all its tokens. Offsets at which both end (``array_intersect``) cut it into groups. How many of one tokenizer's ends lie before another offset is its place in the sorted union of both, so the
 tokens that overlap a token, and those of a group, are ranges that ``sequence`` spells out: the work is in
-proportion to a text's tokens and links.
+proportion to a text's tokens and links. Spark interprets these functions, element by element, which is why pairs of the same bytes don't go through them.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,11 @@ from .words import slices
 #: The pairs of ids whose counts go to every task: the most frequent ones, at most as many.
 MOST_PAIRS = 1_000_000
 TOKENS = "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
-#: Words that a worker remembers for B, and twice as many stretches for A (about 250 bytes each), and characters of the longest.
-REMEMBERED, LONG = 100_000, 64
-_ODD_SPACES = re.compile(r"\A |  | \Z")
+#: As TOKENS, but for the pairs of tokens that hold the same bytes: ``pairs`` has them in order, with -1 and -1 where a stretch of others stands, and
+#: ``alike`` as links. Of the others, ends are doubled, and those at which a stretch ends are greater by one; n_a and n_b count all tokens.
+PARTED = "row long, doc_id long, n_a long, n_b long, pairs array<struct<a: int, b: int>>, alike array<long>, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
+#: Stretches that a worker remembers for A (about 250 bytes each), and two thirds as many words in them.
+REMEMBERED = 250_000
 _LOADED: dict[tuple[str, str], tuple[_Bytes, _Pieces]] = {}
 
 
@@ -45,7 +47,7 @@ class _Bytes:
     """Tokenizer A: a byte-level vocabulary; the names of special tokens in a text are plain text."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path, plain=True, most=2 * REMEMBERED)
+        self.encoder = Encoder(path, plain=True, most=REMEMBERED)
         letters = {c: b for b, c in _byte_letters().items()}
         vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         self.table = [b""] * (max(vocabulary.values()) + 1)
@@ -60,8 +62,7 @@ class _Bytes:
 class _Pieces:
     """Tokenizer B: pieces in which U+2581 stands for a space, with one put before the text, and bytes for what no piece holds.
 
-    Where no piece has a space after something else, what stands between two single spaces encodes alike wherever it stands, with
-    the space before it, which the library puts before any text: such words are encoded once and looked up after that. Texts with other runs of spaces go to the library whole.
+    Whole texts are encoded: the library takes less time for them than for the words that a worker hasn't met.
     """
 
     def __init__(self, path: str):
@@ -74,25 +75,9 @@ class _Pieces:
             as_byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
             self.table.append(bytes([int(as_byte[1], 16)]) if as_byte else piece.replace("▁", " ").encode())
         self.sizes = np.array([len(t) for t in self.table], dtype=np.int32)
-        self.whole = any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))
-        self.known: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = array("i", self.model.encode(word)).tobytes()
-            if len(self.known) < REMEMBERED and len(word) <= LONG:
-                self.known[word] = ids
-        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if self.whole or not text or _ODD_SPACES.search(text):
-                out.append(np.array(self.model.encode(text), dtype=np.int32))
-            else:
-                out.append(np.frombuffer(b"".join(map(self._word, text.split(" "))), dtype=np.int32))
-        return out
+        return [np.array(ids, dtype=np.int32) for ids in self.model.encode(texts, num_threads=1)]
 
 
 def _tokenizers(a_path: str, b_path: str) -> tuple[_Bytes, _Pieces]:
@@ -102,18 +87,15 @@ def _tokenizers(a_path: str, b_path: str) -> tuple[_Bytes, _Pieces]:
     return _LOADED[a_path, b_path]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray], kind: type = np.int32) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=np.int32)]), pa.int32()))
-
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=kind)])))
 
-def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """TOKENS for each row of ``docs`` (doc_id and text are used, others ignored); ``row`` is a number of the row in this reading.
 
-    A encodes a space and the text, B the text, before which it puts a space itself. Whole texts are encoded. Null and empty texts have
-    no tokens, nor have those whose tokens' bytes, joined, aren't the space and the text: the offsets wouldn't meet.
-    """
+def _tokenised(docs: DataFrame, a_path: str | None, b_path: str | None, shape: str, columns: Callable[..., list[pa.Array]]) -> DataFrame:
+    """A row of ``shape`` for each row of ``docs``: its number in this reading, doc_id, and ``columns`` of the ids and ends of both tokenizers' tokens in each text of a slice."""
     a_path, b_path = a_path or default_vocabulary(), b_path or default_pieces()
+    names = [x.split()[0] for x in re.sub("<[^>]*>", "", shape.replace("array<struct<a: int, b: int>>", "pairs")).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _tokenizers(a_path, b_path)
@@ -122,18 +104,53 @@ def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
         for batch in batches:
             for at, to in slices(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
-                columns: list[list[np.ndarray]] = [[], [], [], []]
+                found = []
                 for text, own_a, own_b in zip(texts, a.encode(texts), b.encode(texts), strict=True):
                     whole = b" " + text.encode()
                     same = text and b"".join(map(a.table.__getitem__, own_a.tolist())) == whole == b"".join(map(b.table.__getitem__, own_b.tolist()))
-                    found = [own_a, np.cumsum(a.sizes[own_a], dtype=np.int32), own_b, np.cumsum(b.sizes[own_b], dtype=np.int32)] if same else [none] * 4
-                    for column, values in zip(columns, found, strict=True):
-                        column.append(values)
+                    found.append((own_a, np.cumsum(a.sizes[own_a], dtype=np.int32), own_b, np.cumsum(b.sizes[own_b], dtype=np.int32)) if same else (none,) * 4)
                 rows = pa.array(np.arange(row, row + to - at), pa.int64())
                 row += to - at
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(at, to - at), *map(_lists, columns)], ["row", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(at, to - at), *columns(found)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
-    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
+
+def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """TOKENS for each row of ``docs`` (doc_id and text are used, others ignored); ``row`` is a number of the row in this reading.
+
+    A encodes a space and the text, B the text, before which it puts a space itself. Whole texts are encoded. Null and empty texts have
+    no tokens, nor have those whose tokens' bytes, joined, aren't the space and the text: the offsets wouldn't meet.
+    """
+    return _tokenised(docs, a_path, b_path, TOKENS, lambda found: [_lists(list(c)) for c in zip(*found, strict=True)])
+
+
+def _part(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One text's tokens as in PARTED, pairs as two arrays."""
+    at = np.searchsorted(b_ends, a_ends)  # the token of B that holds the last byte of A's
+    alike = (b_ends[at] == a_ends) & (np.diff(b_ends, prepend=0)[at] == np.diff(a_ends, prepend=0))
+    there = np.zeros(len(b_ids), dtype=bool)
+    there[at[alike]] = True
+    shown = alike | np.append(True, alike)[: len(alike)]  # the first of a stretch stands for all of it
+    a, b = np.where(alike, a_ids, -1)[shown], np.where(alike, b_ids[at], -1)[shown]
+    rest = []
+    for ids, ends, gone in ((a_ids, a_ends, alike), (b_ids, b_ends, there)):
+        closes = np.append(gone[1:], True)[: len(gone)]
+        rest += [ids[~gone], (ends.astype(np.int64) * 2 + closes)[~gone]]
+    return a, b, (a_ids[alike].astype(np.int64) << 32) + b_ids[at[alike]], *rest
+
+
+def parted(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """PARTED for each row of ``docs``, of the tokens that :func:`tokens` gives."""
+
+    def columns(found: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+        a, b, alike, *rest = (list(c) for c in zip(*[_part(*f) for f in found], strict=True))
+        one = _lists(a)
+        pairs = pa.ListArray.from_arrays(one.offsets, pa.StructArray.from_arrays([one.values, _lists(b).values], ["a", "b"]))
+        counts = [pa.array([len(f[i]) for f in found], pa.int64()) for i in (0, 2)]
+        return [*counts, pairs, _lists(alike, np.int64), _lists(rest[0]), _lists(rest[1], np.int64), _lists(rest[2]), _lists(rest[3], np.int64)]
+
+    return _tokenised(docs, a_path, b_path, PARTED, columns)
 
 
 def _before(ends: Column, values: Column, ties: bool) -> Column:
@@ -150,6 +167,11 @@ def _also(df: DataFrame, **columns: Column) -> DataFrame:
 
 def align(tokens: DataFrame) -> DataFrame:
     """TOKENS with ``groups`` (array of structs a, b: the ids of each group, in order), ``groups_text`` (the same as ``a1,a2|b1;a3|b2,b3``) ``links`` (array of longs: A's id times 2**32 plus B's for each pair of overlapping tokens, in order), and n_groups."""
+    return _aligned(tokens, lambda c: F.lit(";")).withColumn("groups_text", F.rtrim("groups_text", F.lit(";")))
+
+
+def _aligned(tokens: DataFrame, after: Callable[[Column], Column]) -> DataFrame:
+    """As :func:`align`, of columns a_ids, a_ends, b_ids, b_ends; in groups_text each group is followed by ``after`` of the offset at which it ends."""
     told = _also(tokens, common=F.array_intersect("a_ends", "b_ends"), last_b=_before(F.col("b_ends"), F.col("a_ends"), False))
     # Groups end at common ends: where the token of B that holds the last byte of one of A ends with it.
     same = lambda i: F.get("b_ends", F.get("last_b", i)) == F.get("a_ends", i)
@@ -160,7 +182,7 @@ def align(tokens: DataFrame) -> DataFrame:
     groups = F.transform("common", lambda c, g: F.struct(own("a_ids", "a_cut", g).alias("a"), own("b_ids", "b_cut", g).alias("b")))
     many = lambda ids, cut, g: F.array_join(own(ids, cut, g).cast("array<string>"), ",")
     said = lambda ids, cut, g: F.when(F.get(cut, g + 1) - F.get(cut, g) == 1, F.get(ids, F.get(cut, g)).cast("string")).otherwise(many(ids, cut, g))
-    text = F.array_join(F.transform("common", lambda c, g: F.concat(said("a_ids", "a_cut", g), F.lit("|"), said("b_ids", "b_cut", g))), ";")
+    text = F.array_join(F.transform("common", lambda c, g: F.concat(said("a_ids", "a_cut", g), F.lit("|"), said("b_ids", "b_cut", g), after(c))), "")
     # A's i-th token overlaps the one of B that holds its last byte, and those before it from the one that holds its first byte: the one
     # that holds the byte before that, or the next if that ends there.
     before = lambda i: F.get("last_b", i - 1)
@@ -187,10 +209,15 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     over the links; groups_sha256 is of groups_text, '' without tokens. A text without tokens (see :func:`tokens`) has zeros; null and
     repeated doc_ids each keep their row, and repeated rows count each; no rows give none.
     """
-    aligned = align(tokens(docs, a_path, b_path))
-    sha = F.when(F.size("a_ids") > 0, F.sha2("groups_text", 256)).otherwise("")
-    size = lambda c: F.size(c).cast("long")
-    told = aligned.select("row", "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), size("links").alias("n_links"), sha.alias("groups_sha256"), "links")
+    aligned = _aligned(parted(docs, a_path, b_path), lambda c: F.when(c % 2 == 1, "\n").otherwise(";"))
+    stretches = F.split("groups_text", "\n")
+    # Pairs are told at once, as [{a1, b1}, {a2, b2}], and cut where stretches stand.
+    pairs = F.split(F.btrim(F.replace(F.replace(F.col("pairs").cast("string"), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|")), F.lit("[{}]")), r"-1\|-1")
+    aligned = _also(aligned, between=pairs, stretches=stretches)
+    text = F.array_join(F.transform("between", lambda x, k: F.concat(x, F.coalesce(F.get("stretches", k), F.lit("")))), "")
+    sha = F.when(F.col("n_a") > 0, F.sha2(text, 256)).otherwise("")
+    links = F.concat("alike", "links")
+    told = aligned.select("row", "doc_id", "n_a", "n_b", (F.size("alike") + F.col("n_groups")).cast("long").alias("n_groups"), F.size(links).cast("long").alias("n_links"), sha.alias("groups_sha256"), links.alias("links"))
     told = materialize(told, "aligned")
     values = materialize(pair_counts(told), "values")
     links = told.select("row", F.explode("links").alias("link"))

@@ -102,3 +102,15 @@ def test_least_frequent(spark):
     for most in (0, 1, 2, 3, 22, 23, 24, 73):
         assert counts.where(f"n >= {lookups.least_frequent(counts, 'n', most)}").count() <= most
     assert lookups.least_frequent(counts.limit(0), "n", 5) == 1
+
+
+def test_only_stretches_without_pairs_are_left_to_higher_order_functions(spark):
+    texts = ["the the the the", "Unbelievable naïveté, 日本! " * 20 + "the", "", None, "日本", "a\nb. the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r for r in alignment.align(alignment.tokens(docs)).collect()}
+    for r in alignment.parted(docs).collect():
+        w = whole[r.doc_id]
+        assert (r.n_a, r.n_b) == (len(w.a_ids), len(w.b_ids)) and len(r.a_ids) == r.n_a - len(r.alike) and len(r.b_ids) == r.n_b - len(r.alike)
+        assert [(p.a << 32) + p.b for p in r.pairs if p.a >= 0] == r.alike and not set(r.alike) - set(w.links)
+        assert sum(p.a < 0 for p in r.pairs) == sum(e % 2 for e in r.a_ends) == sum(e % 2 for e in r.b_ends)
+        assert r.doc_id != 0 or len(r.alike) == 4 and not r.a_ids
