@@ -1,6 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Python tokenises: for each text it gives both tokenizers' ids and the byte offsets at which their tokens end. Most tokens
+Python tokenises: for each text it gives both tokenizers' ids and the byte offsets at which their tokens end. Both encode a word alike wherever
+it stands, so a worker encodes it once and texts are put together from their words' tokens. Most tokens
 of ordinary text hold the same bytes in both: each such pair is a group and a link of its own, and is told apart at once
 (``parted``). The stretches of tokens between them are aligned by Spark's higher-order functions, as is the
 whole text where ``align`` is given all its tokens. Offsets at which both end (``array_intersect``) cut it into groups. How many of one tokenizer's ends lie before another offset is its place in the sorted union of both, so the
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, _byte_letters, default_vocabulary
+from .bpe import _byte_letters, default_vocabulary
 from .lookups import sums
 from .storage import materialize
 from .words import slices
@@ -28,12 +31,19 @@ from .words import slices
 #: The pairs of ids whose counts go to every task: the most frequent ones, at most as many.
 MOST_PAIRS = 1_000_000
 TOKENS = "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+_REST = "alike array<long>, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
 #: As TOKENS, but for the pairs of tokens that hold the same bytes: ``pairs`` has them in order, with -1 and -1 where a stretch of others stands, and
 #: ``alike`` as links. Of the others, ends are doubled, and those at which a stretch ends are greater by one; n_a and n_b count all tokens.
-PARTED = "row long, doc_id long, n_a long, n_b long, pairs array<struct<a: int, b: int>>, alike array<long>, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
-#: Stretches that a worker remembers for A (about 250 bytes each), and two thirds as many words in them.
-REMEMBERED = 250_000
-_LOADED: dict[tuple[str, str], tuple[_Bytes, _Pieces]] = {}
+PARTED = f"row long, doc_id long, n_a long, n_b long, pairs array<struct<a: int, b: int>>, {_REST}"
+#: As PARTED, but ``between`` has the pairs as text, ``a1|b1;a2|b2;``, cut where a stretch stands; the text that follows one begins with ``;``, none ends with it at the end.
+SAID = f"row long, doc_id long, n_a long, n_b long, between array<string>, {_REST}"
+#: Words that a worker remembers (about 150 bytes each), and the characters of the longest.
+REMEMBERED, LONG = 250_000, 64
+#: Words that are encoded at once.
+AT_ONCE = 1000
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
+_LOADED: dict[tuple[str, str], _Words] = {}
 
 
 def default_pieces() -> str:
@@ -43,75 +53,169 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Bytes:
-    """Tokenizer A: a byte-level vocabulary; the names of special tokens in a text are plain text."""
+class _Vocabulary:
+    """Bytes, sizes and decimal digits of each id's token."""
 
-    def __init__(self, path: str):
-        self.encoder = Encoder(path, plain=True, most=REMEMBERED)
-        letters = {c: b for b, c in _byte_letters().items()}
-        vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
-        self.table = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.sizes = np.array([len(t) for t in self.table], dtype=np.int32)
+    def __init__(self, table: list[bytes]):
+        self.table = table
+        self.sizes = np.array([len(t) for t in table], dtype=np.int64)
+        self.leads = np.array([t.startswith(b" ") for t in table])
+        width = len(str(len(table) - 1))
+        self.digits = np.frombuffer("".join(f"{i:0{width}}" for i in range(len(table))).encode(), dtype=np.uint8).reshape(-1, width)
+        self.shown = np.arange(width) >= width - np.array([len(str(i)) for i in range(len(table))])[:, None]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, dtype="<u4")[:-1].astype(np.int32) for ids in self.encoder.encode([" " + t for t in texts], 0)]
+    def spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids.tolist()))
 
 
-class _Pieces:
-    """Tokenizer B: pieces in which U+2581 stands for a space, with one put before the text, and bytes for what no piece holds.
+class _Runs(NamedTuple):
+    """Runs of ids, one after the other."""
 
-    Whole texts are encoded: the library takes less time for them than for the words that a worker hasn't met.
-    """
+    ids: np.ndarray
+    counts: np.ndarray
+
+    def take(self, at: np.ndarray) -> _Runs:
+        own = self.counts[at]
+        first = (np.cumsum(self.counts) - self.counts)[at] - (np.cumsum(own) - own)
+        return _Runs(self.ids[np.arange(own.sum()) + np.repeat(first, own)], own)
 
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
 
-        self.model = SentencePieceProcessor(model_file=path)
-        self.table = []
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            as_byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
-            self.table.append(bytes([int(as_byte[1], 16)]) if as_byte else piece.replace("▁", " ").encode())
-        self.sizes = np.array([len(t) for t in self.table], dtype=np.int32)
+def _joined(runs: Iterable[_Runs]) -> _Runs:
+    return _Runs(*(np.concatenate(c) for c in zip(*runs, strict=True)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, dtype=np.int32) for ids in self.model.encode(texts, num_threads=1)]
 
+class _Words(dict):
+    """The tokens of both vocabularies of texts, put together from those of their words, which are encoded once: place by word.
+
+    A is a byte-level vocabulary, for which the names of special tokens in a text are plain text. B has pieces in which U+2581 stands for a
+    space, and bytes for what no piece holds. A word begins at a space between two characters that aren't white space, or at the text's start,
+    before which a space is put. A's pattern begins a piece there; B has no piece that goes on over a space behind something else (if
+    it has, texts are single words). So each vocabulary's tokens of a word are the same wherever it stands.
+    """
+
+    def __init__(self, a_path: str, b_path: str):
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
-def _tokenizers(a_path: str, b_path: str) -> tuple[_Bytes, _Pieces]:
+        self.tokenizer = Tokenizer.from_file(a_path)
+        self.tokenizer.encode_special_tokens = True
+        letters = {c: b for b, c in _byte_letters().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        table = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.a = _Vocabulary(table)
+        self.model = SentencePieceProcessor(model_file=b_path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.b = _Vocabulary([bytes([int(x[1], 16)]) if (x := re.fullmatch("<0x([0-9A-F]{2})>", p)) else p.replace("▁", " ").encode() for p in pieces])
+        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
+        none = np.zeros(0, dtype=np.int32)
+        self.runs = [_Runs(none, np.zeros(0, dtype=np.int64))] * 2
+        self.good = np.zeros(0, dtype=bool)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+    def _cut(self, text: str) -> list[str]:
+        if not text or not self.cuts:
+            return [text] if text else []
+        return _SEAM.split(text) if _ODD_SPACE.search(text) or text[0].isspace() else text.split(" ")
+
+    def _encode(self, words: list[str]) -> tuple[_Runs, _Runs, np.ndarray]:
+        """Both tokenizers' tokens of words, encoded as one text, and whether their bytes are the words'."""
+        text = " ".join(words)
+        a = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype=np.int32)
+        b = np.array(self.model.encode(text, num_threads=1), dtype=np.int32)
+        good = self.a.spell(a) == (" " + text).encode() == self.b.spell(b)
+        if len(words) == 1:
+            return _Runs(a, np.array([len(a)])), _Runs(b, np.array([len(b)])), np.array([good])
+        starts = [np.flatnonzero(v.leads[ids]) for v, ids in ((self.a, a), (self.b, b))]
+        if not good or any(len(s) != len(words) for s in starts):
+            return self._each(words, 1)
+        return *(_Runs(ids, np.diff(s, append=len(ids))) for ids, s in zip((a, b), starts, strict=True)), np.full(len(words), True)
+
+    def _each(self, words: list[str], n: int) -> tuple[_Runs, _Runs, np.ndarray]:
+        a, b, good = zip(*[self._encode(words[i : i + n]) for i in range(0, len(words), n)], strict=True)
+        return _joined(a), _joined(b), np.concatenate(good)
+
+    def _learn(self) -> None:
+        """Tokens of the new words. Those that hold white space at their start, or a space, are encoded one by one: a space wouldn't be a seam beside them."""
+        odd = [" " in w or "▁" in w or w[0].isspace() for w in self.new]
+        parts = [self._each(x, n) for x, n in (([w for w, o in zip(self.new, odd, strict=True) if not o], AT_ONCE), ([w for w, o in zip(self.new, odd, strict=True) if o], 1)) if x]
+        order = np.argsort(np.argsort(odd, kind="stable"))
+        self.runs = [_joined([known, _joined(p[i] for p in parts).take(order)]) for i, known in enumerate(self.runs)]
+        self.good = np.concatenate([self.good, np.concatenate([p[2] for p in parts])[order]])
+
+    def _forget(self) -> None:
+        """The new words but for short ones, as many as there is room for."""
+        before = len(self) - len(self.new)
+        kept = [k for k, w in enumerate(self.new) if len(w) <= LONG][: max(0, REMEMBERED - before)]
+        if len(kept) < len(self.new):
+            for w in self.new:
+                del self[w]
+            self.update((self.new[k], before + i) for i, k in enumerate(kept))
+            at = np.concatenate((np.arange(before), np.array(kept, dtype=np.int64) + before))
+            self.runs, self.good = [r.take(at) for r in self.runs], self.good[at]
+        self.new = []
+
+    def encode(self, texts: list[str]) -> tuple[_Runs, _Runs]:
+        """Each whole text's tokens, space before it included. Those of A and B of a text whose bytes they aren't are left out."""
+        cut = [self._cut(t) for t in texts]
+        words = np.array([len(c) for c in cut])
+        at = np.array(list(map(self.__getitem__, chain.from_iterable(cut))), dtype=np.int64)
+        if self.new:
+            self._learn()
+        ends = np.cumsum(words)
+        found = []
+        for known in self.runs:
+            own = known.take(at)
+            found.append(_Runs(own.ids, np.diff(np.append(0, np.cumsum(own.counts))[ends], prepend=0)))
+        doubted = np.unique(np.searchsorted(ends, np.flatnonzero(~self.good[at]), side="right"))
+        if len(doubted):
+            kept = np.full(len(texts), True)
+            to = [np.cumsum(r.counts) for r in found]
+            for t in doubted.tolist():
+                a, b = (v.spell(r.ids[e[t] - r.counts[t] : e[t]]) for v, r, e in zip((self.a, self.b), found, to, strict=True))
+                kept[t] = a == (" " + texts[t]).encode() == b
+            found = [_Runs(r.ids[np.repeat(kept, r.counts)], r.counts * kept) for r in found]
+        self._forget()
+        return found[0], found[1]
+
+
+def _words(a_path: str, b_path: str) -> _Words:
     if (a_path, b_path) not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _LOADED[a_path, b_path] = _Bytes(a_path), _Pieces(b_path)
+        _LOADED[a_path, b_path] = _Words(a_path, b_path)
     return _LOADED[a_path, b_path]
 
 
-def _lists(arrays: list[np.ndarray], kind: type = np.int32) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=kind)])))
+def _lists(counts: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _ends(v: _Vocabulary, runs: _Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which tokens end, counted through all texts, and for each token the one at which its text begins."""
+    ends = np.cumsum(v.sizes[runs.ids])
+    return ends, np.repeat(np.append(0, ends)[np.cumsum(runs.counts) - runs.counts], runs.counts)
 
 
-def _tokenised(docs: DataFrame, a_path: str | None, b_path: str | None, shape: str, columns: Callable[..., list[pa.Array]]) -> DataFrame:
-    """A row of ``shape`` for each row of ``docs``: its number in this reading, doc_id, and ``columns`` of the ids and ends of both tokenizers' tokens in each text of a slice."""
+def _tokenised(docs: DataFrame, a_path: str | None, b_path: str | None, shape: str, columns: Callable[[_Words, _Runs, _Runs], list[pa.Array]]) -> DataFrame:
+    """A row of ``shape`` for each row of ``docs``: its number in this reading, doc_id, and ``columns`` of the tokens of a slice's texts."""
     a_path, b_path = a_path or default_vocabulary(), b_path or default_pieces()
     names = [x.split()[0] for x in re.sub("<[^>]*>", "", shape.replace("array<struct<a: int, b: int>>", "pairs")).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _tokenizers(a_path, b_path)
+        words = _words(a_path, b_path)
         row = TaskContext.get().partitionId() << 33
-        none = np.zeros(0, dtype=np.int32)
         for batch in batches:
             for at, to in slices(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
-                found = []
-                for text, own_a, own_b in zip(texts, a.encode(texts), b.encode(texts), strict=True):
-                    whole = b" " + text.encode()
-                    same = text and b"".join(map(a.table.__getitem__, own_a.tolist())) == whole == b"".join(map(b.table.__getitem__, own_b.tolist()))
-                    found.append((own_a, np.cumsum(a.sizes[own_a], dtype=np.int32), own_b, np.cumsum(b.sizes[own_b], dtype=np.int32)) if same else (none,) * 4)
                 rows = pa.array(np.arange(row, row + to - at), pa.int64())
                 row += to - at
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(at, to - at), *columns(found)], names)
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(at, to - at), *columns(words, *words.encode(texts))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
@@ -122,35 +226,67 @@ def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     A encodes a space and the text, B the text, before which it puts a space itself. Whole texts are encoded. Null and empty texts have
     no tokens, nor have those whose tokens' bytes, joined, aren't the space and the text: the offsets wouldn't meet.
     """
-    return _tokenised(docs, a_path, b_path, TOKENS, lambda found: [_lists(list(c)) for c in zip(*found, strict=True)])
-
 
-def _part(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One text's tokens as in PARTED, pairs as two arrays."""
-    at = np.searchsorted(b_ends, a_ends)  # the token of B that holds the last byte of A's
-    alike = (b_ends[at] == a_ends) & (np.diff(b_ends, prepend=0)[at] == np.diff(a_ends, prepend=0))
-    there = np.zeros(len(b_ids), dtype=bool)
-    there[at[alike]] = True
-    shown = alike | np.append(True, alike)[: len(alike)]  # the first of a stretch stands for all of it
-    a, b = np.where(alike, a_ids, -1)[shown], np.where(alike, b_ids[at], -1)[shown]
-    rest = []
-    for ids, ends, gone in ((a_ids, a_ends, alike), (b_ids, b_ends, there)):
-        closes = np.append(gone[1:], True)[: len(gone)]
-        rest += [ids[~gone], (ends.astype(np.int64) * 2 + closes)[~gone]]
-    return a, b, (a_ids[alike].astype(np.int64) << 32) + b_ids[at[alike]], *rest
+    def columns(words: _Words, *runs: _Runs) -> list[pa.Array]:
+        found = []
+        for v, r in zip((words.a, words.b), runs, strict=True):
+            ends, begin = _ends(v, r)
+            found += [_lists(r.counts, r.ids), _lists(r.counts, (ends - begin).astype(np.int32))]
+        return found
+
+    return _tokenised(docs, a_path, b_path, TOKENS, columns)
+
+
+def _said(words: _Words, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """``between`` of SAID. ``a`` and ``b`` are ``pairs`` of texts that have ``counts`` of them."""
+    gap, n = a < 0, len(a)
+    one = np.full((n, 1), True)
+    last = one.copy()
+    last[(np.cumsum(counts) - 1)[counts > 0]] = False
+    shown = np.hstack([words.a.shown[a] & ~gap[:, None], one & ~gap[:, None], words.b.shown[b] & ~gap[:, None], last])
+    data = np.hstack([words.a.digits[a], np.full((n, 1), ord("|"), dtype=np.uint8), words.b.digits[b], np.full((n, 1), ord(";"), dtype=np.uint8)])[shown]
+    at = np.append(0, np.cumsum(shown.sum(axis=1)))
+    cuts = np.append(np.sort(np.concatenate((at[np.cumsum(counts) - counts], at[:-1][gap]))), len(data)).astype(np.int32)
+    strings = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+    return _lists(_within(gap, counts) + 1, strings)
+
+
+def _within(mask: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of ``mask`` hold in each of the runs of ``counts``."""
+    return np.diff(np.append(0, np.cumsum(mask))[np.cumsum(counts)], prepend=0)
+
+
+def _part(docs: DataFrame, a_path: str | None, b_path: str | None, shape: str) -> DataFrame:
+    """PARTED or SAID for each row of ``docs``."""
+
+    def columns(words: _Words, a: _Runs, b: _Runs) -> list[pa.Array]:
+        (a_ends, a_begin), (b_ends, b_begin) = _ends(words.a, a), _ends(words.b, b)
+        at = np.searchsorted(b_ends, a_ends)  # the token of B that holds the last byte of A's
+        alike = (b_ends[at] == a_ends) & (words.b.sizes[b.ids[at]] == words.a.sizes[a.ids])
+        there = np.zeros(len(b.ids), dtype=bool)
+        there[at[alike]] = True
+        shown = alike | np.append(True, alike)[: len(alike)]  # the first of a stretch stands for all of it
+        shown[(np.cumsum(a.counts) - a.counts)[a.counts > 0]] = True
+        pairs = np.where(alike, a.ids, -1)[shown], np.where(alike, b.ids[at], -1)[shown]
+        counts = _within(shown, a.counts)
+        if shape == SAID:
+            told = _said(words, *pairs, counts)
+        else:
+            told = _lists(counts, pa.StructArray.from_arrays([pa.array(p) for p in pairs], ["a", "b"]))
+        rest = [_lists(_within(alike, a.counts), (a.ids[alike].astype(np.int64) << 32) + b.ids[at[alike]])]
+        for r, ends, begin, gone in ((a, a_ends, a_begin, alike), (b, b_ends, b_begin, there)):
+            closes = np.append(gone[1:], True)[: len(gone)]
+            closes[(np.cumsum(r.counts) - 1)[r.counts > 0]] = True
+            left = _within(~gone, r.counts)
+            rest += [_lists(left, r.ids[~gone]), _lists(left, ((ends - begin) * 2 + closes)[~gone])]
+        return [pa.array(a.counts, pa.int64()), pa.array(b.counts, pa.int64()), told, *rest]
+
+    return _tokenised(docs, a_path, b_path, shape, columns)
 
 
 def parted(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """PARTED for each row of ``docs``, of the tokens that :func:`tokens` gives."""
-
-    def columns(found: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
-        a, b, alike, *rest = (list(c) for c in zip(*[_part(*f) for f in found], strict=True))
-        one = _lists(a)
-        pairs = pa.ListArray.from_arrays(one.offsets, pa.StructArray.from_arrays([one.values, _lists(b).values], ["a", "b"]))
-        counts = [pa.array([len(f[i]) for f in found], pa.int64()) for i in (0, 2)]
-        return [*counts, pairs, _lists(alike, np.int64), _lists(rest[0]), _lists(rest[1], np.int64), _lists(rest[2]), _lists(rest[3], np.int64)]
-
-    return _tokenised(docs, a_path, b_path, PARTED, columns)
+    return _part(docs, a_path, b_path, PARTED)
 
 
 def _before(ends: Column, values: Column, ties: bool) -> Column:
@@ -209,11 +345,8 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     over the links; groups_sha256 is of groups_text, '' without tokens. A text without tokens (see :func:`tokens`) has zeros; null and
     repeated doc_ids each keep their row, and repeated rows count each; no rows give none.
     """
-    aligned = _aligned(parted(docs, a_path, b_path), lambda c: F.when(c % 2 == 1, "\n").otherwise(";"))
-    stretches = F.split("groups_text", "\n")
-    # Pairs are told at once, as [{a1, b1}, {a2, b2}], and cut where stretches stand.
-    pairs = F.split(F.btrim(F.replace(F.replace(F.col("pairs").cast("string"), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|")), F.lit("[{}]")), r"-1\|-1")
-    aligned = _also(aligned, between=pairs, stretches=stretches)
+    aligned = _aligned(_part(docs, a_path, b_path, SAID), lambda c: F.when(c % 2 == 1, "\n").otherwise(";"))
+    aligned = _also(aligned, stretches=F.split("groups_text", "\n"))
     text = F.array_join(F.transform("between", lambda x, k: F.concat(x, F.coalesce(F.get("stretches", k), F.lit("")))), "")
     sha = F.when(F.col("n_a") > 0, F.sha2(text, 256)).otherwise("")
     links = F.concat("alike", "links")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -114,3 +115,20 @@ def test_only_stretches_without_pairs_are_left_to_higher_order_functions(spark):
         assert [(p.a << 32) + p.b for p in r.pairs if p.a >= 0] == r.alike and not set(r.alike) - set(w.links)
         assert sum(p.a < 0 for p in r.pairs) == sum(e % 2 for e in r.a_ends) == sum(e % 2 for e in r.b_ends)
         assert r.doc_id != 0 or len(r.alike) == 4 and not r.a_ids
+
+
+def test_words_are_encoded_once_and_as_in_whole_texts(monkeypatch):
+    rnd = random.Random(3)
+    bits = [" ", " ", "a", "the", "'s", "'", "\n", "\t", "1", "é", "日本", ".", "!!", "<s>", "\x00", "\x1c", "　", "  ", "̈", "()"]
+    texts = ["the cat's\nhat the cat's\nhat", *("".join(rnd.choices(bits, k=12)) for _ in range(500)), "", "a▁ b", "x" * 100]
+    monkeypatch.setattr(alignment, "REMEMBERED", 300)
+    words = alignment._Words(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    a_tok, _ = byte_table()
+    for _ in range(2):
+        found = words.encode(texts)
+        whole = [a_tok.encode(" " + t, add_special_tokens=False).ids if t and "▁" not in t else [] for t in texts], [words.model.encode(t) if "▁" not in t else [] for t in texts]
+        for runs, want in zip(found, whole, strict=True):
+            assert runs.ids.tolist() == sum(want, []) and runs.counts.tolist() == list(map(len, want))
+        assert len(words) == len(words.good) == len(words.runs[0].counts) == 300 and "x" * 100 not in words
+    monkeypatch.setattr(words, "_encode", None)
+    assert len(words.encode(["the cat's\nhat"] * 5)[0].counts) == 5
