@@ -3,10 +3,11 @@
 Python tokenises: for each text it gives both tokenizers' ids and the byte offsets at which their tokens end. Both encode a word alike wherever
 it stands, so a worker encodes it once and texts are put together from their words' tokens. Most tokens
 of ordinary text hold the same bytes in both: each such pair is a group and a link of its own, and is told apart at once
-(``parted``). The stretches of tokens between them are aligned by Spark's higher-order functions, as is the
-whole text where ``align`` is given all its tokens. Offsets at which both end (``array_intersect``) cut it into groups. How many of one tokenizer's ends lie before another offset is its place in the sorted union of both, so the
-tokens that overlap a token, and those of a group, are ranges that ``sequence`` spells out: the work is in
-proportion to a text's tokens and links. Spark interprets these functions, element by element, which is why pairs of the same bytes don't go through them.
+(``parted``). The stretches of tokens between them are linked by Spark's higher-order functions, as is the
+whole text where ``align`` is given all its tokens. Offsets at which both end (``array_intersect``) cut it into groups. How many of one
+tokenizer's ends lie before another offset is its place in the sorted union of both, so the tokens that overlap a token are a range that
+``sequence`` spells out: the work is in proportion to a text's tokens and links. Spark interprets these functions, element by element,
+which is why pairs of the same bytes don't go through them, and why Python, which has the tokens at hand, spells the query's groups.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ _REST = "alike array<long>, a_ids array<int>, a_ends array<long>, b_ids array<in
 #: As TOKENS, but for the pairs of tokens that hold the same bytes: ``pairs`` has them in order, with -1 and -1 where a stretch of others stands, and
 #: ``alike`` as links. Of the others, ends are doubled, and those at which a stretch ends are greater by one; n_a and n_b count all tokens.
 PARTED = f"row long, doc_id long, n_a long, n_b long, pairs array<struct<a: int, b: int>>, {_REST}"
-#: As PARTED, but ``between`` has the pairs as text, ``a1|b1;a2|b2;``, cut where a stretch stands; the text that follows one begins with ``;``, none ends with it at the end.
-SAID = f"row long, doc_id long, n_a long, n_b long, between array<string>, {_REST}"
+#: As PARTED, with ``last_b``, for each of A's other tokens the place among B's of the one that holds its last byte; and the groups of all tokens as text.
+SAID = f"row long, doc_id long, n_a long, n_b long, groups_text string, {_REST}, last_b array<int>"
 #: Words that a worker remembers (about 150 bytes each), and the characters of the longest.
 REMEMBERED, LONG = 250_000, 64
 #: Words that are encoded at once.
@@ -237,18 +238,20 @@ def tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     return _tokenised(docs, a_path, b_path, TOKENS, columns)
 
 
-def _said(words: _Words, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    """``between`` of SAID. ``a`` and ``b`` are ``pairs`` of texts that have ``counts`` of them."""
-    gap, n = a < 0, len(a)
-    one = np.full((n, 1), True)
-    last = one.copy()
-    last[(np.cumsum(counts) - 1)[counts > 0]] = False
-    shown = np.hstack([words.a.shown[a] & ~gap[:, None], one & ~gap[:, None], words.b.shown[b] & ~gap[:, None], last])
-    data = np.hstack([words.a.digits[a], np.full((n, 1), ord("|"), dtype=np.uint8), words.b.digits[b], np.full((n, 1), ord(";"), dtype=np.uint8)])[shown]
-    at = np.append(0, np.cumsum(shown.sum(axis=1)))
-    cuts = np.append(np.sort(np.concatenate((at[np.cumsum(counts) - counts], at[:-1][gap]))), len(data)).astype(np.int32)
-    strings = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
-    return _lists(_within(gap, counts) + 1, strings)
+def _said(words: _Words, a: _Runs, b: _Runs, a_cuts: np.ndarray, b_cuts: np.ndarray) -> pa.StringArray:
+    """groups_text of each text; cuts: whether a group ends with the token."""
+    a_group, b_group = np.cumsum(a_cuts) - a_cuts, np.cumsum(b_cuts) - b_cuts
+    at = np.arange(len(a.ids)) + np.searchsorted(b_group, a_group), np.arange(len(b.ids)) + np.searchsorted(a_group, b_group, side="right")
+    width = max(v.digits.shape[1] for v in (words.a, words.b)) + 1
+    data = np.zeros((len(a.ids) + len(b.ids), width), dtype=np.uint8)
+    shown = np.zeros(data.shape, dtype=bool)
+    for v, r, cuts, to, mark in ((words.a, a, a_cuts, at[0], "|"), (words.b, b, b_cuts, at[1], ";")):
+        data[to, -1 - v.digits.shape[1] : -1], shown[to, -1 - v.digits.shape[1] : -1] = v.digits[r.ids], v.shown[r.ids]
+        data[to, -1], shown[to, -1] = np.where(cuts, ord(mark), ord(",")), True
+    counts = a.counts + b.counts
+    shown[(np.cumsum(counts) - 1)[counts > 0], -1] = False
+    ends = np.append(0, np.cumsum(shown.sum(axis=1)))[np.append(0, np.cumsum(counts))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(counts), pa.py_buffer(ends), pa.py_buffer(data[shown]))
 
 
 def _within(mask: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -265,13 +268,16 @@ def _part(docs: DataFrame, a_path: str | None, b_path: str | None, shape: str) -
         alike = (b_ends[at] == a_ends) & (words.b.sizes[b.ids[at]] == words.a.sizes[a.ids])
         there = np.zeros(len(b.ids), dtype=bool)
         there[at[alike]] = True
-        shown = alike | np.append(True, alike)[: len(alike)]  # the first of a stretch stands for all of it
-        shown[(np.cumsum(a.counts) - a.counts)[a.counts > 0]] = True
-        pairs = np.where(alike, a.ids, -1)[shown], np.where(alike, b.ids[at], -1)[shown]
-        counts = _within(shown, a.counts)
         if shape == SAID:
-            told = _said(words, *pairs, counts)
+            both = b_ends[at] == a_ends
+            b_both = np.zeros(len(b.ids), dtype=bool)
+            b_both[at[both]] = True
+            told = _said(words, a, b, both, b_both)
         else:
+            shown = alike | np.append(True, alike)[: len(alike)]  # the first of a stretch stands for all of it
+            shown[(np.cumsum(a.counts) - a.counts)[a.counts > 0]] = True
+            pairs = np.where(alike, a.ids, -1)[shown], np.where(alike, b.ids[at], -1)[shown]
+            counts = _within(shown, a.counts)
             told = _lists(counts, pa.StructArray.from_arrays([pa.array(p) for p in pairs], ["a", "b"]))
         rest = [_lists(_within(alike, a.counts), (a.ids[alike].astype(np.int64) << 32) + b.ids[at[alike]])]
         for r, ends, begin, gone in ((a, a_ends, a_begin, alike), (b, b_ends, b_begin, there)):
@@ -279,6 +285,10 @@ def _part(docs: DataFrame, a_path: str | None, b_path: str | None, shape: str) -
             closes[(np.cumsum(r.counts) - 1)[r.counts > 0]] = True
             left = _within(~gone, r.counts)
             rest += [_lists(left, r.ids[~gone]), _lists(left, ((ends - begin) * 2 + closes)[~gone])]
+        if shape == SAID:
+            before = np.append(0, np.cumsum(~there))  # of B's others
+            begin = np.repeat(before[np.cumsum(b.counts) - b.counts], a.counts)
+            rest.append(_lists(_within(~alike, a.counts), (before[at] - begin)[~alike].astype(np.int32)))
         return [pa.array(a.counts, pa.int64()), pa.array(b.counts, pa.int64()), told, *rest]
 
     return _tokenised(docs, a_path, b_path, shape, columns)
@@ -303,31 +313,33 @@ def _also(df: DataFrame, **columns: Column) -> DataFrame:
 
 def align(tokens: DataFrame) -> DataFrame:
     """TOKENS with ``groups`` (array of structs a, b: the ids of each group, in order), ``groups_text`` (the same as ``a1,a2|b1;a3|b2,b3``) ``links`` (array of longs: A's id times 2**32 plus B's for each pair of overlapping tokens, in order), and n_groups."""
-    return _aligned(tokens, lambda c: F.lit(";")).withColumn("groups_text", F.rtrim("groups_text", F.lit(";")))
-
-
-def _aligned(tokens: DataFrame, after: Callable[[Column], Column]) -> DataFrame:
-    """As :func:`align`, of columns a_ids, a_ends, b_ids, b_ends; in groups_text each group is followed by ``after`` of the offset at which it ends."""
-    told = _also(tokens, common=F.array_intersect("a_ends", "b_ends"), last_b=_before(F.col("b_ends"), F.col("a_ends"), False))
+    told = _linked(tokens.withColumn("last_b", _before(F.col("b_ends"), F.col("a_ends"), False)))
     # Groups end at common ends: where the token of B that holds the last byte of one of A ends with it.
-    same = lambda i: F.get("b_ends", F.get("last_b", i)) == F.get("a_ends", i)
-    places = lambda c: F.transform(c, lambda x, i: i)
-    told = _also(told, a_last=F.filter(places("a_ids"), same))
+    told = _also(told, a_last=F.filter(F.transform("a_ids", lambda x, i: i), _same))
     told = _also(told, a_cut=F.concat(F.array(F.lit(0)), F.transform("a_last", lambda i: i + 1)), b_cut=F.concat(F.array(F.lit(0)), F.transform("a_last", lambda i: F.get("last_b", i) + 1)))
-    own = lambda ids, cut, g: F.transform(F.sequence(F.get(cut, g), F.get(cut, g + 1) - 1), lambda i: F.get(ids, i))
-    groups = F.transform("common", lambda c, g: F.struct(own("a_ids", "a_cut", g).alias("a"), own("b_ids", "b_cut", g).alias("b")))
-    many = lambda ids, cut, g: F.array_join(own(ids, cut, g).cast("array<string>"), ",")
-    said = lambda ids, cut, g: F.when(F.get(cut, g + 1) - F.get(cut, g) == 1, F.get(ids, F.get(cut, g)).cast("string")).otherwise(many(ids, cut, g))
-    text = F.array_join(F.transform("common", lambda c, g: F.concat(said("a_ids", "a_cut", g), F.lit("|"), said("b_ids", "b_cut", g), after(c))), "")
+    own = lambda ids, cut, g: F.slice(ids, F.get(cut, g) + 1, F.get(cut, g + 1) - F.get(cut, g))
+    told = told.withColumn("groups", F.transform("common", lambda c, g: F.struct(own("a_ids", "a_cut", g).alias("a"), own("b_ids", "b_cut", g).alias("b"))))
+    said = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    text = F.array_join(F.transform("groups", lambda g: F.concat(said(g["a"]), F.lit("|"), said(g["b"]))), ";")
+    return told.select(*tokens.columns, "groups", text.alias("groups_text"), "links", "n_groups")
+
+
+def _same(i: Column) -> Column:
+    """Whether A's i-th token ends where the one of B does that holds its last byte."""
+    return F.get("b_ends", F.get("last_b", i)) == F.get("a_ends", i)
+
+
+def _linked(tokens: DataFrame) -> DataFrame:
+    """Columns a_ids, a_ends, b_ids, b_ends and last_b, and more, with ``common`` ends, ``links`` and n_groups as in :func:`align`."""
+    told = _also(tokens, common=F.array_intersect("a_ends", "b_ends"))
     # A's i-th token overlaps the one of B that holds its last byte, and those before it from the one that holds its first byte: the one
     # that holds the byte before that, or the next if that ends there.
-    before = lambda i: F.get("last_b", i - 1)
-    first = lambda i: F.when(i == 0, 0).otherwise(before(i) + F.when(same(i - 1), 1).otherwise(0))
+    first = lambda i: F.when(i == 0, 0).otherwise(F.get("last_b", i - 1) + F.when(_same(i - 1), 1).otherwise(0))
     code = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
     at_end = F.transform("a_ids", lambda a, i: code(a, F.get("b_ids", F.get("last_b", i))))
-    several = F.filter(places("a_ids"), lambda i: (i == 0) | (F.get("last_b", i) > before(i)))
-    others = F.transform(several, lambda i: F.transform(F.filter(F.sequence(first(i), F.get("last_b", i)), lambda j: j < F.get("last_b", i)), lambda j: code(F.get("a_ids", i), F.get("b_ids", j))))
-    return told.select(*tokens.columns, groups.alias("groups"), text.alias("groups_text"), F.concat(at_end, F.flatten(others)).alias("links"), F.size("common").alias("n_groups"))
+    several = F.filter(F.transform("a_ids", lambda x, i: i), lambda i: F.get("last_b", i) > first(i))
+    others = F.transform(several, lambda i: F.transform(F.sequence(first(i), F.get("last_b", i) - 1), lambda j: code(F.get("a_ids", i), F.get("b_ids", j))))
+    return told.select("*", F.concat(at_end, F.flatten(others)).alias("links"), F.size("common").alias("n_groups"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -345,10 +357,8 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     over the links; groups_sha256 is of groups_text, '' without tokens. A text without tokens (see :func:`tokens`) has zeros; null and
     repeated doc_ids each keep their row, and repeated rows count each; no rows give none.
     """
-    aligned = _aligned(_part(docs, a_path, b_path, SAID), lambda c: F.when(c % 2 == 1, "\n").otherwise(";"))
-    aligned = _also(aligned, stretches=F.split("groups_text", "\n"))
-    text = F.array_join(F.transform("between", lambda x, k: F.concat(x, F.coalesce(F.get("stretches", k), F.lit("")))), "")
-    sha = F.when(F.col("n_a") > 0, F.sha2(text, 256)).otherwise("")
+    aligned = _linked(_part(docs, a_path, b_path, SAID))
+    sha = F.when(F.col("n_a") > 0, F.sha2("groups_text", 256)).otherwise("")
     links = F.concat("alike", "links")
     told = aligned.select("row", "doc_id", "n_a", "n_b", (F.size("alike") + F.col("n_groups")).cast("long").alias("n_groups"), F.size(links).cast("long").alias("n_links"), sha.alias("groups_sha256"), links.alias("links"))
     told = materialize(told, "aligned")

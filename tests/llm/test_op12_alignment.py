@@ -132,3 +132,11 @@ def test_words_are_encoded_once_and_as_in_whole_texts(monkeypatch):
         assert len(words) == len(words.good) == len(words.runs[0].counts) == 300 and "x" * 100 not in words
     monkeypatch.setattr(words, "_encode", None)
     assert len(words.encode(["the cat's\nhat"] * 5)[0].counts) == 5
+
+
+def test_groups_are_spelled_beside_the_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate([*ODD, "Unbelievable naïveté, 日本! the", "", None, "the the"])), "doc_id long, text string")
+    whole = {r.doc_id: r for r in alignment.align(alignment.tokens(docs)).collect()}
+    for r in alignment._linked(alignment._part(docs, None, None, alignment.SAID)).collect():
+        w = whole[r.doc_id]
+        assert r.groups_text == w.groups_text and len(r.alike) + r.n_groups == w.n_groups and sorted([*r.alike, *r.links]) == sorted(w.links)
